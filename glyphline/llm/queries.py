@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, near_dedup, packing, toxicity
+from . import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, toxicity
 from ._shared import prepare
 
 
@@ -65,6 +65,11 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.fingerprint_edits(docs, fingerprints.lexicon(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_near_dedup": op4_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_lm_scoring": op10_lm_scoring,
