@@ -9,7 +9,8 @@ similarity 0.8 is missed with probability 8e-5, one of 0.85 with 5e-6.
 
 Candidates never are all pairs of a bucket: a round joins each bucket to one pivot, checks the full
 sets, and contracts what is linked; only sets that stay apart in a bucket meet again (other pivots,
-then each with each), so large groups of near copies cost a few links for each member.
+then an exact prefix filter over their sets), so large groups of near copies cost a few links for
+each member, and sets that share no more than a frequent passage cost nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize
@@ -95,6 +96,24 @@ def _shared_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.join(df.groupBy(*keys).count().where("count > 1").select(*keys), list(keys), "left_semi")
 
 
+def _by_prefix(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets(id, n, hashes, comp) of different components that can be links: (a, n_a, b, n_b).
+
+    In an order from rare to frequent hashes, linked sets share one of their first
+    n - percent * n + 1 hashes, and after the shared places enough is left for the overlap: so sets
+    that have no more than a frequent passage in common are never paired. No link is lost.
+    """
+    each = sets.select("id", "n", "comp", F.explode("hashes").alias("h"))
+    each = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+    each = each.withColumn("at", F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "h")))
+    each = each.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
+    x, y = (each.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "at"))) for s in "ab")
+    overlap = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b")))
+    pairs = x.join(y, "h").where((F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
+    return pairs.select(F.col("id_a").alias("a"), "n_a", F.col("id_b").alias("b"), "n_b")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -142,10 +161,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         apart = materialize(apart.join(mixed, "key", "left_semi"), "apart")
         if turn < 3:
-            tried = with_pivot(apart, F.xxhash64("key", "id", F.lit(turn)))
+            tried = with_pivot(apart, F.xxhash64("id", F.lit(turn)))
         else:
-            x, y = (apart.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp"))) for s in "ab")
-            tried = x.join(y, "key").where("id_a < id_b and comp_a <> comp_b").select(F.col("id_a").alias("a"), "n_a", F.col("id_b").alias("b"), "n_b")
+            tried = _by_prefix(known.join(apart.select("id", "comp").distinct(), "id"), percent)
         found = materialize(linked(tried), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
