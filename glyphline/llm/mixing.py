@@ -29,7 +29,7 @@ def source_rates(docs: DataFrame, source_col: str = "source", text_col: str = "t
         named = F.pow(F.col("n_chars").cast("double"), F.lit(float(temperature)))
     stats = stats.withColumn("w", named)
     total = stats.agg(F.sum("w").alias("sum_w"), F.sum("n_chars").alias("sum_chars"))  # one row
-    rate = F.when((F.col("n_chars") > 0) & (F.col("sum_w") > 0), F.col("w") / F.col("sum_w") * F.col("sum_chars") / F.col("n_chars")).otherwise(0.0)
+    rate = F.coalesce(F.try_divide(F.try_divide("w", "sum_w") * F.col("sum_chars"), F.col("n_chars")), F.lit(0.0))
     stats = stats.join(F.broadcast(total)).withColumn("rate", F.round(rate, 9))
     steps = F.sequence(F.lit(1), (F.ceil(F.col("rate") + 12 * F.sqrt("rate")) + 30).cast("int"))
     # log-space terms: exp(-rate) alone would vanish for high rates
