@@ -1,6 +1,351 @@
-"""Queries over the test tables and the SQL that gives the same rows."""
+"""Queries over the test tables and the SQL (for DuckDB) that gives the same rows.
+
+The SQL is written from the definitions, with recursive common table expressions in place of folds and
+kernels. Floating-point results are rounded to 6 digits on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.ordering import with_index
+from .operators import aggregate, compress, measures, prepare, symbols
+from .plans.encoder import SymbolicEncoder
+from .storage import materialize
+from .storage import prepare as ship
+
+TOL, ALPHA = 400.0, 0.25
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return prepare.number_rows(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], "value")
+
+
+def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).withColumn("value", F.when(F.col("value") <= 150, F.col("value")))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("series_id"), F.posexplode("embedding").alias("t", "value")).select("series_id", F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
+
+
+EVENTS = "ev AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value FROM events)"
+SERIES = EVENTS + ", s AS (SELECT series_id, list(value ORDER BY t) AS v FROM ev GROUP BY 1)"
+
+
+def pieces_sql(tol: float, max_len: float = 2147483647, series: str = SERIES) -> str:
+    err = "list_sum(list_transform(range(0, e + 2 - s), lambda i: pow(v[s + 1] + (v[e + 2] - v[s + 1]) / (e + 1 - s) * i - v[s + 1 + i], 2)))"
+    return f"""WITH RECURSIVE {series},
+r(series_id, s, e, inc, err, idx, olen, oinc, oerr) AS (
+  SELECT series_id, 0::BIGINT, 1::BIGINT, v[2] - v[1], 0::DOUBLE, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM s WHERE len(v) >= 2
+  UNION ALL
+  SELECT series_id, CASE WHEN ok THEN s ELSE e END, e + 1, CASE WHEN ok THEN v[e + 2] - v[s + 1] ELSE v[e + 2] - v[e + 1] END, CASE WHEN ok THEN err1 ELSE 0 END,
+    CASE WHEN ok THEN idx ELSE idx + 1 END, CASE WHEN NOT ok THEN (e - s)::DOUBLE END, inc, err
+  FROM (SELECT *, e + 1 < len(v) AND err1 <= {tol} * (e - s) + 2.220446049250313e-16 AND e - s < {max_len} AS ok
+    FROM (SELECT r.*, v, CASE WHEN e + 1 < len(v) THEN {err} ELSE 0 END AS err1 FROM r JOIN s USING (series_id) WHERE e < len(v)))),
+pieces AS (SELECT series_id, (idx - 1)::INTEGER AS piece_idx, olen AS len, oinc AS inc, oerr AS err FROM r WHERE olen IS NOT NULL)"""
+
+
+PIECES_OUT = " SELECT series_id, piece_idx, len, round(inc, 6) AS inc, round(err, 6) AS err FROM pieces"
+
+
+@query(pieces_sql(TOL) + PIECES_OUT)
+def compress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compress.compress(events(spark, sf_dir), TOL), "inc", "err")
+
+
+@query(pieces_sql(TOL, 3) + PIECES_OUT)
+def compress_maxlen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compress.compress(events(spark, sf_dir), TOL, 3), "inc", "err")
+
+
+@query(pieces_sql(5.0) + PIECES_OUT)
+def compress_tol_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compress.compress(events(spark, sf_dir), 5.0, engine="arrow"), "inc", "err")
+
+
+@query(pieces_sql(0.05, series="s AS (SELECT vec_id AS series_id, embedding::DOUBLE[] AS v FROM embeddings)") + PIECES_OUT)
+def compress_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("series_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(compress.compress_arrays(rows, 0.05), "inc", "err")
+
+
+LINES = """li AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS t, l_quantity::DOUBLE AS value, count(*) OVER () AS n FROM lineitem),
+bl AS (SELECT least(t // (n // 16), 15) AS series_id, t, value FROM li), s AS (SELECT series_id, list(value ORDER BY t) AS v FROM bl GROUP BY 1)"""
+
+
+@query(pieces_sql(50.0, series=LINES) + " SELECT series_id::INTEGER AS block_id, piece_idx, len, round(inc, 6) AS inc, round(err, 6) AS err FROM pieces")
+def compress_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long series in 16 blocks: positions come from sorted ranges, blocks are compressed apart."""
+    ship(spark)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("value"))
+    s = with_index(lines, "l_orderkey", "l_linenumber", name="t")
+    width = max(s.count() // 16, 1)
+    s = s.withColumn("block_id", F.least(F.floor(F.col("t") / width), F.lit(15)).cast("int"))
+    return rounded(compress.compress(s, 50.0, by=("block_id",), engine="arrow"), "inc", "err")
+
+
+GAPS = EVENTS + ", g AS (SELECT series_id, t, CASE WHEN value <= 150 THEN value END AS v FROM ev)"
+BY = "OVER (PARTITION BY series_id"
+for _method, _other in {
+    "ffill": f"last_value(v IGNORE NULLS) {BY} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "bfill": f"first_value(v IGNORE NULLS) {BY} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+    "mean": f"avg(v) {BY})", "median": f"median(v) {BY})", "zero": "0.0",
+}.items():
+    QUERIES[f"fillna_{_method}"] = lambda spark, sf_dir, m=_method: rounded(prepare.fill_missing(gappy(spark, sf_dir), m), "value")
+    ORACLE_SQL[f"fillna_{_method}"] = f"WITH {GAPS} SELECT series_id, t, round(coalesce(v, {_other}, 0.0), 6) AS value FROM g"
+
+
+@query(f"WITH {EVENTS} SELECT series_id, t, round((value - avg(value) {BY})) / CASE WHEN stddev_pop(value) {BY}) = 0 THEN 1 ELSE stddev_pop(value) {BY}) END, 6) AS value FROM ev")
+def znorm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(prepare.z_normalize(events(spark, sf_dir)), "value")
+
+
+@query("WITH e AS (SELECT vec_id AS series_id, unnest(range(0, len(embedding)))::BIGINT AS t, unnest(embedding)::DOUBLE AS value FROM embeddings) SELECT series_id, t, round((value - avg(value) OVER (PARTITION BY t)) / CASE WHEN stddev_pop(value) OVER (PARTITION BY t) = 0 THEN 1 ELSE stddev_pop(value) OVER (PARTITION BY t) END, 6) AS value FROM e")
+def znorm_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(prepare.z_normalize(embeddings(spark, sf_dir), "t"), "value")
+
+
+@query(f"WITH {EVENTS}, b AS (SELECT *, least(t // (count(*) {BY}) // 8), 7)::INTEGER AS block_id FROM ev), c AS (SELECT *, count(*) OVER (PARTITION BY series_id, block_id) AS n FROM b) SELECT series_id, block_id, count(*) AS points, min(t) AS first_t FROM c WHERE n >= 2 GROUP BY 1, 2")
+def split_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.split_interval(events(spark, sf_dir), 8).groupBy("series_id", "block_id").agg(F.count("*").alias("points"), F.min("t").alias("first_t"))
+
+
+@query(f"WITH {EVENTS}, b AS (SELECT *, (ntile(8) {BY} ORDER BY t) - 1)::INTEGER AS block_id FROM ev) SELECT series_id, block_id, count(*) AS points, min(t) AS first_t FROM b GROUP BY 1, 2")
+def split_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.split_even(events(spark, sf_dir), 8).groupBy("series_id", "block_id").agg(F.count("*").alias("points"), F.min("t").alias("first_t"))
+
+
+@query(f"WITH {EVENTS}, d AS (SELECT *, abs(lead(value) {BY} ORDER BY t) - 2 * value + lag(value) {BY} ORDER BY t)) AS d FROM ev) SELECT series_id, t, value FROM d WHERE d IS NULL OR d >= 1e-14")
+def collinear_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.drop_collinear(events(spark, sf_dir))
+
+
+def points(spark: SparkSession, sf_dir: str, tol: float = TOL) -> DataFrame:
+    p = with_index(compress.compress(events(spark, sf_dir), tol), "series_id", "piece_idx", name="id")
+    return materialize(compress.scaled_points(p), "points")
+
+
+POINTS = pieces_sql(TOL) + """,
+pts AS (SELECT row_number() OVER (ORDER BY series_id, piece_idx) - 1 AS id, series_id, piece_idx, len, inc, round(len / sl, 9) AS x, round(inc / si, 9) AS y
+  FROM pieces, (SELECT round(stddev_pop(len), 9) AS sl, round(stddev_pop(inc), 9) AS si FROM pieces))"""
+
+
+@query(POINTS + " SELECT count(*) AS n, round(stddev_pop(len), 6) AS std_len, round(stddev_pop(inc), 6) AS std_inc, (SELECT count(*) FROM (SELECT DISTINCT x, y FROM pts)) AS k FROM pieces")
+def piece_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(points(spark, sf_dir).agg(F.count("*").alias("n"), F.stddev_pop("len").alias("std_len"), F.stddev_pop("inc").alias("std_inc"), F.count_distinct("x", "y").alias("k")), "std_len", "std_inc")
+
+
+@query(POINTS + ", d AS (SELECT count(*)::DOUBLE AS k FROM (SELECT DISTINCT x, y FROM pts)) SELECT k, round(pow(60.0 * 66 * 160000 * greatest(66 - k, 1) / greatest(k * 0.0001 * (3 * pow(66.0, 4) + 2 - 5 * k * k), 2.220446049250313e-16), 0.25), 6) AS alpha FROM d")
+def auto_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compress.auto_alpha(compress.compress(events(spark, sf_dir), TOL), 66, TOL), "alpha")
+
+
+def greedy_sql(key: str = "sqrt(x * x + y * y)", alpha: float = ALPHA, order: str = "k, id", source: str = "pts", name: str = "g") -> str:
+    kind = "STRUCT(id BIGINT, k DOUBLE, x DOUBLE, y DOUBLE)"
+    near = f"(p.k - rem[1].k <= {alpha} AND (p.x - rem[1].x) * (p.x - rem[1].x) + (p.y - rem[1].y) * (p.y - rem[1].y) <= {alpha} * {alpha})"
+    return f""",
+{name}(part, lab, seed, members, rem) AS (
+  SELECT part, -1, NULL::{kind}, []::{kind}[], list({{'id': id, 'k': k, 'x': x, 'y': y}} ORDER BY {order}) FROM (SELECT *, {key} AS k FROM {source}) GROUP BY part
+  UNION ALL SELECT part, lab + 1, rem[1], list_filter(rem, lambda p: {near}), list_filter(rem, lambda p: NOT {near}) FROM {name} WHERE len(rem) > 0),
+{name}_labels AS (SELECT part, m.id AS id, lab::INTEGER AS label, m.x AS x, m.y AS y, m.id = seed.id AS seed FROM (SELECT part, lab, seed, unnest(members) AS m FROM {name} WHERE lab >= 0))"""
+
+
+WHOLE = POINTS + ", one AS (SELECT *, 0 AS part FROM pts)"
+GREEDY = WHOLE + greedy_sql(source="one")
+LABELS = " SELECT id, x, y, label, seed FROM g_labels"
+
+
+@query(GREEDY + LABELS)
+def greedy_2norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.greedy(points(spark, sf_dir), ALPHA)
+
+
+@query(WHOLE + greedy_sql("abs(x) + abs(y)", source="one") + LABELS)
+def greedy_1norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.greedy(points(spark, sf_dir), ALPHA, "1-norm")
+
+
+@query(WHOLE + greedy_sql("x", order="k, y, id", source="one") + LABELS)
+def greedy_lexi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.greedy(points(spark, sf_dir), ALPHA, "lexi")
+
+
+SUMMARY = """, c AS (SELECT label, count(*) AS count, max(x) FILTER (WHERE seed) AS seed_x, max(y) FILTER (WHERE seed) AS seed_y, avg(x) AS cx, avg(y) AS cy FROM g_labels GROUP BY 1)
+ SELECT label, count, seed_x, seed_y, round(cx, 6) AS centroid_x, round(cy, 6) AS centroid_y, round((SELECT sum(pow(x - cx, 2) + pow(y - cy, 2)) FROM g_labels l WHERE l.label = c.label), 6) AS sse FROM c"""
+
+
+@query(GREEDY + SUMMARY)
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregate.summary(aggregate.greedy(points(spark, sf_dir), ALPHA)), "centroid_x", "centroid_y", "sse")
+
+
+PTGA = (
+    POINTS
+    + ", blocks AS (SELECT id, x, y, ntile(4) OVER (ORDER BY sqrt(x * x + y * y), id) - 1 AS part FROM pts)"
+    + greedy_sql(source="blocks", name="h")
+    + ", seeds AS (SELECT part * 1099511627776 + label AS id, x, y, 0 AS part FROM h_labels WHERE seed)"
+    + greedy_sql(source="seeds")
+    + ", two AS (SELECT h.id, h.x, h.y, t.label, h.seed AND t.seed AS seed FROM h_labels h JOIN g_labels t ON t.id = h.part * 1099511627776 + h.label)"
+)
+
+
+@query(PTGA + " SELECT * FROM two")
+def ptga_m4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.two_stage(points(spark, sf_dir), ALPHA, 4)
+
+
+@query(PTGA + ", w AS (SELECT sum(pow(x - cx, 2) + pow(y - cy, 2)) AS s FROM (SELECT *, avg(x) OVER (PARTITION BY label) AS cx, avg(y) OVER (PARTITION BY label) AS cy FROM two)), o AS (SELECT sum(pow(x - cx, 2) + pow(y - cy, 2)) AS s FROM (SELECT x, y, avg(x) OVER (PARTITION BY label) AS cx, avg(y) OVER (PARTITION BY label) AS cy FROM one_labels)) SELECT round(w.s, 6) AS sse_two_stage, round(o.s, 6) AS sse_greedy, round(w.s / o.s, 6) AS ratio FROM w, o".replace("one_labels", "(SELECT x, y, label FROM q_labels)").replace(", w AS", ", q_src AS (SELECT *, 0 AS part FROM pts)" + greedy_sql(source="q_src", name="q") + ", w AS", 1))
+def sse_ratio_ptga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    total = lambda labelled, name: aggregate.summary(labelled).agg(F.sum("sse").alias(name))
+    both = total(aggregate.two_stage(p, ALPHA, 4), "sse_two_stage").crossJoin(total(aggregate.greedy(p, ALPHA), "sse_greedy"))  # one row each
+    return rounded(both.withColumn("ratio", F.col("sse_two_stage") / F.col("sse_greedy")), "sse_two_stage", "sse_greedy", "ratio")
+
+
+@query()
+def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.grid_components(points(spark, sf_dir), 0.05)
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    return materialize(p.join(aggregate.greedy(p, ALPHA).select("id", "label", "seed"), "id"), "labelled")
+
+
+def centers(labelled: DataFrame, **how) -> DataFrame:
+    return rounded(symbols.model_of(labelled, **how), "center_len", "center_inc", digits=9)
+
+
+FITTED = GREEDY + ", fit AS (SELECT p.*, l.label, l.seed FROM pts p JOIN g_labels l USING (id))"
+MODEL = FITTED + ", model AS (SELECT label, round(avg(len), 9) AS center_len, round(avg(inc), 9) AS center_inc FROM fit GROUP BY 1)"
+
+
+@query(MODEL + " SELECT * FROM model")
+def centers_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centers(fitted(spark, sf_dir))
+
+
+@query(FITTED + " SELECT label, len AS center_len, round(inc, 9) AS center_inc FROM fit WHERE seed")
+def centers_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centers(fitted(spark, sf_dir), center="seed")
+
+
+@query(FITTED + " SELECT label, round(avg(len), 9) AS center_len, round(max(inc) FILTER (WHERE seed), 9) AS center_inc FROM fit GROUP BY 1")
+def scl0_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centers(fitted(spark, sf_dir), center="seed", scl=0)
+
+
+@query(FITTED + ", m AS (SELECT max(label) + 1 AS n FROM fit) SELECT series_id, string_agg(CASE WHEN n < 52 THEN substr('AaBbCcDdEeFfGgHhIiJjKkLlMmNnOoPpQqRrSsTtUuVvWwXxYyZz', label + 1, 1) ELSE chr(33 + label) END, '|' ORDER BY piece_idx) AS symbols FROM fit, m GROUP BY 1")
+def symbols_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = fitted(spark, sf_dir)
+    named = labelled.join(symbols.with_symbols(centers(labelled)).select("label", "symbol"), "label")
+    return symbols.sequences(named).select("series_id", F.array_join("symbols", "|").alias("symbols"))
+
+
+@query(FITTED + ", c AS (SELECT label, count(*) AS n, min(id) AS first FROM fit GROUP BY 1), k AS (SELECT label, n, row_number() OVER (ORDER BY n DESC, first) - 1 AS rank FROM c) SELECT label, n, rank::INTEGER AS rank, CASE WHEN rank < 26 THEN substr('abcdefghijklmnopqrstuvwxyz', (rank + 1)::INTEGER, 1) ELSE 's' || rank END AS symbol FROM k")
+def abba_freq_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.frequency_symbols(fitted(spark, sf_dir))
+
+
+OTHER = pieces_sql(1e9, series="o AS (SELECT o_custkey AS series_id, list(o_totalprice::DOUBLE ORDER BY o_orderdate, o_orderkey) AS v FROM orders GROUP BY 1), s AS (SELECT * FROM o)")
+
+
+@query(MODEL + OTHER.replace("WITH RECURSIVE o AS", ", o AS").replace(", s AS (SELECT * FROM o)", "").replace("FROM s WHERE", "FROM o WHERE").replace("JOIN s USING", "JOIN o USING").replace("r(series_id", "r2(series_id").replace("r.*", "r2.*").replace("FROM r ", "FROM r2 ").replace("pieces AS", "pieces2 AS") + " SELECT series_id, piece_idx, min_by(label, struct_pack(d := pow(len - center_len, 2) + pow(inc - center_inc, 2), l := label)) AS label FROM pieces2, model GROUP BY 1, 2")
+def transform_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = centers(fitted(spark, sf_dir))
+    orders = prepare.number_rows(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice")
+    return symbols.nearest(compress.compress(orders, 1e9), model)
+
+
+QUANTIZED = MODEL + """, coded AS (SELECT f.series_id, f.piece_idx, m.center_len AS len, m.center_inc AS inc FROM fit f JOIN model m USING (label)),
+qz(series_id, i, c, len, inc, steps) AS (
+  SELECT DISTINCT series_id, -1, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::BIGINT FROM coded
+  UNION ALL SELECT q.series_id, i + 1, d.len + c - n, d.len, d.inc, n::BIGINT FROM (
+    SELECT qz.series_id, i, c FROM qz) q JOIN (SELECT * FROM coded) d ON d.series_id = q.series_id AND d.piece_idx = i + 1,
+    LATERAL (SELECT CASE WHEN round_even(d.len + c, 0) = 0 THEN 1 ELSE round_even(d.len + c, 0) END AS n))"""
+
+
+@query(QUANTIZED + " SELECT series_id, i AS piece_idx, steps FROM qz WHERE i >= 0")
+def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.quantize(_coded(fitted(spark, sf_dir))).select("series_id", "piece_idx", "steps")
+
+
+def _coded(labelled: DataFrame) -> DataFrame:
+    return labelled.select("series_id", "piece_idx", "label").join(centers(labelled), "label").select("series_id", "piece_idx", F.col("center_len").alias("len"), F.col("center_inc").alias("inc"))
+
+
+def _again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = symbols.block_info(events(spark, sf_dir))
+    fixed = symbols.fit_last(symbols.quantize(_coded(fitted(spark, sf_dir))), info)
+    return prepare.fit_length(symbols.ramps(fixed, info), info.select("series_id", F.col("target_length").alias("n")))
+
+
+AGAIN = QUANTIZED + """, info AS (SELECT series_id, min_by(value, t) AS start, count(*) AS n FROM ev GROUP BY 1),
+fx AS (SELECT series_id, i, inc, n, start, CASE WHEN i = max(i) OVER (PARTITION BY series_id) THEN greatest(1, steps + greatest(n - 1, 1) - sum(steps) OVER (PARTITION BY series_id)) ELSE steps END AS steps FROM qz JOIN info USING (series_id) WHERE i >= 0),
+po AS (SELECT *, coalesce(sum(steps) OVER w, 0) AS t0, coalesce(sum(inc) OVER w, 0) AS rise FROM (SELECT * REPLACE (greatest(steps, 1) AS steps) FROM fx) WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ln AS (SELECT series_id, n, t0 + k AS t, start + rise + inc / steps * k AS value FROM (SELECT *, unnest(range(1, steps::BIGINT + 1)) AS k FROM po) UNION ALL SELECT series_id, n, 0, start FROM info),
+again AS (SELECT series_id, t::BIGINT AS t, value FROM ln WHERE t < n)"""
+
+
+@query(AGAIN + " SELECT series_id, t, round(value, 6) AS value FROM again")
+def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_again(spark, sf_dir), "value")
+
+
+@query(AGAIN + ", e AS (SELECT series_id, sum(pow(ev.value - again.value, 2)) AS sse, count(*) AS n FROM ev JOIN again USING (series_id, t) GROUP BY 1) SELECT round(sum(sse) / sum(n), 6) AS mse_micro, round(avg(sse / n), 6) AS mse_macro FROM e")
+def mse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(symbols.error(events(spark, sf_dir), _again(spark, sf_dir)), "mse_micro", "mse_macro")
+
+
+@query(pieces_sql(TOL) + ", w AS (SELECT series_id, sum(len) OVER (PARTITION BY series_id ORDER BY piece_idx) AS hi, len FROM pieces), n AS (SELECT series_id, len(v) AS n FROM s), m AS (SELECT unnest([1, 2, 4, 8, 16, 32])::INTEGER AS blocks), cuts AS (SELECT series_id, blocks, unnest(range(1, blocks)) * (n // blocks) AS cut FROM n, m WHERE n >= blocks) SELECT blocks, (SELECT count(*) FROM cuts c JOIN w USING (series_id) WHERE c.blocks = m.blocks AND hi - len < cut AND cut < hi) AS forced FROM m")
+def boundary_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = events(spark, sf_dir)
+    return measures.boundary_extra(compress.compress(s, TOL), s.groupBy("series_id").agg(F.count("*").alias("n")), [1, 2, 4, 8, 16, 32])
+
+
+@query()
+def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series against the one before it."""
+    s = events(spark, sf_dir)
+    ids = s.select("series_id").distinct()
+    pairs = ids.select(F.col("series_id").alias("a")).join(ids.select(F.col("series_id").alias("b")), F.col("a") == F.col("b") + 1)
+    return rounded(measures.dtw_pairs(s, pairs), "cost")
+
+
+@query()
+def kmeans_digitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = SymbolicEncoder(tol=TOL, strategy="kmeans", k=8).fit(events(spark, sf_dir))
+    return rounded(model.model, "center_len", "center_inc")
+
+
+RUNS = [(w, s) for w, each in {1: (0.90, 0.84, 1.10), 2: (4.1, 4.7, 4.3), 4: (5.0, 7.4, 5.3), 8: (2.0, 2.1, 2.3)}.items() for s in each]
+
+
+@query("WITH r(workers, seconds) AS (VALUES " + ", ".join(f"({w}, {s}::DOUBLE)" for w, s in RUNS) + "), m AS (SELECT workers, median(seconds) AS median, avg(seconds) AS mean, stddev_pop(seconds) AS std_pop, stddev_samp(seconds) AS std_samp, min(seconds) AS low, max(seconds) AS high FROM r GROUP BY 1), b AS (SELECT min_by(median, workers) AS base FROM m) SELECT workers, round(median, 6) AS median, round(mean, 6) AS mean, round(std_pop, 6) AS std_pop, round(std_samp, 6) AS std_samp, low, high, round(base / median, 6) AS speedup, round(base / median / workers, 6) AS efficiency FROM m, b")
+def bench_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.createDataFrame(RUNS, "workers int, seconds double")
+    return rounded(measures.run_summary(runs), "median", "mean", "std_pop", "std_samp", "speedup", "efficiency")
