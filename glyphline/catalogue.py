@@ -93,16 +93,19 @@ def compress_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compress.compress_arrays(rows, 0.05), "inc", "err")
 
 
-LINES = """li AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS t, l_quantity::DOUBLE AS value, count(*) OVER () AS n FROM lineitem),
+LINES = """li AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS t, l_quantity::DOUBLE AS value, count(*) OVER () AS n FROM lineitem),
 bl AS (SELECT least(t // (n // 16), 15) AS series_id, t, value FROM li), s AS (SELECT series_id, list(value ORDER BY t) AS v FROM bl GROUP BY 1)"""
 
 
 @query(pieces_sql(50.0, series=LINES) + " SELECT series_id::INTEGER AS block_id, piece_idx, len, round(inc, 6) AS inc, round(err, 6) AS err FROM pieces")
 def compress_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One long series in 16 blocks: positions come from sorted ranges, blocks are compressed apart."""
+    """One long series in 16 blocks: positions come from sorted ranges, blocks are compressed apart.
+
+    Line numbers repeat within orders; ordered by value, too, rows that still tie are the same.
+    """
     ship(spark)
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("value"))
-    s = with_index(lines, "l_orderkey", "l_linenumber", name="t")
+    s = with_index(lines, "l_orderkey", "l_linenumber", "value", name="t")
     width = max(s.count() // 16, 1)
     s = s.withColumn("block_id", F.least(F.floor(F.col("t") / width), F.lit(15)).cast("int"))
     return rounded(compress.compress(s, 50.0, by=("block_id",), engine="arrow"), "inc", "err")

@@ -73,7 +73,10 @@ def chords(v: np.ndarray, tol: float, max_len: float = float("inf")) -> np.ndarr
         slope = d / m
         r = slope * slope * m * (m + 1) * (2 * m + 1) / 6 - 2 * slope * a + b
         if abs(r - limit) <= 1e-9 * max(1.0, b):
-            r = float(np.sum((v[s] + slope * np.arange(m + 1) - v[s : e + 1]) ** 2))
+            r = 0.0
+            for i in range(m + 1):  # one by one, as the other engine adds: sums at the limit must agree
+                g = v[s] + slope * i - v[s + i]
+                r += g * g
         if m == 1 or (r <= limit and m - 1 < max_len):
             inc, err = d, max(r, 0.0) if m > 1 else 0.0
         else:
