@@ -140,7 +140,7 @@ def parse(raw: bytes) -> dict:
     return {"record_id": urn(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_bytes": size, "payload_digest": digest, "refers_to": urn(fields.get("warc-refers-to")), "payload": body if fields["warc-type"] == "response" else None}
 
 
-def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads: bool = True) -> DataFrame:
+def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads: bool = True, most_tasks: int = 20_000) -> DataFrame:
     """Records of all archives in ``folder``: record_id, target_uri, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
 
     payload_bytes and payload_digest are of the full payload; a response whose payload doesn't
@@ -149,7 +149,9 @@ def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads
     schema = "record_id string, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").where("length > 0")
     splits = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))))
-    splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, "length")).repartition("path", "start")
+    splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, "length"))
+    # rows are tiny, what they stand for is not: a number of partitions keeps them from being coalesced
+    splits = splits.repartition(max(1, min(splits.count(), most_tasks)), "path", "start")
     arrow = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
