@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.ordering import with_index
-from .operators import aggregate, compress, measures, prepare, symbols
-from .plans.encoder import SymbolicEncoder
+from .operators import adaptive, aggregate, compress, measures, prepare, symbols
+from .plans.encoder import SymbolicEncoder, compress_tensor, decompress_tensor
 from .storage import materialize
 from .storage import prepare as ship
 
@@ -352,3 +352,153 @@ RUNS = [(w, s) for w, each in {1: (0.90, 0.84, 1.10), 2: (4.1, 4.7, 4.3), 4: (5.
 def bench_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.createDataFrame(RUNS, "workers int, seconds double")
     return rounded(measures.run_summary(runs), "median", "mean", "std_pop", "std_samp", "speedup", "efficiency")
+
+
+AXIS = """, axis AS (SELECT round(avg(x), 9) AS mx, round(avg(y), 9) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS angle, min_by(struct_pack(x := x, y := y), id) AS p FROM one),
+turned AS (SELECT mx, my, u * c AS c, u * s AS s FROM (SELECT *, CASE WHEN (p.x - mx) * c + (p.y - my) * s > 0 THEN -1::DOUBLE ELSE 1::DOUBLE END AS u FROM (SELECT *, round(cos(angle), 9) AS c, round(sin(angle), 9) AS s FROM axis))),
+keyed AS (SELECT id, x, y, part, (x - mx) * c + (y - my) * s AS along FROM one, turned)"""
+
+
+@query(WHOLE + AXIS + greedy_sql("along", source="keyed") + LABELS)
+def greedy_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.greedy(points(spark, sf_dir), ALPHA, "pca")
+
+
+STOPPED = greedy_sql("abs(x) + abs(y)", source="one").replace(f"p.k - rem[1].k <= {ALPHA} AND ", "(stop IS NULL OR p.k < stop.k OR (p.k = stop.k AND p.id < stop.id)) AND ").replace(
+    "FROM g WHERE len(rem) > 0", f"FROM (SELECT *, list_filter(rem, lambda q: q.k - rem[1].k > {ALPHA} AND (q.x - rem[1].x) * (q.x - rem[1].x) + (q.y - rem[1].y) * (q.y - rem[1].y) > {ALPHA} * {ALPHA})[1] AS stop FROM g WHERE len(rem) > 0)"
+)
+
+
+@query(WHOLE + STOPPED + LABELS)
+def greedy_distance_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.greedy(points(spark, sf_dir), ALPHA, "1-norm", distance_first=True)
+
+
+@query(POINTS + """, q(lab, c, members, rem, final) AS (
+  SELECT -1, 0::DOUBLE, []::STRUCT(id BIGINT, x DOUBLE)[], list({'id': id, 'x': y} ORDER BY y, id), max_by(y, id) FROM pts
+  UNION ALL SELECT lab + 1, cc, list_filter(rem, lambda p: stop IS NULL OR p.x < stop.x OR (p.x = stop.x AND p.id < stop.id)), list_filter(rem, lambda p: p.x > stop.x OR (p.x = stop.x AND p.id >= stop.id)), final
+  FROM (SELECT *, list_filter(rem[2:], lambda p: abs(p.x - cc) > 0.05)[1] AS stop FROM (SELECT *, CASE WHEN rem[1].x < final - 0.05 THEN rem[1].x + 0.05 ELSE rem[1].x END AS cc FROM q WHERE len(rem) > 0)))
+ SELECT m.id AS id, m.x AS x, lab::INTEGER AS label, c AS center FROM (SELECT lab, c, unnest(members) AS m FROM q WHERE lab >= 0)""")
+def greedy_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.greedy_1d(points(spark, sf_dir).select("id", F.col("y").alias("x")), 0.05)
+
+
+@query(pieces_sql(TOL) + """, o AS (SELECT series_id, list({'i': piece_idx, 'len': len, 'inc': inc} ORDER BY inc, piece_idx) AS a FROM pieces GROUP BY 1),
+w(series_id, j, label, n, total, squares) AS (
+  SELECT series_id, 1, 0, 1, a[1].inc, a[1].inc * a[1].inc FROM o
+  UNION ALL SELECT series_id, j + 1, CASE WHEN ok THEN label ELSE label + 1 END, CASE WHEN ok THEN n + 1 ELSE 1 END, CASE WHEN ok THEN total + v ELSE v END, CASE WHEN ok THEN squares + v * v ELSE v * v END
+  FROM (SELECT *, squares + v * v - pow(total + v, 2) / (n + 1) < (n + 1) * 100.0 AS ok FROM (SELECT w.*, a[j + 1].inc AS v FROM w JOIN o USING (series_id) WHERE j < len(a)))),
+b AS (SELECT series_id, a[j].i AS piece_idx, a[j].len AS len, a[j].inc AS inc, label FROM w JOIN o USING (series_id))
+ SELECT series_id, piece_idx, label, round(avg(len) OVER (PARTITION BY series_id, label), 6) AS center_len, round(avg(inc) OVER (PARTITION BY series_id, label), 6) AS center_inc FROM b""")
+def abba_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = adaptive.incremental(compress.compress(events(spark, sf_dir), TOL), 100.0, weighted=False)
+    return rounded(got.select("series_id", "piece_idx", "label", "center_len", "center_inc"), "center_len", "center_inc")
+
+
+@query()
+def abba_incremental_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums in the 1-norm; tested against the rule written out."""
+    got = adaptive.incremental(compress.compress(events(spark, sf_dir), TOL), 40.0, norm=1, symmetric=True)
+    return rounded(got.select("series_id", "piece_idx", "label", "center_len", "center_inc"), "center_len", "center_inc")
+
+
+@query()
+def abba_optimal_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against all ways to cut."""
+    got = adaptive.optimal_1d(compress.compress(events(spark, sf_dir), TOL), 0.2)
+    return rounded(got.select("series_id", "piece_idx", "label", "center_len", "center_inc"), "center_len", "center_inc")
+
+
+@query()
+def abba_search_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled pieces; k-means depends on its seed, so there is no SQL."""
+    return adaptive.search_k(points(spark, sf_dir), 0.5, 3, 12).select("id", "label")
+
+
+@query(FITTED + " SELECT round(max(vx), 6) AS var_x, round(max(vy), 6) AS var_y FROM (SELECT var_pop(x) AS vx, var_pop(y) AS vy FROM fit GROUP BY label)")
+def abba_max_cluster_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(adaptive.max_cluster_var(fitted(spark, sf_dir), "x", "y"), "var_x", "var_y")
+
+
+def _centered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = fitted(spark, sf_dir).select("series_id", "piece_idx", "len", "inc", "label")
+    return materialize(labelled.join(centers(labelled), "label"), "centered")
+
+
+PATCHES = MODEL + """, cut AS (SELECT f.series_id, f.len::BIGINT AS n, f.label, m.center_inc, greatest(round_even(m.center_len, 0)::BIGINT, 1) AS g, v[f.begins + 1 : f.begins + f.len::BIGINT + 1] AS v
+  FROM (SELECT *, (sum(len) OVER (PARTITION BY series_id ORDER BY piece_idx) - len)::BIGINT AS begins FROM fit) f JOIN model m USING (label) JOIN s USING (series_id)),
+spot AS (SELECT *, pos * n / g::DOUBLE AS u FROM (SELECT *, unnest(range(0, g + 1)) AS pos FROM cut)),
+patch AS (SELECT label, pos, avg(v[i + 1] + (u - i) * (v[i + 2] - v[i + 1]) - (v[1] + (v[n + 1] - v[1] - center_inc) / 2)) AS value FROM (SELECT *, least(floor(u)::BIGINT, n - 1) AS i FROM spot) GROUP BY 1, 2)"""
+
+
+@query(PATCHES + " SELECT label, pos::INTEGER AS pos, round(value, 8) AS value FROM patch")
+def abba_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With 8 digits: means of sixteenths of cents are ties at the seventh."""
+    return rounded(adaptive.patches(events(spark, sf_dir), _centered(spark, sf_dir)), "value", digits=8)
+
+
+@query(PATCHES + """, ends AS (SELECT label, max(pos) AS g, min_by(value, pos) AS low, max_by(value, pos) - min_by(value, pos) AS up FROM patch GROUP BY 1),
+put AS (SELECT series_id, label, low, coalesce(sum(g) OVER w, 0) AS t0, coalesce(sum(up) OVER w, 0) AS rise FROM fit JOIN ends USING (label) WINDOW w AS (PARTITION BY series_id ORDER BY piece_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT series_id, (t0 + pos)::BIGINT AS t, round(v[1] + rise + value - low, 6) AS value FROM put JOIN patch USING (label) JOIN s USING (series_id) WHERE pos > 0 UNION ALL SELECT series_id, 0, round(v[1], 6) FROM s WHERE len(v) >= 2""")
+def abba_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(adaptive.patched(events(spark, sf_dir), _centered(spark, sf_dir)), "value")
+
+
+@query(FITTED + """, k AS (SELECT series_id, piece_idx, label, greatest(round_even(len, 0), 1) AS w, greatest(len(v) - 1, 1) AS total FROM fit JOIN s USING (series_id)),
+x AS (SELECT *, CASE WHEN piece_idx = max(piece_idx) OVER (PARTITION BY series_id) THEN greatest(1, w + total - sum(w) OVER (PARTITION BY series_id)) ELSE w END AS wide FROM k),
+y AS (SELECT *, sum(wide) OVER (PARTITION BY series_id ORDER BY piece_idx) - wide AS start FROM x)
+ SELECT series_id, piece_idx, label::VARCHAR AS symbol, start::DOUBLE AS start, greatest(0.5, least(wide, total - start))::DOUBLE AS width FROM y WHERE start < total""")
+def symbol_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = symbols.block_info(events(spark, sf_dir)).select("series_id", F.col("target_length").alias("n"))
+    return measures.symbol_segments(fitted(spark, sf_dir).withColumn("symbol", F.col("label").cast("string")), lengths)
+
+
+@query()
+def dtw_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series against the one before it: steps of the cheapest alignment without collinear points."""
+    s = events(spark, sf_dir)
+    ids = s.select("series_id").distinct()
+    pairs = ids.select(F.col("series_id").alias("a")).join(ids.select(F.col("series_id").alias("b")), F.col("a") == F.col("b") + 1)
+    return measures.dtw_paths(s, pairs, filter_redundant=True).select("a", "b", F.round("cost", 6).alias("cost"), F.size("path").alias("steps"))
+
+
+@query()
+def boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = events(spark, sf_dir)
+    whole = materialize(compress.compress(s, TOL), "whole")
+    counts = None
+    for m in (1, 2, 4, 8):
+        split = compress.compress(prepare.split_interval(s, m), TOL, by=("series_id", "block_id")).agg(F.lit(m).alias("blocks"), F.count("*").alias("pieces"))
+        counts = split if counts is None else counts.unionByName(split)
+    forced = measures.boundary_extra(whole, s.groupBy("series_id").agg(F.count("*").alias("n")), [1, 2, 4, 8])
+    return rounded(measures.boundary_report(forced, counts, whole.count()), "forced_percent", "observed_percent", "forced_per_boundary")
+
+
+@query()
+def tensor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 4 dimensions of 16 points: squared error of the way there and back."""
+    e = embeddings(spark, sf_dir).select(F.col("series_id").alias("sample_id"), F.floor(F.col("t") / 16).cast("int").alias("dim_id"), (F.col("t") % 16).alias("t"), "value")
+    code = compress_tensor(SymbolicEncoder(tol=0.05, alpha=0.1, strategy="two_stage"), e, width=16)
+    back = decompress_tensor(code, as_bytes=False).withColumnRenamed("value", "back")
+    return rounded(e.join(back, ["sample_id", "dim_id", "t"]).groupBy("dim_id").agg(F.count("*").alias("points"), F.avg(F.pow(F.col("value") - F.col("back"), 2)).alias("mse")), "mse")
+
+
+RUNS_VALUES = "WITH r(workers, seconds) AS (VALUES " + ", ".join(f"({w}, {s}::DOUBLE)" for w, s in RUNS) + "), n AS (SELECT *, row_number() OVER (PARTITION BY workers ORDER BY seconds) AS i, count(*) OVER (PARTITION BY workers) AS c FROM r)"
+
+
+@query(RUNS_VALUES + ", base AS (SELECT median(seconds) AS base FROM r WHERE workers = 1) SELECT workers, seconds, base, round(base / seconds, 6) AS speedup, round(base / seconds / workers, 6) AS efficiency FROM n, base WHERE i = c // 2 + 1")
+def bench_median_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.createDataFrame([("d", w, s) for w, s in RUNS], "dataset string, workers int, seconds double")
+    chosen = measures.median_run(runs, ["dataset", "workers"], "seconds", [])
+    return rounded(measures.against_serial(chosen, runs.where("workers = 1"), ["dataset"]), "speedup", "efficiency").drop("dataset")
+
+
+@query(RUNS_VALUES + " SELECT min_by(workers, a) AS best_workers, round(min(a), 6) AS best_seconds FROM (SELECT workers, avg(seconds) AS a FROM r GROUP BY 1)")
+def bench_best_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.createDataFrame([("d", w, s) for w, s in RUNS], "dataset string, workers int, seconds double")
+    return rounded(measures.best_workers(runs, ["dataset"]), "best_seconds").drop("dataset")
+
+
+@query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) SELECT user_id, event_id, value FROM n WHERE i = 1")
+def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.keep_one(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], ["ts", "event_id"], last=True).select("user_id", "event_id", "value")

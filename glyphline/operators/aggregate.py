@@ -1,7 +1,9 @@
-"""Clustering of points(id, x, y) with a tolerance: exact greedy, two-stage greedy, connected grid."""
+"""Clustering of points(id, x, y) with a tolerance: exact greedy in two dimensions or one, two-stage greedy, connected grid."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,37 +19,61 @@ KEYS = {"2-norm": "sqrt(x * x + y * y)", "1-norm": "abs(x) + abs(y)", "lexi": "x
 def _key(sorting: str) -> str:
     sorting = {"norm": "2-norm"}.get(sorting, sorting)
     if sorting not in KEYS:
-        raise ValueError(f"sorting must be one of {sorted(KEYS)}")
+        raise ValueError(f"sorting must be one of {sorted(KEYS)}, norm or pca")
     return KEYS[sorting]
 
 
+def principal_axis(points: DataFrame) -> dict[str, float]:
+    """Means mx, my and direction c, s of the largest variance, rounded to 9 digits; the point of the smallest id is not on its positive side."""
+    row = points.agg(F.round(F.avg("x"), 9).alias("mx"), F.round(F.avg("y"), 9).alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cov"), F.min_by(F.struct("x", "y"), "id").alias("p")).first()
+    if row["p"] is None:
+        return {"mx": 0.0, "my": 0.0, "c": 1.0, "s": 0.0}
+    angle = math.atan2(2 * row["cov"], row["vx"] - row["vy"]) / 2
+    c, s = round(math.cos(angle), 9), round(math.sin(angle), 9)
+    turn = -1.0 if (row["p"]["x"] - row["mx"]) * c + (row["p"]["y"] - row["my"]) * s > 0 else 1.0
+    return {"mx": row["mx"], "my": row["my"], "c": turn * c, "s": turn * s}
+
+
+def with_key(points: DataFrame, sorting: str) -> DataFrame:
+    """points(id, x, y) with ``key``; pca: the position along the principal axis."""
+    p = points.select("id", "x", "y")
+    if sorting != "pca":
+        return p.withColumn("key", F.expr(_key(sorting)))
+    a = principal_axis(p)
+    return p.withColumn("key", (F.col("x") - a["mx"]) * a["c"] + (F.col("y") - a["my"]) * a["s"])
+
+
 def greedy_labels(key: np.ndarray, x: np.ndarray, y: np.ndarray, alpha: float, distance_first: bool = False) -> np.ndarray:
     """Of points in order: the first without a label is a seed, and takes those without labels near it.
 
-    ``distance_first`` doesn't ask for the key gap.
+    ``distance_first`` takes points beyond the key gap, too, up to the first that is neither within the gap nor near.
     """
     label = np.full(len(key), -1, np.int64)
     n = 0
     for i in range(len(key)):
         if label[i] >= 0:
             continue
-        end = len(key) if distance_first else np.searchsorted(key, key[i] + alpha * (1 + 1e-9) + 1e-9, "right")
-        j = slice(i, end)
-        near = (label[j] < 0) & ((x[j] - x[i]) * (x[j] - x[i]) + (y[j] - y[i]) * (y[j] - y[i]) <= alpha * alpha)
-        if not distance_first:
-            near &= key[j] - key[i] <= alpha
-        label[j][near] = n
+        reach = alpha * 2**0.5 if distance_first else alpha  # no key grows faster than that
+        j = slice(i, np.searchsorted(key, key[i] + reach * (1 + 1e-9) + 1e-9, "right"))
+        free, within = label[j] < 0, key[j] - key[i] <= alpha
+        near = (x[j] - x[i]) * (x[j] - x[i]) + (y[j] - y[i]) * (y[j] - y[i]) <= alpha * alpha
+        if distance_first:
+            stop = free & ~near & ~within
+            near &= np.arange(len(near)) < (int(np.argmax(stop)) if stop.any() else len(near))
+        else:
+            near &= within
+        label[j][free & near] = n
         n += 1
     return label
 
 
-def _in_groups(points: DataFrame, group: str, alpha: float, lexi: bool) -> DataFrame:
+def _in_groups(points: DataFrame, group: str, alpha: float, lexi: bool, distance_first: bool = False) -> DataFrame:
     """points(id, x, y, key, group) -> those and local labels from 0 in each group; seed marks a label's first point."""
     kind = points.schema[group].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("key", "ascending"), *([("y", "ascending")] if lexi else []), ("id", "ascending")])
-        label = greedy_labels(*(np.asarray(rows.column(c), float) for c in ("key", "x", "y")), alpha)
+        label = greedy_labels(*(np.asarray(rows.column(c), float) for c in ("key", "x", "y")), alpha, distance_first)
         seed = np.zeros(len(label), bool)
         seed[np.unique(label, return_index=True)[1]] = True
         return rows.select(["id", "x", "y", "key", group]).append_column("local", pa.array(label)).append_column("seed", pa.array(seed))
@@ -55,17 +81,19 @@ def _in_groups(points: DataFrame, group: str, alpha: float, lexi: bool) -> DataF
     return points.select("id", "x", "y", "key", group).groupBy(group).applyInArrow(run, f"id long, x double, y double, key double, {group} {kind}, local long, seed boolean")
 
 
-def greedy(points: DataFrame, alpha: float, sorting: str = "2-norm") -> DataFrame:
+def greedy(points: DataFrame, alpha: float, sorting: str = "2-norm", distance_first: bool = False) -> DataFrame:
     """id, x, y, label, seed. The order is (key, id), for lexi (x, y, id); labels count seeds in that order.
 
     Where consecutive keys are more than alpha apart nothing reaches across, so the runs of occupied key
-    cells of width alpha are clustered apart from each other and their labels shifted.
+    cells of width alpha are clustered apart from each other and their labels shifted. With ``distance_first``
+    (see ``greedy_labels``) cells are wider by the square root of 2, as points may be near at that 1-norm gap.
     """
-    p = points.select("id", "x", "y").withColumn("key", F.expr(_key(sorting))).withColumn("cell", F.floor(F.col("key") / alpha))
+    width = alpha * 2**0.5 if distance_first else alpha
+    p = with_key(points, sorting).withColumn("cell", F.floor(F.col("key") / width))
     cells = p.select("cell").distinct()  # as many as the key range has widths of alpha
     new = F.when(F.col("cell") - F.lag("cell").over(Window.orderBy("cell")) == 1, 0).otherwise(1)
     islands = cells.withColumn("new", new).withColumn("island", F.sum("new").over(Window.orderBy("cell"))).drop("new")
-    local = materialize(_in_groups(p.join(islands, "cell"), "island", alpha, sorting == "lexi"), "greedy")
+    local = materialize(_in_groups(p.join(islands, "cell"), "island", alpha, sorting == "lexi", distance_first), "greedy")
     sizes = local.groupBy("island").agg((F.max("local") + 1).alias("n"))
     before = sizes.select("island", F.coalesce(F.sum("n").over(Window.orderBy("island").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return local.join(before, "island").select("id", "x", "y", (F.col("local") + F.col("before")).cast("int").alias("label"), "seed")
@@ -77,7 +105,7 @@ def two_stage(points: DataFrame, alpha: float, blocks: int, sorting: str = "2-no
     Members can be up to twice alpha from the seed; one block gives what ``greedy`` gives.
     """
     order = ["key", "y", "id"] if sorting == "lexi" else ["key", "id"]
-    p = with_index(points.select("id", "x", "y").withColumn("key", F.expr(_key(sorting))), *order)
+    p = with_index(with_key(points, sorting), *order)
     rows = p.count()
     local = materialize(_in_groups(p.withColumn("block", even_block("idx", rows, blocks)), "block", alpha, sorting == "lexi"), "two-stage")
     name = F.shiftleft(F.col("block").cast("long"), 40) + F.col("local")
@@ -86,6 +114,35 @@ def two_stage(points: DataFrame, alpha: float, blocks: int, sorting: str = "2-no
     return joined.select("id", "x", "y", "label", (F.col("seed") & F.col("top")).alias("seed"))
 
 
+def greedy_1d(values: DataFrame, tol: float) -> DataFrame:
+    """values(id, x) -> id, x, label, center. Along sorted values, the first free one starts a cluster that takes all within
+    tol of its center: tol above it, or itself if that is within tol of the last input value (largest id).
+
+    Clusters follow one another, so values more than 2 tol apart part the input into groups that are done apart.
+    """
+    last = values.agg(F.max_by("x", "id").alias("last")).first()["last"]
+    v = values.select("id", "x").withColumn("cell", F.floor(F.col("x") / (2 * tol)))
+    new = F.when(F.col("cell") - F.lag("cell").over(Window.orderBy("cell")) == 1, 0).otherwise(1)
+    islands = v.select("cell").distinct().withColumn("new", new).withColumn("island", F.sum("new").over(Window.orderBy("cell"))).drop("new")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("x", "ascending"), ("id", "ascending")])
+        x = rows.column("x").to_numpy().astype(float)
+        label, center, i, n = np.zeros(len(x), np.int64), np.zeros(len(x)), 0, 0
+        while i < len(x):
+            c = x[i] + tol if x[i] < last - tol else x[i]
+            far = np.abs(x[i + 1 :] - c) > tol
+            end = i + 1 + (int(np.argmax(far)) if far.any() else len(far))
+            label[i:end], center[i:end] = n, c
+            i, n = end, n + 1
+        return rows.select(["id", "x", "island"]).append_column("local", pa.array(label)).append_column("center", pa.array(center))
+
+    local = materialize(v.join(islands, "cell").select("id", "x", "island").groupBy("island").applyInArrow(run, "id long, x double, island long, local long, center double"), "greedy-1d")
+    sizes = local.groupBy("island").agg((F.max("local") + 1).alias("n"))
+    before = sizes.select("island", F.coalesce(F.sum("n").over(Window.orderBy("island").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return local.join(before, "island").select("id", "x", (F.col("local") + F.col("before")).cast("int").alias("label"), "center")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes(node), edges(a, b) -> node, comp: the smallest node that can be reached."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import with_index
@@ -72,8 +72,62 @@ class EncoderModel:
         near = symbols.nearest(self.params.pieces(series), self.model).join(self.model.select("label", "symbol"), "label")
         return symbols.sequences(near)
 
-    def inverse(self, coded: DataFrame, series_info: DataFrame, fit_length: bool = True) -> DataFrame:
-        """coded(series_id, symbols) and series_info(series_id, start, target_length) -> series_id, t, value."""
+    def inverse(self, coded: DataFrame, series_info: DataFrame, fit_length: bool = True, fix_last: bool = True) -> DataFrame:
+        """coded(series_id, symbols) and series_info(series_id, start, target_length) -> series_id, t, value.
+
+        ``fit_length`` cuts or pads to target_length, after ``fix_last`` has stretched the last piece towards it; without
+        both the lengths are those of the symbols alone.
+        """
         c = coded.select("series_id", F.posexplode("symbols").alias("piece_idx", "symbol")).join(self.model.select("symbol", F.col("center_len").alias("len"), F.col("center_inc").alias("inc")), "symbol")
-        again = symbols.ramps(symbols.fit_last(symbols.quantize(c), series_info), series_info)
+        steps = symbols.quantize(c)
+        again = symbols.ramps(symbols.fit_last(steps, series_info) if fix_last else steps, series_info)
         return prepare.fit_length(again, series_info.select("series_id", F.col("target_length").alias("n"))) if fit_length else again
+
+
+@dataclass
+class TensorCode:
+    """What ``compress_tensor`` leaves: the model, symbols by sample, and what the way back needs."""
+
+    model: EncoderModel
+    symbols: DataFrame
+    info: DataFrame
+    stats: DataFrame | None
+    width: int | None
+
+
+def compress_tensor(encoder: SymbolicEncoder, tensor: DataFrame, width: int | None = None, adjust: bool = True) -> TensorCode:
+    """tensor(sample_id, t, value), or with dim_id and ``width`` points in each dimension: then a sample's dimensions follow one another.
+
+    ``adjust`` normalizes each position over all samples (a deviation of 0 counts as 1) before encoding.
+    """
+    t = F.col("dim_id") * width + F.col("t") if width else F.col("t")
+    series = tensor.select(F.col("sample_id").cast("long").alias("series_id"), t.cast("long").alias("t"), F.col("value").cast("double").alias("value"))
+    stats = None
+    if adjust:
+        std = F.stddev_pop("value")
+        stats = materialize(series.groupBy("t").agg(F.avg("value").alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std")), "columns")
+        series = series.join(stats, "t").select("series_id", "t", ((F.col("value") - F.col("mean")) / F.col("std")).alias("value"))
+    series = materialize(series, "tensor")
+    model = encoder.fit(series)
+    return TensorCode(model, symbols.sequences(model.labelled), symbols.block_info(series), stats, width)
+
+
+def decompress_tensor(code: TensorCode, as_bytes: bool = True) -> DataFrame:
+    """sample_id, t, value, with dim_id if the tensor had it; such values become bytes with ``as_bytes``."""
+    again = code.model.inverse(code.symbols, code.info)
+    as_bytes = as_bytes and code.width is not None
+    if code.stats is not None:
+        again = prepare.denormalize(again, code.stats, as_bytes=as_bytes)
+    elif as_bytes:
+        again = again.withColumn("value", F.pmod(F.rint("value").cast("long"), F.lit(256)).cast("double"))
+    if code.width is None:
+        return again.withColumnRenamed("series_id", "sample_id")
+    return again.select(F.col("series_id").alias("sample_id"), F.floor(F.col("t") / code.width).cast("int").alias("dim_id"), (F.col("t") % code.width).alias("t"), "value")
+
+
+def encode_one(spark: SparkSession, values: list[float], encoder: SymbolicEncoder | None = None) -> tuple[EncoderModel, list[str]]:
+    """One short series from the driver, by default with two k-means symbols: its model and its symbols."""
+    series = spark.createDataFrame([(0, t, None if v is None else float(v)) for t, v in enumerate(values)], "series_id long, t long, value double")
+    model = (encoder or SymbolicEncoder(tol=0.2, strategy="kmeans", k=2)).fit(series)
+    row = symbols.sequences(model.labelled).first()
+    return model, row["symbols"] if row else []

@@ -1,3 +1,4 @@
+import itertools
 import math
 import os
 import random
@@ -7,9 +8,10 @@ import numpy as np
 import pytest
 
 from glyphline import catalogue
-from glyphline.operators import aggregate, compress, measures, prepare, symbols
-from glyphline.plans.encoder import SymbolicEncoder
+from glyphline.operators import adaptive, aggregate, compress, measures, prepare, symbols
+from glyphline.plans.encoder import SymbolicEncoder, compress_tensor, decompress_tensor, encode_one
 from glyphline.sources import generate
+from glyphline.streaming.compress import compress_stream
 
 
 def series(spark, *values):
@@ -167,3 +169,170 @@ def test_entry_has_sql_for_known_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and os.path.exists(e.__file__)
+
+
+def written_out(inc, tol, norm, weighted, symmetric):
+    """The growing of runs, point by point."""
+    order = sorted(range(len(inc)), key=lambda i: (abs(inc[i]) if symmetric else inc[i], i))
+    sign = lambda v: (v > 0) - (v < 0)
+    first, met, dealt, labels, start, n = sign(inc[order[0]]), False, False, [0] * len(inc), 0, 0
+    while start < len(inc):
+        run = [order[start]]
+        for i in order[start + 1 :]:
+            met = met or (not dealt and sign(inc[i]) != first)
+            vals = [inc[j] for j in sorted([*run, i])]
+            if weighted:
+                sums = [sum(vals[: k + 1]) for k in range(len(vals))]
+                if norm == 2:
+                    c = sum((k + 1) * s for k, s in enumerate(sums)) / sum((k + 1) ** 2 for k in range(len(sums)))
+                    err = sum((s - (k + 1) * c) ** 2 for k, s in enumerate(sums))
+                else:
+                    each = sorted(s / (k + 1) for k, s in enumerate(sums) for _ in range(k + 1))  # a weight is so many copies
+                    half = len(each) // 2
+                    c = each[half] if len(each) % 2 else (each[half - 1] + each[half]) / 2
+                    err = sum(abs(s - (k + 1) * c) for k, s in enumerate(sums))
+            else:
+                c = sum(vals) / len(vals) if norm == 2 else float(np.median(vals))
+                err = sum((v - c) ** 2 for v in vals) if norm == 2 else max(abs(v - c) for v in vals)
+            if not err < len(vals) * tol:
+                break
+            run.append(i)
+        for i in run:
+            labels[i] = n
+        n, start = n + 1, start + len(run)
+        if symmetric and met and not dealt:
+            order[start:] = sorted(order[start:], key=lambda i: (sign(inc[i]), abs(inc[i])))
+            dealt = True
+    return labels
+
+
+@pytest.mark.parametrize("norm", [1, 2])
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_growing_runs(norm, weighted, symmetric):
+    rng = np.random.default_rng(7)
+    for tol in (0.01, 0.3, 2.0):
+        inc = rng.normal(size=40)
+        assert adaptive.grow_runs(inc, tol, norm, weighted, symmetric)[0].tolist() == written_out(inc.tolist(), tol, norm, weighted, symmetric)
+
+
+def test_incremental_is_by_series(spark):
+    rows = [(s, i, 2.0 + i, v * (s + 1)) for s in range(2) for i, v in enumerate([1.0, -1.0, 1.1, -0.9, 5.0])]
+    got = adaptive.incremental(spark.createDataFrame(rows, "series_id long, piece_idx int, len double, inc double"), 0.1, weighted=False).orderBy("series_id", "piece_idx").collect()
+    assert [r.label for r in got] == [1, 0, 1, 0, 2] * 2
+    assert got[1].center_inc == pytest.approx(-0.95) and got[1].center_len == pytest.approx(4.0)
+    with pytest.raises(ValueError):
+        adaptive.incremental(spark.range(0), 1.0, norm=3)
+
+
+def test_optimal_splits_are_optimal():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 8):
+        v = np.round(rng.normal(size=n), 2)
+        order = np.sort(v)
+        for k, label in enumerate(adaptive.best_splits(v, n), 1):
+            cost = sum(((v[label == c] - v[label == c].mean()) ** 2).sum() for c in set(label.tolist()))
+            ways = (np.split(order, cut) for cut in itertools.combinations(range(1, n), k - 1))
+            assert len(set(label.tolist())) == k and cost == pytest.approx(min(sum(((p - p.mean()) ** 2).sum() for p in w) for w in ways))
+    assert len(list(adaptive.best_splits(np.array([3.0, 3.0, 1.0]), 9))) == 2
+    v = np.array([0.0, 0.1, 5.0, 5.1, 9.0])
+    assert adaptive.split_1d(v, 0.01, 1, 5).tolist() == [0, 0, 1, 1, 2] and adaptive.split_1d(v, 0.0, 1, 2).max() == 1
+
+
+def test_search_k(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), float(y), 4.0) for i, (x, y) in enumerate(np.concatenate([rng.normal(c, 0.01, (20, 2)) for c in (0, 4, 9)]))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, len double")
+    got = [r.label for r in adaptive.search_k(df, 0.02, 1, 6).orderBy("id").collect()]
+    assert [len(set(got[i : i + 20])) for i in (0, 20, 40)] == [1, 1, 1] and len(set(got)) == 3
+    assert adaptive.search_k(df.limit(0), 0.1).count() == 0
+
+
+def test_patches_by_hand(spark):
+    s = series(spark, [0, 1, 2, 4, 3, 2])
+    rows = [(0, 0, 2.0, 0, 2.0, 2.0), (0, 1, 1.0, 0, 2.0, 2.0), (0, 2, 2.0, 1, 2.0, -2.0)]
+    p = spark.createDataFrame(rows, "series_id long, piece_idx int, len double, label int, center_len double, center_inc double")
+    got = {(r.label, r.pos): r.value for r in adaptive.patches(s, p).collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (0, 2): 2, (1, 0): 0, (1, 1): -1, (1, 2): -2}
+    assert [r.value for r in adaptive.patched(s, p).orderBy("t").collect()] == [0, 1, 2, 3, 4, 3, 2]
+
+
+def test_principal_axis_and_break_rules(spark):
+    rng = np.random.default_rng(8)
+    pts = np.round(rng.normal(0, 1, (150, 2)) @ np.array([[2, 1], [0, 0.3]]), 6)
+    centered = pts - pts.mean(axis=0)
+    axis = np.linalg.svd(centered, full_matrices=False)[2][0]
+    key = centered @ axis
+    key *= np.sign(-key[0])
+    order = np.argsort(key, kind="stable")
+    want = np.empty(len(pts), int)
+    want[order] = aggregate.greedy_labels(key[order], pts[order, 0], pts[order, 1], 0.3)
+    assert labels(spark, pts, 0.3, sorting="pca") == want.tolist()
+
+    key = np.abs(pts).sum(axis=1)
+    order = np.argsort(key, kind="stable")
+    want, n = [-1] * len(pts), 0
+    for a, i in enumerate(order):
+        if want[i] < 0:
+            for j in order[a:]:
+                if want[j] < 0:
+                    if ((pts[i] - pts[j]) ** 2).sum() <= 0.09:
+                        want[j] = n
+                    elif key[j] - key[i] > 0.3:
+                        break
+            n += 1
+    assert labels(spark, pts, 0.3, sorting="1-norm", distance_first=True) == want
+    assert labels(spark, [(0, 0), (0.8, 0.8)], 1.2, sorting="1-norm", distance_first=True) == [0, 0]
+
+
+def test_one_dimension(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 0.5), (2, 2.0), (3, 0.9), (4, 1.25)], "id long, x double")
+    got = [(r.label, r.center) for r in aggregate.greedy_1d(df, 0.25).orderBy("id").collect()]
+    assert got == [(0, 0.25), (0, 0.25), (2, 2.0), (1, 1.15), (1, 1.15)]
+
+
+def test_alignment_path():
+    x, y = np.array([0.0, 1, 2, 5]), np.array([0.0, 2, 5])
+    cost, path = measures.dtw_path(x, y)
+    assert cost == measures.dtw_cost(x, y) and path[0] == (0, 0) and path[-1] == (3, 2)
+    assert measures.dtw_path(x, x) == (0, [(i, i) for i in range(4)])
+    assert measures.dtw_path(np.array([0.0, 1, 2]), np.array([0.0, 2]), filter_redundant=True) == (0, [(0, 0), (2, 1)])
+
+
+def test_tensor(spark):
+    rows = [(s, d, t, float(s + d * 10 + t)) for s in range(6) for d in range(2) for t in range(8)]
+    tensor = spark.createDataFrame(rows, "sample_id long, dim_id int, t long, value double")
+    code = compress_tensor(SymbolicEncoder(tol=0.01, alpha=0.01), tensor, width=8)
+    back = {(r.sample_id, r.dim_id, r.t): r.value for r in decompress_tensor(code).collect()}
+    assert len(back) == len(rows) and all(v == float(round(v)) and 0 <= v < 256 for v in back.values())
+    assert np.mean([(back[r[:3]] - r[3]) ** 2 for r in rows]) < 1
+    model, named = encode_one(spark, [0, 1, 2, 1, 0, 1, 2])
+    assert len(named) == 3 and model.model.count() == 2
+
+
+def test_stream_gives_the_pieces_of_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    values = [np.cumsum(rng.normal(size=60)) for _ in range(3)]
+    s = series(spark, *values)
+    for i in range(3):
+        s.where(f"t >= {i * 20} and t < {i * 20 + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = compress_stream(stream, 1.0).writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.series_id, r.piece_idx, r.len, round(r.inc, 9)) for r in spark.table("ended").collect())
+    want = sorted((r.series_id, r.piece_idx, r.len, round(r.inc, 9)) for r in compress.compress(s, 1.0).collect())
+    last = {(i, max(x[1] for x in want if x[0] == i)) for i in range(3)}
+    assert got == [x for x in want if x[:2] not in last] and len(got) > 10
+
+
+def test_reports(spark):
+    runs = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 2.0), ("b_1", 1, 1.0), ("b_1", 1, 3.0)], "dataset string, workers int, seconds double")
+    wide = measures.wide_table(runs, "dataset", "workers", "seconds", [1, 2])
+    assert measures.table_text(wide) == "| dataset | 1 | 2 |\n| --- | --- | --- |\n| a | 4 | 2 |\n| b_1 | 2 | -- |"
+    assert r"b\_1 & 2 & -- \\" in measures.table_text(wide, "latex")
+    assert measures.median_run(runs, ["dataset"], "seconds", ["workers"]).orderBy("dataset").collect()[1].seconds == 3.0
+    assert {r.dataset: r.best_workers for r in measures.best_workers(runs, ["dataset"]).collect()} == {"a": 2, "b_1": 1}
+    forced = spark.createDataFrame([(1, 0), (4, 6)], "blocks int, forced long")
+    counts = spark.createDataFrame([(1, 10), (4, 14)], "blocks int, pieces long")
+    r = measures.boundary_report(forced, counts, 10).orderBy("blocks").collect()[1]
+    assert (r.observed, r.forced_percent, r.observed_percent, r.forced_per_boundary) == (4, 60, 40, 2)
