@@ -70,13 +70,21 @@ def _lexicon_rows(docs: DataFrame, lexicon: np.ndarray, keep: list[str]) -> Data
 
 
 def lexicon_counts(part: pa.RecordBatch, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By text: offsets, the numbers of the lexicon's features it has, and how often."""
+    """By text: offsets, the numbers of the lexicon's features it has, and how often.
+
+    A text that has any has one feature more, behind the lexicon: its features in all, as a power of two. So a
+    few chance hits in a long text point elsewhere than as many in a short one.
+    """
     f, text = term_features(part)
     if len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, f), len(lexicon) - 1)
         hit = lexicon[at] == f
-        pair, count = np.unique(text[hit] * len(lexicon) + at[hit], return_counts=True)
-        owner, number = np.divmod(pair, len(lexicon))
+        pair, count = np.unique(text[hit] * (len(lexicon) + 1) + at[hit], return_counts=True)
+        some = np.unique(text[hit])
+        size = 2 ** np.rint(np.log2(np.bincount(text, minlength=part.num_rows)[some])).astype(np.int64)
+        pair, count = np.concatenate([pair, some * (len(lexicon) + 1) + len(lexicon)]), np.concatenate([count, size])
+        order = np.argsort(pair)
+        (owner, number), count = np.divmod(pair[order], len(lexicon) + 1), count[order]
     else:
         owner = number = count = np.zeros(0, np.int64)
     return np.searchsorted(owner, np.arange(part.num_rows + 1)), number, count
@@ -206,9 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = np.sort(np.array([r["feature"] for r in chosen.select("feature").collect()], np.int64))
     rows = [(r["id"], r["toxic"], r["features"], r["counts"]) for r in _lexicon_rows(examples, lexicon, ["id", "toxic"]).collect()]
     found = _lexicon_rows(texts, lexicon, []) if len(lexicon) else None
-    df, total = np.zeros(len(lexicon)), 0
+    df, total = np.zeros(len(lexicon) + 1), 0
     if found is not None:
-        counted = found.select(F.explode_outer("features").alias("f"), F.lit(1).alias("n")).groupBy("f").count().collect()  # at most max_terms rows
+        counted = found.select(F.explode_outer("features").alias("f"), F.lit(1).alias("n")).groupBy("f").count().collect()  # at most max_terms + 1 rows
         for r in counted:
             if r["f"] is not None:
                 df[r["f"]] = r["count"]
