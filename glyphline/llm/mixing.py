@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
+#: Rates of up to so many bytes are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Digits of md5 that make the uniform number: 13 hex digits are 52 bits, exact in a double.
 _DIGITS = 13
 
@@ -46,7 +50,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     seed and id: rows with one id (null is an id, too) get one count. Copies are dealt and sorted by
     the hash of seed, id, copy number and text, so that equal rows differ in nothing but order.
     """
-    rates = source_rates(docs, source_col, text_col, temperature, weights)
+    rates = materialize(source_rates(docs, source_col, text_col, temperature, weights), "rates")
+    size = rates.agg(F.sum(8 * F.size("cdf") + F.octet_length(F.coalesce("source", F.lit(""))) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # else a hot source is split by the adaptive join
+        rates = F.broadcast(rates)
     d = docs.alias("d").join(rates.select(F.col("source").alias("_source"), "cdf").alias("r"), F.col(f"d.{source_col}").eqNullSafe(F.col("r._source")))
     d = d.withColumn("_u", uniform(seed, id_col)).withColumn("copies", F.expr("size(filter(cdf, c -> c <= _u))"))
     d = d.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("_source", "cdf", "_u")
