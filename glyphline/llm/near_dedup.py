@@ -26,6 +26,8 @@ from ._shared import materialize
 from ._words import Words, mix, shingles, slices
 
 HALVES, ROWS = 10, 2
+#: A set with more than this part of all rows is hot; so there are fewer hot sets than this.
+HOT = 1000
 
 
 def _sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +98,14 @@ def _shared_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.join(df.groupBy(*keys).count().where("count > 1").select(*keys), list(keys), "left_semi")
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """rows(set_a, set_b, n, ...) with the values of sets(set_a, set_b, n, size, ...); rows of hot sets aren't shuffled."""
+    keys, hot = ["set_a", "set_b", "n"], F.col("size") * HOT > total
+    few = sets.where(hot).drop("size")  # fewer than HOT
+    others = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(sets.where(~hot).drop("size"), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(others)
+
+
 def _by_prefix(sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of sets(id, n, hashes, comp) of different components that can be links: (a, n_a, b, n_b).
 
@@ -126,10 +136,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sig = materialize(signatures(texts, size, halves, rows), "signatures")
     real = sig.where("n > 0 and id is not null")
-    reps = real.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"))
-    members = materialize(real.select("id", "set_a", "set_b", "n").join(reps, ["set_a", "set_b", "n"]).select("id", "rep", "n"), "members")
-    # half keys of one row for each set
-    own = real.join(members.where("id = rep").select("id", "n").distinct(), ["id", "n"]).select("id", "n", F.posexplode("keys").alias("k", "half"))
+    # each set once, under its smallest id
+    sets = real.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("id", "keys")).alias("first"), F.count("*").alias("size"))
+    sets = materialize(sets.select("set_a", "set_b", "n", F.col("first.id").alias("rep"), F.col("first.keys").alias("keys"), "size"), "distinct")
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    members, named = real.select("id", "set_a", "set_b", "n"), sets.select("set_a", "set_b", "n", "rep", "size")
+    own = sets.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("k", "half"))
     meet = _shared_keys(own, "k", "half")
     pairs = meet.groupBy("id", "n").agg(F.collect_set(F.struct("k", "half")).alias("h"))
     first, second = F.expr(f"filter(h, x -> x.k < {halves})"), F.expr(f"filter(h, x -> x.k >= {halves})")
@@ -152,8 +164,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows_.join(pivots, "key").select(F.col("p.id").alias("a"), F.col("p.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b"))
 
     links = materialize(linked(with_pivot(buckets, F.lit(0))), "links")
-    several = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")  # one id with several texts
-    links = links.unionByName(members.join(several, "id").select("a", F.col("rep").alias("b")))
+    twice = members.join(members.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi")  # one id with several rows
+    twice = materialize(_with_sets(twice, named, total).select("id", "rep").distinct(), "repeated")
+    links = links.unionByName(twice.join(twice.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")))
     comp = components(links)
     for turn in range(1, 4):
         apart = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -168,7 +181,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not found.isEmpty():
             links = links.unionByName(found)
             comp = components(links)
-    of = members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
+    named = materialize(named.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "named")
+    of = _with_sets(members, named, total).groupBy("id").agg(F.min("comp").alias("comp"))
     out = sig.select("id", "n").join(of, "id", "left")
     component = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
