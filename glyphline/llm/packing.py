@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ._shared import materialize, shuffle_partitions
 
 END_ID = 1
+#: Equal pieces are one row with a count, up to this many.
+COPIES = 1000
 
 
 def encoder(vocabulary: str):
@@ -173,8 +175,11 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     interchangeable. An empty table gives no rows. Other columns are ignored.
     """
     spark, bins = docs.sparkSession, window // step
-    pieces = materialize(token_pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary, window).withColumn("bin", F.ceil(F.col("length") / step).cast("int")), "pieces")
-    histogram = {r["bin"]: r["count"] for r in pieces.groupBy("bin").count().collect()}  # at most ``bins`` rows
+    pieces = token_pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary, window)
+    pieces = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("n"))
+    pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}")))).withColumn("n", F.least(F.col("n") - COPIES * F.col("part"), F.lit(COPIES)))
+    pieces = materialize(pieces.withColumn("bin", F.ceil(F.col("length") / step).cast("int")), "pieces")
+    histogram = {r["bin"]: r["n"] for r in pieces.groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # at most ``bins`` rows
     rows, sequence, used = [], 0, dict.fromkeys(range(bins + 1), 0)
     for shape, n in plan_windows(histogram, bins, depth):
         for slot, k in enumerate(shape):
@@ -183,13 +188,14 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         sequence += n
     plan = spark.createDataFrame(rows, "bin int, low long, high long, sequence long, slot int")
     # ranks in each bin without bringing a bin together: ranks in chunks, plus the chunks before
-    chunk = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shuffle_partitions(spark))).cast("int")
+    chunk = F.pmod(F.xxhash64("id", "start", "ids_crc32", "part"), F.lit(shuffle_partitions(spark))).cast("int")
     pieces = pieces.withColumn("chunk", chunk)
-    sizes = pieces.groupBy("bin", "chunk").count()
-    before = F.sum("count").over(Window.partitionBy("bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = pieces.groupBy("bin", "chunk").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("bin", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
-    in_chunk = F.row_number().over(Window.partitionBy("bin", "chunk").orderBy("id", "start", "ids_crc32", "length", "doc_tokens")) - 1
-    ranked = pieces.withColumn("at", in_chunk).join(sizes, ["bin", "chunk"]).withColumn("rank", F.col("at") + F.col("before"))
+    in_chunk = F.sum("n").over(Window.partitionBy("bin", "chunk").orderBy("id", "start", "ids_crc32", "length", "doc_tokens", "part").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = pieces.withColumn("at", F.coalesce(in_chunk, F.lit(0))).join(sizes, ["bin", "chunk"])
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).withColumn("rank", F.col("at") + F.col("before") + F.col("copy"))
     # the plan has a few rows for each of at most ``bins`` bins, whatever the data
     placed = ranked.alias("r").join(F.broadcast(plan.alias("p")), (F.col("r.bin") == F.col("p.bin")) & (F.col("r.rank") >= F.col("p.low")) & (F.col("r.rank") < F.col("p.high")))
     placed = placed.select("r.id", "r.start", "r.length", "r.ids_crc32", "r.doc_tokens", (F.col("p.sequence") + F.col("r.rank") - F.col("p.low")).alias("sequence_id"), "p.slot")
