@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glyphline.llm import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, secrets, toxicity, url_filter, warc
 from glyphline.llm._shared import prepare
@@ -303,6 +304,37 @@ def test_lm_scoring_beats_its_base_on_known_words(spark):
     assert sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
+def test_lm_scoring_minds_the_order_of_words(spark):
+    line = "zero one two three four five six seven eight nine".split()
+    rows = [(i, " ".join(line)) for i in range(200)] + [(i, " ".join(w)) for i, w in zip(range(200, 204), (line, line[::-1], ["zero", "é"], []), strict=True)]
+    got = {r.doc_id: r for r in lm_scoring.score(docs_of(spark, rows), F.col("doc_id") < 200, range_bytes=3000, chunk_bytes=2000).collect()}
+    assert got[200].score > got[201].score + 1
+    for i, size in ((200, len(" ".join(line)) + 1), (202, 8), (203, 1)):
+        assert got[i].n_bytes == size and abs(got[i].bits_per_byte + got[i].score * np.log2(10) / size) < 1e-9
+
+
+def test_pairs_are_counted_and_add_up():
+    """Over a start, an end and three words, whose own probabilities add up to 1."""
+    words_, end = ["a", "b", "c"], 0.2
+    w = Words(pa.array([" ".join(words_)]))
+    h = np.sort(w.hashes())
+    texts = [[0, 1, 0], [1], [], [2, 2, 1, 0]]
+    token, off = np.array([x for t in texts for x in t]), np.cumsum([0] + [len(t) for t in texts])
+    key = lm_scoring.pair_keys(h, token, off)
+    want = [(a, b) for t in texts for a, b in zip(["start", *t], [*t, "end"], strict=True)]
+    assert len(key) == len(want) and all((key[i] == key[j]) == (want[i] == want[j]) for i in range(len(want)) for j in range(len(want)))
+    seen, own = collections.Counter(want), np.log10([0.5, 0.2, 0.1])
+    before = {x: sum(n for (a, _), n in seen.items() if a == x) for x in ("start", 0, 1, 2)}
+
+    def p(t):
+        both = list(zip(["start", *t], [*t, "end"], strict=True))
+        return 10 ** lm_scoring.text_scores(np.array(t, int), np.array([0, len(t)]), own, np.log10(end), np.array([seen[x] for x in both]), np.array([before[a] for a, _ in both]))[0]
+
+    # all texts of up to one word, and what is left for the longer ones by each member's own rule
+    short = p([]) + sum(p([x]) for x in range(3))
+    assert 0 < short < 1 and sum(p([x, y]) for x in range(3) for y in range(3)) < 1 - short
+
+
 def test_spelling_is_a_distribution():
     """All words of up to two letters and all longer ones share the probability 1."""
     rng = np.random.default_rng(0)
