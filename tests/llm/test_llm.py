@@ -259,6 +259,17 @@ def test_secrets(spark):
     assert "secret" not in got[3].spans and "secret" not in got[4].spans
 
 
+def test_secrets_behind_an_equals_sign(spark):
+    key, weak = "AKIA" + "ABCDEFGH12345678", "abcdEFGH" * 5
+    names = ("aws_secret_access_key", "AWS_SECRET_ACCESS_KEY")
+    texts = [f"aws_access_key_id={key}\n{n}={weak}\nendpoint_url=https://host.example/x\n" for n in names] + [f"{key} a={weak}=", f"{key} {weak}{weak}", f"x={weak}"]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs_of(spark, list(enumerate(texts)))).collect()}
+    for i in range(2):
+        at, url = texts[i].index(weak), texts[i].index("https")
+        assert f"secret:{at}:{at + 40}" in got[i] and f"endpoint:{url}:{url + len('https://host.example/x')}" in got[i]
+    assert not any("secret" in got[i] for i in (2, 3, 4))
+
+
 def test_fingerprints(spark):
     rows = [*some_texts(), (None, "no id"), (3, "same id twice")]
     df = docs_of(spark, rows)
