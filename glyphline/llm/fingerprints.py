@@ -75,10 +75,24 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.001, high: f
     return np.sort(np.array([r["term"] for r in found.toLocalIterator()], np.int64).view(np.uint64))
 
 
+def _draw(out: np.ndarray, owner: np.ndarray, value: np.ndarray) -> None:
+    """Sets the subsets' hashes of the texts that are owners; value: their distinct terms."""
+    n, some = len(out), np.unique(owner)
+    for j, power in enumerate(POWERS):
+        seed = mix(np.array([j + 1], np.uint64))[0]
+        draw = mix(value ^ seed)
+        kept = draw >> np.uint64(64 - power) == 0
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, owner[kept], mix(draw[kept]))
+        low = (mix(total) >> np.uint64(32)).astype(np.uint32)
+        out[some, j] = np.where(np.bincount(owner[kept], minlength=n) > 0, np.maximum(low, 1), 0)[some]
+
+
 def subset_hashes(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
     """[text, subset] 32-bit hashes, 0 where the subset has none of the text's terms.
 
-    A text without lexicon terms is hashed by all its distinct words, in every subset.
+    A text none of whose lexicon terms is in any subset draws the subsets from all its distinct words; one
+    of so few words that no subset has any is hashed by all of them, in every subset.
     """
     w = Words(texts)
     h, n = w.hashes(), len(texts)
@@ -88,19 +102,15 @@ def subset_hashes(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
     out = np.zeros((n, len(POWERS)), np.uint32)
     pairs = np.unique(text[known] * max(len(terms), 1) + at[known])  # distinct and sorted in each text
     owner, term = np.divmod(pairs, max(len(terms), 1))
-    value = terms[term] if len(terms) else np.zeros(0, np.uint64)
-    for j, power in enumerate(POWERS):
-        seed = mix(np.array([j + 1], np.uint64))[0]
-        draw = mix(value ^ seed)
-        kept = draw >> np.uint64(64 - power) == 0
-        total = np.zeros(n, np.uint64)
-        np.add.at(total, owner[kept], mix(draw[kept]))
-        low = (mix(total) >> np.uint64(32)).astype(np.uint32)
-        out[:, j] = np.where(np.bincount(owner[kept], minlength=n) > 0, np.maximum(low, 1), 0)
+    _draw(out, owner, terms[term] if len(terms) else np.zeros(0, np.uint64))
     bare = np.flatnonzero((out == 0).all(1))
-    for i in bare:
-        total = np.add.reduce(mix(np.unique(h[w.off[i] : w.off[i + 1]]))) if w.off[i + 1] > w.off[i] else np.uint64(0)
-        out[i] = np.maximum((mix(np.array([total], np.uint64)) >> np.uint64(32)).astype(np.uint32), 1)
+    sets = [np.unique(h[w.off[i] : w.off[i + 1]]) for i in bare]
+    if len(bare):
+        _draw(out, np.repeat(bare, [len(x) for x in sets]), np.concatenate(sets))
+    for i, words in zip(bare, sets, strict=True):
+        if not out[i].any():
+            total = np.add.reduce(mix(words)) if len(words) else np.uint64(0)
+            out[i] = np.maximum((mix(np.array([total], np.uint64)) >> np.uint64(32)).astype(np.uint32), 1)
     return out
 
 

@@ -290,6 +290,18 @@ def test_fingerprints(spark):
     assert np.mean([r.near_edited for r in apart]) > 2 * np.mean([r.near_next for r in apart])
 
 
+def test_texts_without_lexicon_terms_stand_edits():
+    rng = random.Random(1)
+    own = [f"w{i}" for i in range(200)]
+    edited = ["other" if i == 50 else x for i, x in enumerate(own)]
+    rng.shuffle(edited)
+    none = np.zeros(0, np.uint64)
+    a, b, c, d, e = fingerprints.subset_hashes(pa.array([" ".join(own), " ".join(edited), " ".join(f"v{i}" for i in range(200)), "", None]), none)
+    like = lambda x, y: fingerprints.likeness(x[None], y[None])[0]
+    assert 0.3 < like(a, b) < 1 and like(a, c) < 0.1 and (d > 0).all() and (d == e).all()
+    assert all(x.any() for x in fingerprints.subset_hashes(pa.array([f"t{i}" for i in range(300)]), none))
+
+
 def test_lm_scoring(spark):
     rows = [*some_texts(), (None, "no id")]
     df = docs_of(spark, rows)
