@@ -9,6 +9,7 @@ pieces themselves are ranked in their bins and joined with the plan on Spark.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,16 +21,23 @@ from pyspark.sql import functions as F
 from ._shared import materialize, shuffle_partitions
 
 END_ID = 1
-#: Equal pieces are one row with a count, up to this many.
-COPIES = 1000
+#: Blank runs of so many characters are left to ``tokenizers``: the pattern engine of ``tiktoken`` recurses in them.
+LONG_BLANK = 50_000
+#: Ranks are counted in at most so many chunks of each bin.
+MOST_CHUNKS = 1024
 
 
 def encoder(vocabulary: str):
-    """The byte-level BPE of ``vocabulary`` as a function text -> ids; one for each Python worker."""
+    """The byte-level BPE of ``vocabulary`` as a function text -> ids; one for each Python worker.
+
+    ``tiktoken`` gives the ids of ``tokenizers`` in a fifth of the time; texts with very long runs of blanks
+    overflow its stack and go to ``tokenizers``.
+    """
     import json
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     cache = encoder.__dict__.setdefault("made", {})
     if vocabulary not in cache:
@@ -41,9 +49,13 @@ def encoder(vocabulary: str):
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         enc = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        names = list(special)
+        names, plain = list(special), []
 
         def encode(text: str) -> list[int]:
+            if len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in re.finditer(r"\s+", text)):
+                if not plain:
+                    plain.append(Tokenizer.from_file(vocabulary))
+                return plain[0].encode(text, add_special_tokens=False).ids
             if any(x in text for x in names):
                 return enc.encode(text, allowed_special="all")
             return enc.encode_ordinary(text)
@@ -171,31 +183,31 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     A document's ids are its text's (null: empty) and the end id 1. It is cut at every multiple of
     ``window`` and nowhere else; each piece gets a place in one sequence of at most ``window`` ids.
-    Offsets run without gaps from 0. Rows with one id are documents of their own. Equal pieces are
-    interchangeable. An empty table gives no rows. Other columns are ignored.
+    Offsets run without gaps from 0. Rows with one id are documents of their own, null ids too. Which of
+    the pieces of one bin gets which place follows their order in the input. An empty table gives no rows. Other columns are ignored.
     """
     spark, bins = docs.sparkSession, window // step
+    chunks = min(shuffle_partitions(spark), MOST_CHUNKS)
     pieces = token_pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary, window)
-    pieces = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("n"))
-    pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}")))).withColumn("n", F.least(F.col("n") - COPIES * F.col("part"), F.lit(COPIES)))
-    pieces = materialize(pieces.withColumn("bin", F.ceil(F.col("length") / step).cast("int")), "pieces")
-    histogram = {r["bin"]: r["n"] for r in pieces.groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # at most ``bins`` rows
-    rows, sequence, used = [], 0, dict.fromkeys(range(bins + 1), 0)
-    for shape, n in plan_windows(histogram, bins, depth):
+    # numbered once and written with the number: equal pieces are told apart and spread over the chunks
+    numbered = pieces.withColumn("bin", F.ceil(F.col("length") / step).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    pieces = materialize(numbered.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int")), "pieces")
+    sizes = pieces.groupBy("bin", "chunk").agg(F.count("*").alias("n")).toArrow().sort_by([("bin", "ascending"), ("chunk", "ascending")])  # at most bins x MOST_CHUNKS rows
+    bin_, n = (np.asarray(sizes.column(c), np.int64) for c in ("bin", "n"))
+    total = np.bincount(bin_, n, bins + 1).astype(np.int64)
+    # of each chunk: the pieces of its bin in the chunks before
+    sums = np.cumsum(n) - n
+    before = pa.table({"bin": sizes.column("bin"), "chunk": sizes.column("chunk"), "before": pa.array(sums - (np.cumsum(total) - total)[bin_], pa.int64())})
+    rows, sequence, used = [], 0, np.zeros(bins + 1, np.int64)
+    for shape, many in plan_windows({k: int(total[k]) for k in np.flatnonzero(total).tolist()}, bins, depth):
         for slot, k in enumerate(shape):
-            rows.append((k, used[k], used[k] + n, sequence, slot))
-            used[k] += n
-        sequence += n
+            rows.append((k, int(used[k]), int(used[k]) + many, sequence, slot))
+            used[k] += many
+        sequence += many
     plan = spark.createDataFrame(rows, "bin int, low long, high long, sequence long, slot int")
-    # ranks in each bin without bringing a bin together: ranks in chunks, plus the chunks before
-    chunk = F.pmod(F.xxhash64("id", "start", "ids_crc32", "part"), F.lit(shuffle_partitions(spark))).cast("int")
-    pieces = pieces.withColumn("chunk", chunk)
-    sizes = pieces.groupBy("bin", "chunk").agg(F.sum("n").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("bin").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("bin", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
-    in_chunk = F.sum("n").over(Window.partitionBy("bin", "chunk").orderBy("id", "start", "ids_crc32", "length", "doc_tokens", "part").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = pieces.withColumn("at", F.coalesce(in_chunk, F.lit(0))).join(sizes, ["bin", "chunk"])
-    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).withColumn("rank", F.col("at") + F.col("before") + F.col("copy"))
+    in_chunk = F.row_number().over(Window.partitionBy("bin", "chunk").orderBy("row")) - 1
+    offsets = spark.createDataFrame(before) if len(bin_) else spark.createDataFrame([], "bin int, chunk int, before long")
+    ranked = pieces.withColumn("at", in_chunk).join(F.broadcast(offsets), ["bin", "chunk"]).withColumn("rank", F.col("at") + F.col("before"))
     # the plan has a few rows for each of at most ``bins`` bins, whatever the data
     placed = ranked.alias("r").join(F.broadcast(plan.alias("p")), (F.col("r.bin") == F.col("p.bin")) & (F.col("r.rank") >= F.col("p.low")) & (F.col("r.rank") < F.col("p.high")))
     placed = placed.select("r.id", "r.start", "r.length", "r.ids_crc32", "r.doc_tokens", (F.col("p.sequence") + F.col("r.rank") - F.col("p.low")).alias("sequence_id"), "p.slot")

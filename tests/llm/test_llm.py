@@ -142,6 +142,25 @@ def test_packing_round_trip(spark):
         assert at <= 2048
 
 
+def test_encoder_takes_very_long_runs():
+    from tokenizers import Tokenizer
+
+    encode, tk = packing.encoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    for text in (" " * 2_000_000, "\t" * 2_000_000, "x" + "\n" * 2_000_000 + "y <|endoftext|>", "a" * 2_000_000, "\u00a0 " * 60_000):
+        assert encode(text) == tk.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_many_equal_rows_and_blanks(spark):
+    rows = [(7, "the same text")] * 3000 + [(None, "the same text")] * 50 + [(8, " " * 2_000_000)]
+    got = packing.pack(docs_of(spark, rows).repartition(8), vocabulary()).collect()
+    assert sum(r.start == 0 for r in got) == len(rows) and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    held = collections.Counter()
+    for r in got:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 2048 and sum(r.length for r in got if r.doc_id == 8) == 2_000_001
+    assert all(sum(r.length for r in got if r.sequence_id == q and r.offset < at.offset) == at.offset for at in got[:200] for q in [at.sequence_id])
+
+
 def test_nnls_and_plan():
     rng = np.random.default_rng(0)
     a = rng.uniform(0, 1, (20, 8))
