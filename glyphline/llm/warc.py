@@ -1,8 +1,9 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 Each record is a gzip member of its own.  The reader cuts archives into byte ranges; the task of a range
-looks for the gzip magic, checks a candidate by decoding it (a WARC header, the member's checksum, and
-another member or the end of the file after it), and owns the records that start in its range.
+looks for the gzip magic, takes a candidate whose first bytes decode to a WARC header as a record, and owns the
+records that start in its range.  A record that is damaged, cut off, or followed by anything but another member,
+zero bytes and the end of the file is an error, or a row with one.
 """
 
 from __future__ import annotations
@@ -84,69 +85,133 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return materialize(d.mapInArrow(run, "file string, records long, bytes long"), "warc-files")
 
 
-def _member(f, start: int, length: int) -> tuple[bytes, int] | None:
-    """The decoded member that starts at ``start`` and its end, if it is a WARC record's."""
-    z, at, got = zlib.decompressobj(31), start, []
-    step = 1 << 12
+class Damaged(ValueError):
+    """Bytes of an archive that should be a record, and aren't."""
+
+
+class _Ahead:
+    """Reads of a file at any place, by blocks: small ones behind each other cost one request."""
+
+    def __init__(self, f, length: int, block: int = 1 << 20):
+        self.f, self.length, self.block, self.at, self.data = f, length, block, 0, b""
+
+    def read_at(self, n: int, at: int) -> bytes:
+        n = max(min(n, self.length - at), 0)
+        if not self.at <= at <= at + n <= self.at + len(self.data):
+            self.at, self.data = at, self.f.read_at(min(max(n, self.block), self.length - at), at)
+        return self.data[at - self.at : at - self.at + n]
+
+
+#: So much of a candidate is decoded to tell a record from chance bytes: a record's header begins with this.
+HEAD = b"WARC/"
+
+
+def _starts_record(f, at: int, length: int) -> bool:
+    """Whether a member starts at ``at`` whose first bytes are a WARC header's."""
+    if at + 18 > length:
+        return False
+    z, got, end = zlib.decompressobj(31), b"", at
+    try:
+        while len(got) < len(HEAD) and end < length and not z.eof:
+            data = f.read_at(min(1 << 10, length - end), end)
+            end += len(data)
+            got += z.decompress(data, len(HEAD) - len(got))
+    except zlib.error:
+        return False
+    return got == HEAD
+
+
+def _member(f, start: int, length: int) -> tuple[bytes, int]:
+    """The decoded record that starts at ``start``, and its member's end."""
+    z, at, got, step = zlib.decompressobj(31), start, [], 1 << 12
     try:
         while not z.eof:
             data = f.read_at(min(step, length - at), at) if at < length else b""
             if not data:
-                return None
+                raise Damaged(f"the file ends inside the record at byte {start}")
             got.append(z.decompress(data))
             at += len(data)
-            if len(got) == 1 and len(got[0]) >= 5 and not got[0].startswith(b"WARC/"):
-                return None
             step = min(4 * step, 1 << 20)
-    except zlib.error:
-        return None
-    end = at - len(z.unused_data)
-    whole = b"".join(got)
-    if not whole.startswith(b"WARC/") or (end < length and f.read_at(min(3, length - end), end) != MAGIC):
-        return None
-    return whole, end
+    except zlib.error as e:
+        raise Damaged(f"the record at byte {start} can't be decoded: {e}") from e
+    return b"".join(got), at - len(z.unused_data)
 
 
-def members(f, start: int, end: int, length: int) -> Iterator[bytes]:
-    """The records whose members start in [start, end)."""
-    at = start
+def _find(f, at: int, end: int, length: int) -> tuple[int, int]:
+    """The next record's start from ``at`` on, if it is before ``end``, else ``end``; and how many bytes other than zero were passed."""
+    passed, size = 0, 1 << 10
     while at < end:
-        window = f.read_at(min(1 << 20, length - at), at)
+        window = f.read_at(size, at)
+        size = min(4 * size, 1 << 20)
         i = window.find(MAGIC)
-        if i < 0:
-            at += max(len(window) - 2, 1) if len(window) > 2 else len(window) + 1
+        if 0 <= i and at + i < end and _starts_record(f, at + i, length):
+            return at + i, passed + i - window.count(0, 0, i)
+        step = i + 1 if i >= 0 else max(len(window) - 2, 1)
+        step = min(step, end - at)
+        passed += step - window.count(0, 0, step)
+        at += step
+    return end, passed
+
+
+def members(f, start: int, end: int, length: int) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """(offset, record, None) of the records whose members start in [start, end); (offset, None, error) where one is damaged.
+
+    What stands before the first record of a range belongs to the range before: between the records that a range owns and
+    up to the next one nothing but zero bytes may stand.
+    """
+    if start == 0:
+        at, passed = _find(f, 0, length, length)
+        if passed or at == length:
+            yield 0, None, "no record at the begin of the file"
+    else:
+        at, _ = _find(f, start, end, length)
+    while at < end:
+        try:
+            raw, after = _member(f, at, length)
+            yield at, raw, None
+        except Damaged as e:
+            yield at, None, str(e)
+            after = at + 1  # the damage is told; what follows is looked for behind its magic
+            at, _ = _find(f, after, length, length)
             continue
-        at += i
-        if at >= end:
-            return
-        found = _member(f, at, length)
-        while found:
-            yield found[0]
-            at = found[1]
-            found = _member(f, at, length) if at < end else None
-        at += at < end  # not a member: look on behind it
+        at, passed = _find(f, after, length, length)
+        if passed:
+            yield after, None, f"{passed} bytes that are no record behind byte {after}"
 
 
 def parse(raw: bytes) -> dict:
+    """The fields of a record; one that contradicts itself (lengths, digest) or lacks a field is damaged."""
+    try:
+        return _parse(raw)
+    except (KeyError, StopIteration, UnicodeDecodeError, IndexError, ValueError) as e:
+        raise Damaged(f"the record is not as its header says: {e!r}") from e
+
+
+def _parse(raw: bytes) -> dict:
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
     block = rest[: int(fields["content-length"])]
+    if len(block) != int(fields["content-length"]):
+        raise ValueError("the block is shorter than its length")
     http, _, body = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length"))
     urn = lambda x: None if x is None else x.removeprefix("<urn:page:").removesuffix(">")
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
     if fields["warc-type"] == "response" and (len(body) != size or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
-        raise ValueError(f"damaged record {fields.get('warc-record-id')}")
+        raise ValueError(f"length or digest of {fields.get('warc-record-id')}")
     return {"record_id": urn(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_bytes": size, "payload_digest": digest, "refers_to": urn(fields.get("warc-refers-to")), "payload": body if fields["warc-type"] == "response" else None}
 
 
-def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads: bool = True, most_tasks: int = 20_000) -> DataFrame:
+def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads: bool = True, most_tasks: int = 20_000, errors: str = "raise") -> DataFrame:
     """Records of all archives in ``folder``: record_id, target_uri, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
 
-    payload_bytes and payload_digest are of the full payload; a response whose payload doesn't
-    have them is an error. An empty folder gives no rows.
+    payload_bytes and payload_digest are of the full payload. No record is passed over: one that is cut off, doesn't decode, or
+    isn't as its header says, and bytes that belong to no record (zero bytes as padding may) are an error that names file and offset;
+    with ``errors="rows"`` they are rows with an ``error`` and nulls, and reading goes on at the next record. An empty folder gives no rows,
+    a file of no bytes none.
     """
-    schema = "record_id string, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
+    schema = "record_id string, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary, error string"
+    names = [x.split()[0] for x in schema.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").where("length > 0")
     splits = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, "length"))
@@ -158,20 +223,30 @@ def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads
         for batch in batches:
             for s in batch.to_pylist():
                 system, path = _open(s["path"])
-                with system.open_input_file(path) as f:
+                with system.open_input_file(path) as opened:
+                    f = _Ahead(opened, s["length"])
                     rows, size = [], 0
-                    for raw in members(f, s["start"], s["end"], s["length"]):
-                        rows.append(parse(raw))
+                    for at, raw, error in members(f, s["start"], s["end"], s["length"]):
+                        try:
+                            if error:
+                                raise Damaged(error)
+                            rows.append({"error": None} | parse(raw))
+                        except Damaged as e:
+                            said = f"{s['path']}, byte {at}: {e}"
+                            if errors == "raise":
+                                raise Damaged(said) from e
+                            rows.append(dict.fromkeys(names) | {"error": said})
                         if not payloads:
                             rows[-1]["payload"] = None
-                        size += len(raw)
+                        size += len(raw or b"")
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, arrow)
                             rows, size = [], 0
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return splits.mapInArrow(run, schema)
+    out = splits.mapInArrow(run, schema)
+    return out if errors == "rows" else out.drop("error")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = True, split_bytes: int = 16 << 20, **how) -> DataFrame:

@@ -263,6 +263,46 @@ def test_warc(spark, tmp_path):
             assert r.payload == (body if first == i else None)
 
 
+def test_warc_tells_of_damage(spark, tmp_path):
+    prepare(spark)
+    rng = random.Random(3)
+    parts = [zlib.compressobj(4, zlib.DEFLATED, 31) for _ in range(5)]
+    body = ["".join(chr(rng.randint(32, 1000)) for _ in range(400)).encode() for _ in parts]
+    digest = [base64.b32encode(hashlib.sha1(b).digest()).decode() for b in body]
+    parts = [z.compress(warc.record(i, None, body[i], digest[i], None, "1970-01-01T00:00:00Z")) + z.flush() for i, z in enumerate(parts)]
+    at = [0, *np.cumsum([len(x) for x in parts]).tolist()]
+    whole = b"".join(parts)
+    lie = zlib.compressobj(4, zlib.DEFLATED, 31)
+    lie = lie.compress(warc.record(2, None, body[2], digest[3], None, "1970-01-01T00:00:00Z")) + lie.flush()
+    flipped = lambda i: whole[:i] + bytes([whole[i] ^ 255]) + whole[i + 1 :]
+    cases = {
+        "whole": (whole, range(5), 0), "padded": (whole + bytes(5000), range(5), 0), "padded_inside": (whole[: at[2]] + bytes(100) + whole[at[2] :], range(5), 0),
+        "flipped": (flipped(at[2] + 200), [0, 1, 3, 4], 1), "checksum": (flipped(at[3] - 6), [0, 1, 3, 4], 1), "magic": (flipped(at[2]), [0, 1, 3, 4], 1),
+        "cut": (whole[: at[4] + 150], [0, 1, 2, 3], 1), "trailing": (whole + b"xyz", range(5), 1), "leading": (b"xyz" + whole, range(5), 1),
+        "lie": (b"".join([*parts[:2], lie, *parts[3:]]), [0, 1, 3, 4], 1), "junk": (b"nothing here", [], 1), "no_bytes": (b"", [], 0),
+    }
+    for name, (data, ids, wrong) in cases.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.warc.gz").write_bytes(data)
+        for split in (at[1] // 2 + 7, 1 << 20):
+            got = warc.read(spark, f"file://{folder}", split, errors="rows").collect()
+            assert sorted(int(r.record_id) for r in got if r.error is None) == list(ids), (name, split)
+            assert sum(r.error is not None for r in got) == wrong, (name, split, [r.error for r in got])
+        if wrong:
+            with pytest.raises(Exception, match="byte"):
+                warc.read(spark, f"file://{folder}").collect()
+
+
+def test_warc_of_null_and_repeated_ids(spark):
+    prepare(spark)
+    rows = [(None, "u", "a"), (1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (None, "u", "only"), (None, None, "only"), (5, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.record_id or "", r.record_type, r.refers_to or "", r.payload_bytes) for r in warc.round_trip(pages).collect())
+    assert got == [("", "response", "", 4), ("", "response", "", 4), ("", "revisit", "1", 1), ("1", "response", "", 1), ("1", "response", "", 1), ("2", "revisit", "1", 1), ("5", "response", "", 0)]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
 def test_secrets(spark):
     key, weak = "AKIA" + "ABCDEFGH12345678", "abcdEFGH" * 5
     texts = ["", None, f'password = "hunter22" {key} {weak} https://host.example/x', weak, f"{key}{' ' * 2000}{weak}", "é" * 5 + "api_key:abc token=abcdefg " + "0af" * 9, "TOKEN: short token = token: abcdefgh", key, "deadbeef" * 3]
