@@ -2,8 +2,10 @@
 
 Segments of a path that look like numbers or hashes become wildcards, and so do the children of a node that
 has many different ones which hardly repeat.  URLs that a rule decides are the labelled ones.  Sibling
-templates whose labels don't differ significantly from their pool are merged with it, and a template is
-rejected where the smoothed share of blocked labels is high.
+branches that are statistically alike share their labels: labelled ones whose share of blocked labels, and
+unlabelled ones whose share of variable segments below, don't differ significantly from their siblings' in all.
+A node's purity is the share of blocked labels, smoothed towards its parent's purity (a host's towards a half), so
+that branches with few labels or none follow what is known of their host.  Templates of high purity are rejected.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize
 
+#: Templates of up to so many bytes are broadcast to the URLs; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,58 +37,82 @@ def matched_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Col
     return rule, verdict
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The first ``depth`` segments, variable looking ones as wildcards; ``**`` stands for what is deeper."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+def segments(path: Column) -> Column:
+    """The segments, variable looking ones as wildcards."""
     shape = lambda s: (
         F.when(s.rlike("^[0-9]+$"), F.lit("{n}")).when(s.rlike(r"^[0-9]+\.[A-Za-z]+$"), F.concat(F.lit("{n}."), F.regexp_extract(s, r"\.([A-Za-z]+)$", 1))).when(s.rlike("^[0-9a-fA-F-]{8,}$"), F.lit("{x}")).otherwise(s)
     )
-    return F.when(F.size(parts) > depth, F.concat(F.transform(F.slice(parts, 1, depth), shape), F.array(F.lit("**")))).otherwise(F.transform(parts, shape))
-
-
-def generalise(leaves: DataFrame, depth: int, max_children: int, min_repeat: float) -> DataFrame:
-    """leaves(host, segs, n, ...) with ``node``: segs where wildcards replace the children of crowded nodes, level by level."""
-    out = materialize(leaves.withColumn("node", F.lit("")), "url-tree")
-    for level in range(1, depth + 2):
-        seg = F.when(F.size("segs") >= level, F.element_at("segs", level))
-        out = out.withColumn("seg", seg)
-        children = out.where("seg is not null").groupBy("host", "node", "seg").agg(F.sum("n").alias("n"))
-        crowd = children.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("urls"))
-        crowd = crowd.where((F.col("kinds") > max_children) & (F.col("urls") < min_repeat * F.col("kinds"))).select("host", "node", F.lit(True).alias("crowded"))
-        out = out.join(crowd, ["host", "node"], "left")
-        step = F.when(F.col("seg").isNull(), "").when(F.col("crowded"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("seg")))
-        # each level reads the last one three times; written, it is made once
-        out = materialize(out.withColumn("node", F.concat("node", step)).drop("seg", "crowded"), "url-tree")
-    return out
-
-
-def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", depth: int = 3, max_children: int = 20, min_repeat: float = 5.0, smoothing: float = 2.0, z_merge: float = 1.96, reject: float = 0.7) -> DataFrame:
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
+
+
+def generalise(leaves: DataFrame, max_children: int, min_repeat: float) -> DataFrame:
+    """leaves(host, segs, n, ...) with ``steps``: segs where ``*`` replaces the children of crowded nodes.
+
+    The tree grows level by level, as deep as paths that part go; what is alone below its node keeps its segments.
+    """
+    out = materialize(leaves.withColumn("steps", F.array().cast("array<string>")).withColumn("open", F.size("segs") > 0), "url-tree")
+    level = 0
+    while not out.where("open").isEmpty():
+        level += 1
+        children = out.where("open").groupBy("host", "steps", F.element_at("segs", level).alias("seg")).agg(F.sum("n").alias("n"), F.count("*").alias("below"))
+        nodes = children.groupBy("host", "steps").agg(F.count("*").alias("kinds"), F.sum("n").alias("urls"), F.sum("below").alias("below"))
+        crowded = (F.col("kinds") > max_children) & (F.col("urls") < min_repeat * F.col("kinds"))
+        nodes = nodes.select("host", "steps", crowded.alias("crowded"), (F.col("below") == 1).alias("alone"))
+        step = F.when(F.col("crowded"), F.lit("*")).otherwise(F.get("segs", F.lit(level - 1)))
+        longer = F.when(~F.col("open"), F.col("steps")).when(F.col("alone"), F.concat("steps", F.slice("segs", level, F.greatest(F.size("segs"), F.lit(1))))).otherwise(F.concat("steps", F.array(step)))
+        out = out.join(nodes, ["host", "steps"], "left").withColumn("steps", longer)
+        # each level reads the last one twice; written, it is made once
+        out = materialize(out.withColumn("open", F.col("open") & ~F.col("alone") & (F.size("segs") > level)).drop("crowded", "alone"), "url-tree")
+    return out.drop("open")
+
+
+def purities(templates: DataFrame, smoothing: float, z_merge: float) -> DataFrame:
+    """templates(host, steps, n, bad, labelled) -> host, steps, purity."""
+    level = F.explode(F.sequence(F.lit(0), F.size("steps"))).alias("level")
+    at = templates.select("*", level).withColumn("node", F.expr("slice(steps, 1, level)"))
+    variable = F.coalesce(F.expr("get(steps, level)").rlike(r"^(\*|\{)"), F.lit(False))
+    nodes = at.groupBy("host", "level", "node").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.sum(F.when(variable, F.col("n")).otherwise(0)).alias("wild"))
+    nodes = nodes.withColumn("parent", F.expr("slice(node, 1, greatest(level - 1, 0))"))
+    deep = nodes.where("level > 0")
+    pool = deep.groupBy("host", "level", "parent").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "bad", "labelled", "wild")))
+    t = deep.join(pool, ["host", "level", "parent"])
+
+    def alike(some: str, of: str) -> Column:
+        share = F.try_divide(f"all_{some}", f"all_{of}")
+        spread = F.sqrt(share * (1 - share) / F.col(of))
+        return (spread == 0) | (F.abs(F.col(some) / F.col(of) - share) < z_merge * spread)
+
+    t = t.withColumn("alike", F.when(F.col("labelled") > 0, alike("bad", "labelled")).otherwise(alike("wild", "n")))
+    merged = t.where("alike").groupBy("host", "level", "parent").agg(F.sum("bad").alias("m_bad"), F.sum("labelled").alias("m_labelled"))
+    t = t.join(merged, ["host", "level", "parent"], "left")
+    own = t.select("host", "node", *(F.when(F.col("alike"), F.col(f"m_{c}")).otherwise(F.col(c)).alias(c) for c in ("bad", "labelled")))
+    own = own.unionByName(nodes.where("level = 0").select("host", "node", "bad", "labelled"))
+    way = at.select("host", "steps", "level", "node").join(own, ["host", "node"]).groupBy("host", "steps").agg(F.array_sort(F.collect_list(F.struct("level", "bad", "labelled"))).alias("way"))  # as long as the path
+    down = F.aggregate("way", F.lit(0.5), lambda p, x: (x["bad"] + smoothing * p) / (x["labelled"] + smoothing))
+    return way.select("host", "steps", F.round(down, 9).alias("purity"))
+
+
+def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", max_children: int = 20, min_repeat: float = 5.0, smoothing: float = 2.0, z_merge: float = 1.96, reject: float = 0.7) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, template, purity.
 
-    verdict is the rule's, else block where purity, the template's share of blocked labels smoothed
-    towards a half, reaches ``reject``, else allow: without labels nothing is blocked. Null URLs and those without ``://`` have an empty host and path,
-    which are a host and a path like others. Repeated rows are judged each. Other columns are ignored.
+    verdict is the rule's, else block where the template's purity reaches ``reject``, else allow: on a host
+    without labels nothing is blocked. Null URLs and those without ``://`` have an empty host and path,
+    which are a host and a path like others. Repeated rows are judged each. Other columns, whatever their names, are ignored.
+    An empty table gives no rows.
     """
     host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(id_col), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    urls = pages.select(F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumn("rule", rule).withColumn("said", said).withColumn("segs", segments(F.col("path"), depth))
+    urls = urls.withColumn("rule", rule).withColumn("said", said).withColumn("segs", segments(F.col("path")))
     # the tree is built from distinct shapes: counted before any shuffle, a busy host is a few rows
     leaves = urls.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count(F.when(F.col("said") == "block", 1)).alias("bad"), F.count("said").alias("labelled"))
-    leaves = generalise(leaves, depth, max_children, min_repeat)
-    templates = leaves.groupBy("host", "node").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    templates = templates.withColumn("parent", F.regexp_replace("node", "/[^/]*$", ""))
-    pool = templates.groupBy("host", "parent").agg(F.sum("bad").alias("pool_bad"), F.sum("labelled").alias("pool_labelled"))
-    t = templates.join(pool, ["host", "parent"])
-    share = F.try_divide("pool_bad", "pool_labelled")
-    z = F.try_divide(F.abs(F.try_divide("bad", "labelled") - share), F.sqrt(F.try_divide(share * (1 - share), F.col("labelled"))))
-    alike = F.coalesce((F.col("labelled") > 0) & ((share * (1 - share) == 0) | (z < z_merge)), F.lit(False))
-    t = t.withColumn("alike", alike)
-    merged = t.where("alike").groupBy("host", "parent").agg(F.sum("bad").alias("m_bad"), F.sum("labelled").alias("m_labelled"))
-    t = t.join(merged, ["host", "parent"], "left")
-    bad, labelled = (F.when(F.col("alike"), F.col(f"m_{c}")).otherwise(F.col(c)) for c in ("bad", "labelled"))
-    t = t.select("host", "node", F.round((bad + smoothing / 2) / (labelled + smoothing), 9).alias("purity"))
-    known = leaves.select("host", "segs", "node").join(t, ["host", "node"])
+    leaves = generalise(leaves, max_children, min_repeat)
+    templates = leaves.groupBy("host", "steps").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "labelled")))
+    known = leaves.select("host", "segs", "steps").join(purities(templates, smoothing, z_merge), ["host", "steps"])
+    known = materialize(known.select("host", "segs", F.concat(F.lit("/"), F.array_join("steps", "/")).alias("template"), "purity"), "url-templates")
+    held = known.agg(F.sum(F.octet_length("host") + F.octet_length("template") + F.octet_length(F.array_join("segs", "/")) + 100)).first()[0] or 0
+    if held <= BROADCAST_BYTES:  # else a hot host is split by the adaptive join
+        known = F.broadcast(known)
     out = urls.join(known, ["host", "segs"])
     verdict = F.coalesce("said", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.col("node").alias("template"), "purity")
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

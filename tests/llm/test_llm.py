@@ -240,10 +240,113 @@ def test_url_filter(spark):
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(8)] == [
         ("a.example.com", "/en/71", "example.com/en/7"), ("x.net", "/de/1", "net/de/"), ("example.net", "/de/8", "example.net/de/8"), ("", "", None), ("", "", None), ("org", "/es/", "org/es/"), ("h.com", "", None), ("h.com", "/en/5", "com/en/"),
     ]
-    assert got[8 + 5].verdict == "block" and got[8 + 5].rule is None and got[38].verdict == "allow"
+    assert got[8 + 5].verdict == "block" and got[8 + 5].rule is None and got[38].verdict == "block"  # its host is blocked wherever it is labelled
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def tree_by_hand(urls, rules, max_children, min_repeat, smoothing=2.0, z_merge=1.96, reject=0.7):
+    """Plain Python of the tree's rule: url -> (template, purity, verdict)."""
+
+    def parts(url):
+        if not url or "://" not in url:
+            return "", ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups()
+        return host.lower(), path
+
+    def shape(x):
+        m = re.fullmatch(r"[0-9]+(\.[A-Za-z]+)?", x)
+        return "{n}" + (m[1] or "") if m else "{x}" if re.fullmatch("[0-9a-fA-F-]{8,}", x) else x
+
+    def said(host, path):
+        fit = [(len(r), r, v) for r, v in rules.items() if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fit)[1:] if fit else (None, None)
+
+    leaves = collections.defaultdict(lambda: [0, 0, 0])
+    for u in urls:
+        host, path = parts(u)
+        leaf = leaves[host, tuple(shape(x) for x in path.split("/") if x)]
+        rule, v = said(host, path)
+        leaf[0] += 1
+        leaf[1] += v == "block"
+        leaf[2] += v is not None
+    steps = {}
+
+    def grow(host, node, below):
+        here = [x for x in below if len(x) == len(node)]
+        steps.update({(host, x): node for x in here})
+        below = [x for x in below if len(x) > len(node)]
+        if len(below) == 1:
+            steps[host, below[0]] = node + below[0][len(node) :]
+            return
+        kinds = {x[len(node)] for x in below}
+        crowded = len(kinds) > max_children and sum(leaves[host, x][0] for x in below) < min_repeat * len(kinds)
+        for kind in {"*"} if crowded and kinds else kinds:
+            grow(host, (*node, kind), [x for x in below if crowded or x[len(node)] == kind])
+
+    for host in {h for h, _ in leaves}:
+        grow(host, (), [x for h, x in leaves if h == host])
+    nodes = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for (host, x), way in steps.items():
+        for k in range(len(way) + 1):
+            n = nodes[host, way[:k]]
+            n[:3] = [a + b for a, b in zip(n, leaves[host, x], strict=False)]
+            n[3] += leaves[host, x][0] * (k < len(way) and way[k][0] in "*{")
+
+    def alike(a, n, all_a, all_n):
+        share = all_a / all_n
+        spread = (share * (1 - share) / n) ** 0.5
+        return spread == 0 or abs(a / n - share) < z_merge * spread
+
+    def labels(host, node):
+        """(bad, labelled) that count for a node."""
+        if not node:
+            return nodes[host, node][1:3]
+        kin = [v for (h, x), v in nodes.items() if h == host and len(x) == len(node) and x[:-1] == node[:-1]]
+        total = [sum(v[i] for v in kin) for i in range(4)]
+        same = [v for v in kin if (alike(v[1], v[2], total[1], total[2]) if v[2] else alike(v[3], v[0], total[3], total[0]))]
+        own = nodes[host, node]
+        return [sum(v[i] for v in same) for i in (1, 2)] if own in same else own[1:3]
+
+    out = []
+    for u in urls:
+        host, path = parts(u)
+        way, p = steps[host, tuple(shape(x) for x in path.split("/") if x)], 0.5
+        for k in range(len(way) + 1):
+            bad, labelled = labels(host, way[:k])
+            p = (bad + smoothing * p) / (labelled + smoothing)
+        rule, v = said(host, path)
+        out.append((host, path, rule, v or ("block" if round(p, 9) >= reject else "allow"), "/" + "/".join(way), p))
+    return out
+
+
+def test_url_tree_is_brute_force(spark):
+    prepare(spark)
+    rng = random.Random(4)
+    rules = RULES | {"b.com/ads/1": "block", "b.com/a/": "allow", "h.org/x/": "block"}
+    urls = [None, "", "nothing", "HTTP://B.com", "http://b.com?x", "http://b.com/a/b/c/d/e/f/7", "http://b.com/a/b/c/d/e/g/7.html", "http://b.com/a/b/c/d/e/g/7.html"]
+    for host in ("b.com", "x.com", "y.net", "h.org", "none.info"):
+        for _ in range(120):
+            depth = rng.randint(0, 5)
+            way = [rng.choice(["en", "de", "es", "ads", "a", "x", "w%d" % rng.randint(0, 30), str(rng.randint(0, 2000)), "%d.html" % rng.randint(0, 99), "deadbeef-%d" % rng.randint(0, 9)]) for _ in range(depth)]
+            urls.append(f"http://{rng.choice(['', 'm.'])}{host}/" + "/".join(way) + rng.choice(["", "/", "?q=/1", "#t"]))
+    pages = spark.createDataFrame([(i, u, "h", "r", 1, "s") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string, n int, steps string").repartition(3)
+    for crowd, repeat in ((20, 5.0), (4, 3.0)):
+        got = {r.page_id: r for r in url_filter.judge(pages.union(pages.where("page_id = 9")), rules, max_children=crowd, min_repeat=repeat).collect()}
+        want = tree_by_hand([*urls, urls[9]], rules, crowd, repeat)
+        for i in range(len(urls)):
+            r = got[i]
+            assert (r.host, r.path, r.rule, r.verdict, r.template) == want[i][:5] and abs(r.purity - want[i][5]) < 1e-8, (urls[i], r, want[i])
+        free = [r for r in got.values() if r.rule is None]
+        assert {r.verdict for r in free} == {"allow", "block"} and all(r.verdict == "allow" for r in free if r.host.endswith("none.info"))
+
+
+def test_url_tree_follows_a_host_whose_labels_are_blocked(spark):
+    prepare(spark)
+    urls = [f"http://{h}/{a}/{i}" for h, a in (("bad.com", "en"), ("bad.com", "de"), ("good.net", "de"), ("good.net", "en"), ("new.info", "en")) for i in range(20)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
+    assert {(r.host, r.path.split("/")[1], r.verdict) for r in got} == {("bad.com", "en", "block"), ("bad.com", "de", "block"), ("good.net", "de", "allow"), ("good.net", "en", "allow"), ("new.info", "en", "allow")}
+
+
 def test_warc(spark, tmp_path):
     prepare(spark)
     rng = random.Random(1)
