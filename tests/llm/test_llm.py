@@ -117,6 +117,36 @@ def test_mixing(spark):
     assert {r.source for r in none.collect()} == {"small"}
 
 
+def test_mixing_counts_are_poisson_of_any_rate(spark):
+    import time
+
+    prepare(spark)
+    rates = [0.0, 0.3, 1.0, 7.5, 20.0, 400.0, 12345.678, 1e6]
+    start = time.time()
+    tables = {r.rate: r for r in mixing.poisson(spark.createDataFrame([(x,) for x in rates], "rate double")).collect()}
+    assert time.time() - start < 20
+    for x in rates[1:]:
+        first, cdf, k, log = tables[x].first, tables[x].cdf, 0, -x
+        logs = np.log(np.arange(1, first + len(cdf) + 1))
+        p = np.exp(-x + np.arange(first + len(cdf)) * np.log(x) - np.r_[0, np.cumsum(logs)[: first + len(cdf) - 1]])
+        assert np.allclose(np.cumsum(p)[first:], cdf, atol=1e-7) and abs(cdf[-1] - 1) < 1e-7 and np.cumsum(p)[first] < 1e-6 or first == 0
+    assert tables[0.0].cdf == [1.0]
+    values = [0.1, 0.25, 0.5, 0.5, 1.0]
+    at = [0.0, 0.1, 0.2, 0.25, 0.49, 0.5, 0.99, 1.0]
+    got = spark.createDataFrame([(values, u) for u in at], "cdf array<double>, u double").select("u", mixing.inverted(F.col("cdf"), F.col("u")).alias("n")).collect()
+    assert {r.u: r.n for r in got} == {u: sum(c <= u for c in values) for u in at}
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = docs_of(spark, [(None, "lost"), (None, None), (3, "x" * 50), (3, ""), (4, "x" * 50)])
+    df = rows.selectExpr("*", "1 cdf", "2 copy", "3 copies", "4 _u", "5 _source", "6 row", "7 first", "8 rate")
+    got = mixing.mix_sources(df)
+    assert got.columns == [c for c in df.columns if c not in ("copy", "copies")] + ["copy", "copies", "shuffle_key"]
+    assert all((r.cdf, r._u, r._source, r.row, r.first, r.rate) == (1, 4, 5, 6, 7, 8) for r in got.collect())
+    other = mixing.mix_sources(df, names=("a", "b", "c"))
+    assert other.columns == [*df.columns, "a", "b", "c"] and all((r.copy, r.copies) == (2, 3) for r in other.collect())
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
