@@ -462,6 +462,28 @@ def test_secrets_behind_an_equals_sign(spark):
     assert not any("secret" in got[i] for i in (2, 3, 4))
 
 
+def test_linked_spans_are_brute_force(spark):
+    rng = random.Random(6)
+    b64 = lambda n: "".join(rng.choice("abcdefghijXYZ0123456789+/") for _ in range(n))
+    make = [
+        lambda: "AKIA" + "".join(rng.choice("ABCDEFGH0123") for _ in range(16)), lambda: "ASIA" + "".join(rng.choice("ABCDEFGH0123") for _ in range(16)), lambda: f"client_id = '{b64(6).replace('/', 'x').replace('+', 'y')}'",
+        lambda: b64(40), lambda: b64(86) + "==", lambda: f"https://h{rng.randint(0, 99)}.example/x", lambda: f'password: "{rng.randint(100000, 999999)}"', lambda: "%030x" % rng.getrandbits(120), lambda: "aws_secret_access_key=" + b64(40),
+    ]
+    texts = ["".join(rng.choice(make)() + rng.choice([" ", "\n", ", é "]) + "w " * rng.choice([0, 3, 60, 130, 400]) for _ in range(rng.randint(0, 8))) for _ in range(150)]
+    texts += ["AKIA" + "A" * 16 + " " + " ".join(f"token={i:06d}" for i in range(3000)), " ".join(b64(40) for _ in range(300)) + " AKIA" + "B" * 16]
+    got = {r.doc_id: r for r in secrets.find_secrets(docs_of(spark, list(enumerate(texts)))).collect()}
+    patterns = [secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.SECRET, secrets.IDENTIFIER, secrets.ENDPOINT]
+    added = collections.Counter()
+    for i, t in enumerate(texts):
+        at = [[(m.start(), m.end()) for m in re.finditer(p, t) if k or len(m[2]) >= 6] for k, p in enumerate(patterns)]
+        near = lambda s, kinds: any(max(b[0] - s[1], s[0] - b[1]) <= 256 for k in kinds for b in at[k])  # noqa: B023, E731
+        want = [(s[0], k, s[1]) for k in range(3) for s in at[k]]
+        want += [(s[0], 3, s[1]) for s in at[3] if near(s, (1, 4))] + [(s[0], 4, s[1]) for s in at[4] if near(s, (0, 3))] + [(s[0], 5, s[1]) for s in at[5] if near(s, (1, 4)) and near(s, (0, 3))]
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want)), i
+        added.update(k for _, k, _ in want)
+    assert all(added[k] > 10 for k in range(6)) and added[3] < sum(len(re.findall(secrets.SECRET, t)) for t in texts)
+
+
 def test_fingerprints(spark):
     rows = [*some_texts(), (None, "no id"), (3, "same id twice")]
     df = docs_of(spark, rows)
