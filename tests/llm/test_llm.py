@@ -99,6 +99,17 @@ def test_exact_dedup(spark, capacity):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values())
 
 
+def test_exact_dedup_of_one_id_and_its_own_columns(spark):
+    df = docs_of(spark, [(None, "same text")] * 400 + [(i, f"own {i}") for i in range(50)]).selectExpr("*", "1 _sha", "2 id", "3 row", "4 sha")
+    entries = exact_dedup.build_index(df.repartition(4), capacity=2000)
+    many = entries.where("pages > 1").groupBy("bucket", "page").count().collect()
+    assert len(many) > 5 and max(r["count"] for r in many) < 150
+    assert {(r.doc_id, r.group_size) for r in exact_dedup.exact_dedup(df, capacity=2000).where("group_size > 1").collect()} == {(None, 400)}
+    kept = exact_dedup.drop_copies(df, capacity=2000)
+    assert kept.columns == df.columns and kept.count() == 51 and {(r._sha, r.id, r.row, r.sha) for r in kept.collect()} == {(1, 2, 3, 4)}
+    assert exact_dedup.depth_for(10**14, 2 << 20, 4) == 22 and exact_dedup.depth_for(30 << 30, 2 << 20, 4) == 15 and exact_dedup.depth_for(0, 2 << 20, 4) == 4
+
+
 def test_mixing(spark):
     rows = [(i, "x" * (i % 7)) for i in range(3000)] + [(None, None)]
     df = docs_of(spark, rows).withColumn("source", __import__("pyspark").sql.functions.expr("if(doc_id % 10 < 8, 'big', 'small')"))
