@@ -20,20 +20,20 @@ from pyspark.sql import functions as F
 from ._shared import shuffle_partitions
 from ._words import Words, mix, slices
 
+_INTEGERS = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
 #: Each subset keeps a term with probability 2**-power.
 POWERS = tuple(p for p in range(1, 11) for _ in range(4))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.001, high: float = 0.05, range_bytes: int = 64 << 20) -> np.ndarray:
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.001, high: float = 0.05) -> np.ndarray:
     """Sorted hashes of the terms in at least ``low`` and at most ``high`` of all documents.
 
-    Counts are exact and cover all documents: tasks send each range of hashes their counts. No more
-    than (mean distinct terms of a document) / low terms can be in the band, whatever the corpus.
+    Counts are exact and cover all documents: each task adds up its own, and Spark adds up the tasks' by term. No more
+    than (mean distinct terms of a document) / low terms can be in the band, whatever the corpus. Null texts are empty;
+    without documents there are no terms. Both edges of the band are in it.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
-    ranges = max(1, -(-(size["bytes"] or 0) // range_bytes))
-    least, most = low * size["n"], high * size["n"]
+    n_docs = texts.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts, held, limit = [], [], 0, 1 << 22
@@ -57,22 +57,12 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.001, high: f
                     limit = max(limit, 2 * held)
         if terms:
             uniq, n = add_up()
-            owner = (uniq >> np.uint64(32)).astype(np.int64) * ranges >> 32
-            cut = np.searchsorted(owner, np.arange(ranges + 1))
-            # gaps between sorted hashes and small counts: little to send
-            for r in range(ranges):
-                a, b = cut[r], cut[r + 1]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([uniq[a:b].tobytes()], pa.binary()), pa.array([zstandard.compress(n[a:b].astype("<i4").tobytes(), 1)], pa.binary())], ["r", "terms", "n"])
+            for a in range(0, len(uniq), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(uniq[a : a + (1 << 17)].view(np.int64)), pa.array(n[a : a + (1 << 17)])], ["term", "n"])
 
-    def band(group: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, "<u8") for x in group.column("terms").to_pylist()])
-        n = np.concatenate([np.frombuffer(zstandard.decompress(x), "<i4") for x in group.column("n").to_pylist()])
-        uniq, where = np.unique(h, return_inverse=True)
-        df = np.bincount(where, n, len(uniq))
-        return pa.table({"term": pa.array(uniq[(df >= least) & (df <= most)].view(np.int64))})
-
-    found = texts.mapInArrow(count, "r int, terms binary, n binary").groupBy("r").applyInArrow(band, "term long")
-    return np.sort(np.array([r["term"] for r in found.toLocalIterator()], np.int64).view(np.uint64))
+    found = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    band = found.where((F.col("df") >= low * n_docs) & (F.col("df") <= high * n_docs)).select("term")
+    return np.sort(np.asarray(band.toArrow().column("term"), np.int64).view(np.uint64))
 
 
 def _draw(out: np.ndarray, owner: np.ndarray, value: np.ndarray) -> None:
@@ -166,8 +156,11 @@ def fingerprint_edits(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id"
 
     The edited text has its last n_chars // 2 code points replaced by the first as many (or all) of
     the next document in descending id; the first follows the last. Null texts are empty; rows with one id
-    follow each other by text, those without an id come last.
+    follow each other by a hash of their text, those without an id come last. Ids are integers, since their order tells which
+    document is next; others are a TypeError. Other columns are ignored. An empty table gives no rows.
     """
+    if docs.schema[id_col].dataType.simpleString() not in _INTEGERS:
+        raise TypeError(f"ids must be integers, not {docs.schema[id_col].dataType.simpleString()}")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(terms)
 
@@ -207,7 +200,7 @@ def fingerprint_edits(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id"
 
     dealt = _neighbours(docs, id_col, text_col)
     kind = dealt.schema["id"].dataType.simpleString()
-    id_kind = {"bigint": pa.int64(), "int": pa.int32()}[kind]
+    id_kind = _INTEGERS[kind]
     packed = dealt.mapInArrow(squeeze, f"part int, extra boolean, key long, id {kind}, rank string, packed binary")
     sorted_ = packed.repartition("part").sortWithinPartitions("part", "extra", F.desc("key"), "rank")
     out = sorted_.mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

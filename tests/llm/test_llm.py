@@ -515,6 +515,50 @@ def test_fingerprints(spark):
     assert np.mean([r.near_edited for r in apart]) > 2 * np.mean([r.near_next for r in apart])
 
 
+def subsets_by_hand(text, band):
+    """The rule of the fingerprint in plain Python, with the same word hashes."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    found = Words(pa.array([text or ""]))
+    own = {int(h) for h in found.hashes()}
+
+    def draw(terms):
+        out = []
+        for j, power in enumerate(fingerprints.POWERS):
+            kept = [d for d in (mix(t ^ mix(j + 1)) for t in terms) if d >> (64 - power) == 0]
+            out.append(max(mix(sum(map(mix, kept)) & mask) >> 32, 1) if kept else 0)
+        return out
+
+    out = draw(own & band)
+    if not any(out):
+        out = draw(own)
+    return out if any(out) else [max(mix(sum(map(mix, own)) & mask) >> 32, 1)] * len(out)
+
+
+def test_fingerprint_values_are_brute_force(spark):
+    rows = some_texts(8)
+    df = docs_of(spark, rows)
+    terms = fingerprints.lexicon(df, low=0.02, high=0.3)
+    band, text = {int(x) for x in terms}, dict(rows)
+    order = sorted(text, reverse=True)
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(df, terms).collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True) if x or y) / max(sum(bool(x or y) for x, y in zip(a, b, strict=True)), 1)
+    for k, i in enumerate(order):
+        t, after = text[i] or "", text[order[(k + 1) % len(order)]] or ""
+        own, cut, then = (subsets_by_hand(x, band) for x in (t, t[: len(t) - len(t) // 2] + after[: len(t) // 2], after))
+        assert got[i].fingerprint == "".join(f"{x:08x}" for x in own) and got[i].edited_fingerprint == "".join(f"{x:08x}" for x in cut)
+        assert abs(got[i].near_edited - like(own, cut)) < 1e-12 and abs(got[i].near_next - like(own, then)) < 1e-12
+    small = docs_of(spark, rows).withColumn("doc_id", F.col("doc_id").cast("smallint"))
+    assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_edits(small, terms).collect()} == {i: r.fingerprint for i, r in got.items()}
+    with pytest.raises(TypeError):
+        fingerprints.fingerprint_edits(docs_of(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string")), terms)
+
+
 def test_texts_without_lexicon_terms_stand_edits():
     rng = random.Random(1)
     own = [f"w{i}" for i in range(200)]
