@@ -587,44 +587,133 @@ def test_lm_scoring(spark):
 
 
 def test_lm_scoring_beats_its_base_on_known_words(spark):
-    """The base takes all unknown words for one event, the model spells them: only texts of known words compare."""
+    """The base takes all unknown words for one event, the model spells them: so texts of known words compare best; the model is ahead on all texts, too."""
     prepare(spark)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = [r for r in lm_scoring.score(docs, crc_mod("doc_id", 7) != 2).collect() if r.held_out]
     known = [r for r in held if r.n_known == r.n_tokens]
     assert len(known) > 20 and all(np.isfinite(r.score) and r.score < 0 for r in held)
-    assert sum(r.score for r in known) > sum(r.base_score for r in known)
+    assert sum(r.score for r in known) > sum(r.base_score for r in known) and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_lm_scoring_minds_the_order_of_words(spark):
     line = "zero one two three four five six seven eight nine".split()
     rows = [(i, " ".join(line)) for i in range(200)] + [(i, " ".join(w)) for i, w in zip(range(200, 204), (line, line[::-1], ["zero", "é"], []), strict=True)]
     got = {r.doc_id: r for r in lm_scoring.score(docs_of(spark, rows), F.col("doc_id") < 200, range_bytes=3000, chunk_bytes=2000).collect()}
-    assert got[200].score > got[201].score + 1
+    assert got[200].score > got[201].score + 1  # the order of words tells
+    assert len({round(got[i].score, 9) for i in range(201)}) == 1  # equal texts, also from other chunks
     for i, size in ((200, len(" ".join(line)) + 1), (202, 8), (203, 1)):
         assert got[i].n_bytes == size and abs(got[i].bits_per_byte + got[i].score * np.log2(10) / size) < 1e-9
 
 
-def test_pairs_are_counted_and_add_up():
-    """Over a start, an end and three words, whose own probabilities add up to 1."""
-    words_, end = ["a", "b", "c"], 0.2
-    w = Words(pa.array([" ".join(words_)]))
-    h = np.sort(w.hashes())
-    texts = [[0, 1, 0], [1], [], [2, 2, 1, 0]]
-    token, off = np.array([x for t in texts for x in t]), np.cumsum([0] + [len(t) for t in texts])
-    key = lm_scoring.pair_keys(h, token, off)
-    want = [(a, b) for t in texts for a, b in zip(["start", *t], [*t, "end"], strict=True)]
-    assert len(key) == len(want) and all((key[i] == key[j]) == (want[i] == want[j]) for i in range(len(want)) for j in range(len(want)))
-    seen, own = collections.Counter(want), np.log10([0.5, 0.2, 0.1])
-    before = {x: sum(n for (a, _), n in seen.items() if a == x) for x in ("start", 0, 1, 2)}
-
-    def p(t):
-        both = list(zip(["start", *t], [*t, "end"], strict=True))
-        return 10 ** lm_scoring.text_scores(np.array(t, int), np.array([0, len(t)]), own, np.log10(end), np.array([seen[x] for x in both]), np.array([before[a] for a, _ in both]))[0]
-
-    # all texts of up to one word, and what is left for the longer ones by each member's own rule
-    short = p([]) + sum(p([x]) for x in range(3))
-    assert 0 < short < 1 and sum(p([x, y]) for x in range(3) for y in range(3)) < 1 - short
+def test_score_is_brute_force(spark, monkeypatch):
+    """The mixer of words in plain Python, with weights of its own: scores are equal, and the next word's probabilities add up to 1."""
+    rng = np.random.default_rng(3)
+    held = {}
+
+    def learned(joined, model, ranges):
+        assert joined.count() > 0
+        w = np.abs(rng.normal(0.4, 0.3, model.weights.shape))
+        even = lambda x: np.concatenate([np.full((len(x), 1), 0.5), x], 1)
+        held["m"] = lm_scoring.replace(model, weights=w, refined=even(rng.uniform(0.5, 1, (len(w), lm_scoring.WORD_CELLS - 1))), new_weights=np.abs(rng.normal(0.5, 0.2, model.new_weights.shape)), new_refined=even(rng.uniform(0.5, 1, (lm_scoring.NEW_GATES, lm_scoring.WORD_CELLS - 1))))
+        return held["m"]
+
+    monkeypatch.setattr(lm_scoring, "learn_words", learned)
+    draw = random.Random(5)
+    vocab = [f"{a}{b}" for a in ("the", "on", "é", "q") for b in range(12)]
+    texts = [" ".join(draw.choices(vocab, k=draw.randint(0, 25))) for _ in range(40)] + ["the1 the2 the3 the4"] * 5 + ["never seen", "", None, "the1 the2 unknown the3"]
+    rows = list(enumerate(texts))
+    train = {i for i, _ in rows if i % 4 != 1}
+    got = {r.doc_id: r for r in lm_scoring.score(docs_of(spark, rows).repartition(3), F.col("doc_id") % 4 != 1, range_bytes=400, chunk_bytes=600).collect()}
+    m = held["m"]
+    all_words = sorted({x for t in texts for x in words(t)})
+    code = {x: int(h) >> 40 for x, h in zip(all_words, (int(Words(pa.array([x])).hashes()[0]) for x in all_words), strict=True)}
+    tokens = {i: words(t) for i, t in rows}
+    count = collections.Counter(x for i in train for x in tokens[i])
+    n_words, n_texts, once = sum(count.values()), len(train), sum(n == 1 for n in count.values())
+    follow = collections.defaultdict(collections.Counter)
+    for i in train:
+        t = ["<", "<", *tokens[i], None]
+        for k in range(2, len(t)):
+            follow[t[k - 1],][t[k]] += 1
+            follow[t[k - 2], t[k - 1]][t[k]] += 1
+
+    def mixed(x, gate, weights, refined):
+        dot = min(max(sum(a * b for a, b in zip(x, weights[gate], strict=True)), -12), 12)
+        at = abs(dot) * 2
+        lo = min(int(at), lm_scoring.WORD_CELLS - 2)
+        fine = refined[gate, lo] * (1 - at + lo) + refined[gate, lo + 1] * (at - lo)
+        return min(max((1 / (1 + np.exp(-dot)) + (fine if dot >= 0 else 1 - fine)) / 2, 1e-6), 1 - 1e-6)
+
+    def bit(match, other, level):
+        x = [np.log((a + 0.1) / (b + 0.1)) for a, b in zip(match, other, strict=True)]
+        longest = 2 if match[2] + other[2] else 1 if match[1] + other[1] else 0
+        few = sum(match[longest] + other[longest] > k for k in (1, 2, 5, 20))
+        group = 0 if level == 0 else 1 if level <= lm_scoring.TOP else 2
+        gate = (((group * 3 + longest) * 5 + few) * 2 + (min(match[longest], other[longest]) == 0)) * 2 + (longest == 2 and min(match[1], other[1]) == 0)
+        return mixed(x, gate, m.weights, m.refined)
+
+    def under(counter, c, level):
+        return sum(n for x, n in counter.items() if x is not None and code[x] >> (24 - level) == c >> (24 - level))
+
+    def chances(before, fresh, place, last_new, word):
+        """Of an end, of a new word, of ``word`` if it is known."""
+        seen = [count, follow[before[1],], follow[before]]
+        ends = [n_texts, seen[1][None], seen[2][None]]
+        some = [n_words, *(sum(x.values()) - e for x, e in zip(seen[1:], ends[1:], strict=True))]
+        end = bit(ends, some, 0)
+        share = (once + 0.5) / (n_words + 1)
+        longest = 2 if some[2] else 1 if some[1] else 0
+        gate = (longest * 2 + ((some[2] if longest == 2 else some[1]) > 2)) * 2 + last_new
+        new = mixed([np.log(share / (1 - share)), np.log((fresh + 2 * share) / (place - fresh + 2 * (1 - share)))], gate, m.new_weights, m.new_refined)
+        p = (1 - end) * (1 - new)
+        if word is not None and count[word]:
+            for level in range(1, 25):
+                match = [under(x, code[word], level) for x in seen]
+                other = [under(x, code[word], level - 1) - a for x, a in zip(seen, match, strict=True)]
+                if level > lm_scoring.DEEP:
+                    match[1:] = other[1:] = [0, 0]
+                if other[0]:
+                    p *= bit(match, other, level)
+            p *= count[word] / sum(n for x, n in count.items() if code[x] == code[word])
+        return end, (1 - end) * new, p
+
+    checked = 0
+    for i, t in rows:
+        if any(not count[x] for x in tokens[i]):
+            continue  # these are spelled, too
+        logs, before = [], ("<", "<")
+        for k, x in enumerate([*tokens[i], None]):
+            p = chances(before, 0, k, False, x)
+            logs.append(np.log10(p[0] if x is None else p[2]))
+            before = (before[1], x)
+        token = np.array([all_words.index(x) for x in tokens[i]], int)
+        want = lm_scoring.text_scores(token, np.array([0, len(token)]), np.array(logs))[0]
+        assert abs(got[i].score - want) < 1e-3 * max(1, abs(want)), (i, t, got[i].score, want)
+        checked += 1
+    assert checked > 30
+    for before in (("<", "<"), ("<", "the1"), ("the1", "the2"), ("q3", "on4")):
+        each = [chances(before, 1, 5, True, x) for x in count]
+        assert abs(each[0][0] + each[0][1] + sum(p for _, _, p in each) - 1) < 1e-6
+    far = [r for r in got.values() if r.doc_id == 45]
+    assert far[0].held_out and far[0].score < -20 and np.isfinite(far[0].score)  # spelled
+
+
+def test_keys_and_paths_come_back():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 50, 500).astype(np.uint64) | (rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(19)))
+    assert (lm_scoring._unpack_keys(lm_scoring._pack_keys(keys)) == keys).all() and len(lm_scoring._unpack_keys(lm_scoring._pack_keys(keys[:0]))) == 0
+    keys = np.unique(rng.integers(0, 1 << 10, 300)).astype(np.uint64) | np.uint64(5 << 10)
+    n = rng.integers(0, 4, len(keys))
+    who, level, beside = lm_scoring.siblings(keys, n, 10, 1)
+    got = {(int(a), int(b)): int(c) for a, b, c in zip(who, level, beside, strict=True)}
+    for i, k in enumerate(keys.tolist()):
+        for l in range(1, 11):
+            want = sum(c for x, c in zip(keys.tolist(), n, strict=True) if x >> (10 - l) == (k >> (10 - l)) ^ 1)
+            own = sum(c for x, c in zip(keys.tolist(), n, strict=True) if x >> (10 - l) == k >> (10 - l))
+            assert got.get((i, l), 0) == want or (own == 0 and n[i] == 0 and (i, l) not in got), (i, l)
+    own, levels = lm_scoring._unpack_paths([lm_scoring._pack_paths(n, who, level, beside)] * 2)
+    assert (own == np.tile(n, 2)).all() and sum(len(a) for a, _ in levels) == 2 * len(who)
 
 
 def test_spelling_is_a_distribution():
