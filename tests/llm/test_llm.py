@@ -719,7 +719,7 @@ def test_keys_and_paths_come_back():
 def test_spelling_is_a_distribution():
     """All words of up to two letters and all longer ones share the probability 1."""
     rng = np.random.default_rng(0)
-    m = lm_scoring.Model(rng.integers(0, 9, 1 << lm_scoring.BITS), rng.integers(0, 9, 1 << lm_scoring.BITS), rng.normal(size=(lm_scoring.GATES, lm_scoring.ORDERS)), rng.uniform(0.1, 0.9, (lm_scoring.GATES, lm_scoring.CELLS)))
+    m = lm_scoring.Model(rng.integers(0, 9, 1 << lm_scoring.BITS).astype(np.uint8), rng.integers(0, 9, 1 << lm_scoring.BITS).astype(np.uint8), rng.normal(size=(lm_scoring.GATES, lm_scoring.ORDERS)), rng.uniform(0.1, 0.9, (lm_scoring.GATES, lm_scoring.CELLS)))
     first = [x for x in range(256) if x != 0x20]
     w = lm_scoring.Words.__new__(lm_scoring.Words)
     w.buf = np.array([*first, *[0] * 8], np.uint8)
