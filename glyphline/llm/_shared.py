@@ -38,8 +38,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here and later jobs reread files.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, in a folder for each value of ``by``, and reads it back: lineage ends here and later jobs reread files.
 
     The shuffles of the write are deleted with it, since nothing reads them again.
     """
@@ -47,11 +47,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path, before = shared_path(spark, name), spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame, folder: str) -> None:
+    """Deletes the files of ``df`` in ``folder`` of a table that ``materialize`` wrote by a column; nothing may read them again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles() if f"/{folder}/" in x}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

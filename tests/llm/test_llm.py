@@ -619,6 +619,7 @@ def test_score_is_brute_force(spark, monkeypatch):
         return held["m"]
 
     monkeypatch.setattr(lm_scoring, "learn_words", learned)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 40)
     draw = random.Random(5)
     vocab = [f"{a}{b}" for a in ("the", "on", "é", "q") for b in range(12)]
     texts = [" ".join(draw.choices(vocab, k=draw.randint(0, 25))) for _ in range(40)] + ["the1 the2 the3 the4"] * 5 + ["never seen", "", None, "the1 the2 unknown the3"]
@@ -638,6 +639,9 @@ def test_score_is_brute_force(spark, monkeypatch):
             follow[t[k - 1],][t[k]] += 1
             follow[t[k - 2], t[k - 1]][t[k]] += 1
 
+    often = {x for x, n in count.items() if n * 40 >= n_words} | {"<"}
+    assert 3 < len(often) < 40
+
     def mixed(x, gate, weights, refined):
         dot = min(max(sum(a * b for a, b in zip(x, weights[gate], strict=True)), -12), 12)
         at = abs(dot) * 2
@@ -673,6 +677,8 @@ def test_score_is_brute_force(spark, monkeypatch):
                 other = [under(x, code[word], level - 1) - a for x, a in zip(seen, match, strict=True)]
                 if level > lm_scoring.DEEP:
                     match[1:] = other[1:] = [0, 0]
+                if level > lm_scoring.NEAR and before[1] in often:
+                    match[1] = other[1] = 0
                 if other[0]:
                     p *= bit(match, other, level)
             p *= count[word] / sum(n for x, n in count.items() if code[x] == code[word])
