@@ -680,6 +680,8 @@ def test_score_is_brute_force(spark, monkeypatch):
                 if level > lm_scoring.NEAR and before[1] in often:
                     match[1] = other[1] = 0
                 if other[0]:
+                    if not sum(match[1:] + other[1:]):  # no context: the word's share of what is left
+                        return end, (1 - end) * new, p * count[word] / (match[0] + other[0])
                     p *= bit(match, other, level)
             p *= count[word] / sum(n for x, n in count.items() if code[x] == code[word])
         return end, (1 - end) * new, p
