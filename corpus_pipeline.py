@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in shuffled order."""
     prepare(spark)
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs, names=("_mix_copy", "_mix_copies", "_mix_key")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A chord from ``start`` to ``end`` is kept while the squared residuals of the points under it are at most
 ``tol * (length - 1)``; the first that fails ends the piece one point earlier.  A chord of two points
-always holds.  Engine "expr" folds each series with array functions in the JVM; "arrow" runs the same rule
-with running sums over groups of rows, for blocks of more than some thousand points.
+always holds.  Engine "arrow" runs the rule with running sums over groups of rows, in time linear in a series; "expr" folds each
+series with array functions in the JVM, which copies the pieces so far at each new one: it is for short arrays.
 """
 
 from __future__ import annotations
@@ -26,21 +26,27 @@ def compress_arrays(values: DataFrame, tol: float, max_len: float = float("inf")
     """values(..., v array<double>) -> the other columns, piece_idx, len, inc, err; arrays of fewer than two points give nothing."""
     _check(tol, max_len)
     most = min(max_len, 2**31 - 1)
-    err = "aggregate(sequence(0, e - a.s), 0D, (q, i) -> q + pow(v[a.s] + (v[e] - v[a.s]) / (e - a.s) * i - v[a.s + i], 2))"
-    keep = f"(e - a.s = 1 OR (r <= {tol!r} * (e - a.s - 1) + {EPS!r} AND e - a.s - 1 < {most}))"
-    step = f"""(a, e) -> transform(array({err}), r -> IF({keep},
-        named_struct('s', a.s, 'inc', v[e] - v[a.s], 'err', r, 'p', a.p),
-        named_struct('s', e - 1, 'inc', v[e] - v[e - 1], 'err', 0D,
-                     'p', concat(a.p, array(named_struct('len', CAST(e - 1 - a.s AS DOUBLE), 'inc', a.inc, 'err', a.err))))))[0]"""
-    start = f"named_struct('s', 0, 'inc', 0D, 'err', 0D, 'p', CAST(array() AS {PIECES}))"
-    end = "a -> concat(a.p, array(named_struct('len', CAST(size(v) - 1 - a.s AS DOUBLE), 'inc', a.inc, 'err', a.err)))"
+    # residuals by running sums (of m * d and d * d), summed up directly where they are close to the limit
+    exact = "aggregate(sequence(0, e - a.s), 0D, (q, i) -> q + pow(v[a.s] + (v[e] - v[a.s]) / (e - a.s) * i - v[a.s + i], 2))"
+    sums = "named_struct('m', CAST(e - a.s AS DOUBLE), 'd', v[e] - v[a.s], 'qa', a.qa + (e - a.s) * (v[e] - v[a.s]), 'qb', a.qb + (v[e] - v[a.s]) * (v[e] - v[a.s]))"
+    fast = "x.d * x.d * (x.m + 1) * (2 * x.m + 1) / (6 * x.m) - 2 * x.d / x.m * x.qa + x.qb"
+    limit = f"({tol!r} * (x.m - 1) + {EPS!r})"
+    # a piece's own error is summed up once, when it is known
+    piece = "named_struct('len', CAST({n} AS DOUBLE), 'inc', a.inc, 'err', IF({n} = 1, 0D, aggregate(sequence(0, {n}), 0D, (q, i) -> q + pow(v[a.s] + a.inc / {n} * i - v[a.s + i], 2))))"
+    keep = f"(x.m = 1 OR (r <= {limit} AND x.m - 1 < {most}))"
+    step = f"""(a, e) -> transform(array({sums}), x -> transform(transform(array({fast}), r -> IF(abs(r - {limit}) <= 1e-9 * greatest(1D, x.qb), {exact}, r)), r -> IF({keep},
+        named_struct('s', a.s, 'inc', x.d, 'qa', x.qa, 'qb', x.qb, 'p', a.p),
+        named_struct('s', e - 1, 'inc', v[e] - v[e - 1], 'qa', v[e] - v[e - 1], 'qb', (v[e] - v[e - 1]) * (v[e] - v[e - 1]),
+                     'p', concat(a.p, array({piece.format(n="(e - 1 - a.s)")})))))[0])[0]"""
+    start = f"named_struct('s', 0, 'inc', 0D, 'qa', 0D, 'qb', 0D, 'p', CAST(array() AS {PIECES}))"
+    end = f"a -> concat(a.p, array({piece.format(n='(size(v) - 1 - a.s)')}))"
     others = [c for c in values.columns if c != "v"]
     # the guard is part of the expression: the optimizer may ask for p before it filters rows
     folded = values.where("size(v) >= 2").withColumn("p", F.expr(f"IF(size(v) >= 2, aggregate(sequence(1, size(v) - 1), {start}, {step}, {end}), CAST(array() AS {PIECES}))"))
     return folded.select(*others, F.posexplode("p").alias("piece_idx", "p")).select(*others, "piece_idx", "p.len", "p.inc", "p.err")
 
 
-def compress(series: DataFrame, tol: float, max_len: float = float("inf"), by: tuple[str, ...] = ("series_id",), engine: str = "expr") -> DataFrame:
+def compress(series: DataFrame, tol: float, max_len: float = float("inf"), by: tuple[str, ...] = ("series_id",), engine: str = "arrow") -> DataFrame:
     """series(by..., t, value) -> by..., piece_idx, len, inc, err. Values must be filled: null or NaN is an error of the caller."""
     _check(tol, max_len)
     if engine == "expr":

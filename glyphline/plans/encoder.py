@@ -27,7 +27,7 @@ class SymbolicEncoder:
     max_len: float = float("inf")
     fill: str = "ffill"
     alphabet: int | list[str] | None = 0
-    engine: str = "expr"
+    engine: str = "arrow"
     seed: int = 0
 
     def pieces(self, series: DataFrame) -> DataFrame:
