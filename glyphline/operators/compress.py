@@ -66,11 +66,11 @@ def compress(series: DataFrame, tol: float, max_len: float = float("inf"), by: t
 
 
 def chords(v: np.ndarray, tol: float, max_len: float = float("inf")) -> np.ndarray:
-    """[piece, (len, inc, err)]; residuals by running sums, summed up directly where they are close to the limit."""
+    """[piece, (len, inc, err)]; residuals by running sums, summed up directly where they are close to the limit and for each piece."""
     out = []
     if len(v) < 2:
         return np.zeros((0, 3))
-    s, inc, err, a, b = 0, 0.0, 0.0, 0.0, 0.0
+    s, inc, a, b = 0, 0.0, 0.0, 0.0
     for e in range(1, len(v)):
         m, d = e - s, v[e] - v[s]
         a += m * d
@@ -84,15 +84,23 @@ def chords(v: np.ndarray, tol: float, max_len: float = float("inf")) -> np.ndarr
                 g = v[s] + slope * i - v[s + i]
                 r += g * g
         if m == 1 or (r <= limit and m - 1 < max_len):
-            inc, err = d, max(r, 0.0) if m > 1 else 0.0
+            inc = d
         else:
-            out.append((m - 1, inc, err))
-            s, inc, err = e - 1, v[e] - v[e - 1], 0.0
+            out.append((m - 1, inc, residual(v, s, m - 1, inc)))
+            s, inc = e - 1, v[e] - v[e - 1]
             a, b = inc, inc * inc
-    out.append((len(v) - 1 - s, inc, err))
+    out.append((len(v) - 1 - s, inc, residual(v, s, len(v) - 1 - s, inc)))
     return np.array(out, float)
 
 
+def residual(v: np.ndarray, s: int, m: int, inc: float) -> float:
+    """A piece's own error, summed up one by one."""
+    if m == 1:
+        return 0.0
+    g = v[s] + inc / m * np.arange(m + 1) - v[s : s + m + 1]
+    return float(np.cumsum(g * g)[-1])
+
+
 def scaled_points(pieces: DataFrame, scl: float = 1.0) -> DataFrame:
     """Pieces with x, y: length and increment over their population deviations (0 counts as 1), rounded to 9 digits."""
     std = pieces.agg(F.round(F.stddev_pop("len"), 9).alias("std_len"), F.round(F.stddev_pop("inc"), 9).alias("std_inc"))
