@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.ordering import with_index
 from .operators import adaptive, aggregate, compress, measures, prepare, symbols
-from .plans.encoder import SymbolicEncoder, compress_tensor, decompress_tensor
+from .plans.encoder import EncoderModel, SymbolicEncoder, compress_tensor, decompress_tensor
 from .storage import materialize
 from .storage import prepare as ship
 
@@ -330,6 +330,40 @@ def boundary_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.boundary_extra(compress.compress(s, TOL), s.groupBy("series_id").agg(F.count("*").alias("n")), [1, 2, 4, 8, 16, 32])
 
 
+BLOCKS = EVENTS + """, nb AS (SELECT series_id * 4 + least(t // (count(*) OVER (PARTITION BY series_id) // 4), 3) AS series_id, t, value FROM ev),
+s AS (SELECT series_id, list(value ORDER BY t) AS v FROM nb GROUP BY 1)"""
+BLOCK_FIT = FITTED.replace(pieces_sql(TOL), pieces_sql(TOL, series=BLOCKS), 1)
+BLOCK_MODEL = BLOCK_FIT + ", model AS (SELECT label, len AS center_len, inc AS center_inc FROM fit WHERE seed)"
+
+
+def _block_model(spark: SparkSession, sf_dir: str) -> EncoderModel:
+    return SymbolicEncoder(tol=TOL, alpha=ALPHA, partition=4).fit(events(spark, sf_dir))
+
+
+@query(BLOCK_FIT + ", m AS (SELECT max(label) + 1 AS n FROM fit) SELECT series_id // 4 AS series_id, (series_id % 4)::INTEGER AS block_id, string_agg(CASE WHEN n < 52 THEN substr('AaBbCcDdEeFfGgHhIiJjKkLlMmNnOoPpQqRrSsTtUuVvWwXxYyZz', label + 1, 1) ELSE chr(33 + label) END, '|' ORDER BY piece_idx) AS symbols FROM fit, m GROUP BY fit.series_id")
+def encode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series in four blocks with one alphabet."""
+    return _block_model(spark, sf_dir).sequences().select("series_id", "block_id", F.array_join("symbols", "|").alias("symbols"))
+
+
+@query(AGAIN.replace(MODEL, BLOCK_MODEL, 1).replace("FROM ev GROUP BY 1)", "FROM nb GROUP BY 1)", 1) + " SELECT series_id // 4 AS series_id, again.t + b.begin AS t, round(value, 6) AS value FROM again JOIN (SELECT series_id, min(t) AS begin FROM nb GROUP BY 1) b USING (series_id)")
+def inverse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the blocks' symbols, joined to series again."""
+    fit = _block_model(spark, sf_dir)
+    return rounded(fit.inverse(fit.sequences(), fit.params.info(events(spark, sf_dir))), "value")
+
+
+AUTO = WHOLE.replace(pieces_sql(TOL), pieces_sql(5.0), 1) + """, num AS (SELECT (SELECT count(*)::DOUBLE FROM ev) AS n, (SELECT count(*)::DOUBLE FROM (SELECT DISTINCT x, y FROM pts)) AS k),
+al AS (SELECT pow(60.0 * n * 25.0 * greatest(n - k, 1) / greatest(k * 0.000002 * 0.000002 * (3 * pow(n, 4) + 2 - 5 * k * k), 2.220446049250313e-16), 0.25) AS a FROM num)"""
+
+
+@query(AUTO + greedy_sql(alpha="a", source="one").replace("FROM g WHERE len(rem) > 0", "FROM g, al WHERE len(rem) > 0") + " SELECT label, p.len AS center_len, round(p.inc, 6) AS center_inc, round(a, 6) AS alpha FROM g_labels l JOIN pts p USING (id), al WHERE l.seed")
+def fit_auto_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centers of the alphabet whose alpha balances both errors."""
+    fit = SymbolicEncoder(tol=5.0, alpha=None).fit(events(spark, sf_dir))
+    return rounded(fit.model.select("label", "center_len", "center_inc", F.lit(fit.params.alpha).alias("alpha")), "center_inc", "alpha")
+
+
 @query()
 def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each series against the one before it."""

@@ -108,9 +108,9 @@ def scaled_points(pieces: DataFrame, scl: float = 1.0) -> DataFrame:
     return pieces.join(F.broadcast(std)).withColumn("x", F.round(F.col("len") * scl / one("std_len"), 9)).withColumn("y", F.round(F.col("inc") / one("std_inc"), 9)).drop("std_len", "std_inc")
 
 
-def auto_alpha(pieces: DataFrame, length: int, tol: float, eta: float = 0.01) -> DataFrame:
+def auto_alpha(pieces: DataFrame, length: int, tol: float, eta: float = 0.01, scl: float = 1.0) -> DataFrame:
     """One row: k distinct points and the alpha that balances both errors for series of ``length`` points."""
-    k = scaled_points(pieces).agg(F.count_distinct("x", "y").cast("double").alias("k"))
+    k = scaled_points(pieces, scl).agg(F.count_distinct("x", "y").cast("double").alias("k"))
     n = float(length)
     top = F.lit(60.0 * n * tol * tol) * F.greatest(F.lit(n) - F.col("k"), F.lit(1.0))
     low = F.greatest(F.col("k") * (eta * eta) * (3 * n**4 + 2 - 5 * F.pow("k", F.lit(2.0))), F.lit(EPS))

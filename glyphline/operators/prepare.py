@@ -14,13 +14,13 @@ def number_rows(df: DataFrame, series: str, order: list[str], value: str) -> Dat
     return df.select(F.col(series).cast("long").alias("series_id"), t.cast("long").alias("t"), F.col(value).cast("double").alias("value"))
 
 
-def fill_missing(series: DataFrame, method: str = "ffill") -> DataFrame:
-    """Null and NaN replaced: the value before or after (else 0), the series' mean or median (else 0), or 0."""
+def fill_missing(series: DataFrame, method: str = "ffill", by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """Null and NaN replaced: the value before or after (else 0), the series' (or block's) mean or median (else 0), or 0."""
     if method not in FILLS:
         raise ValueError(f"method must be one of {FILLS}")
     v = F.when(~F.isnan("value"), F.col("value"))
     s = series.withColumn("value", v)
-    by = Window.partitionBy("series_id")
+    by = Window.partitionBy(*by)
     if method == "ffill":
         other = F.last("value", True).over(by.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
     elif method == "bfill":
@@ -47,11 +47,16 @@ def denormalize(series: DataFrame, stats: DataFrame, by: str = "t", as_bytes: bo
 
 
 def split_interval(series: DataFrame, blocks: int) -> DataFrame:
-    """block_id: contiguous blocks of n // blocks points, the last takes the rest; blocks of fewer than two points are dropped."""
-    n = F.count("*").over(Window.partitionBy("series_id"))
-    width = F.greatest(F.floor(n / F.least(F.lit(blocks), n)), F.lit(1))
-    s = series.withColumn("block_id", F.least(F.floor(F.col("t") / width), F.least(F.lit(blocks), n) - 1).cast("int"))
-    return s.withColumn("_n", F.count("*").over(Window.partitionBy("series_id", "block_id"))).where("_n >= 2").drop("_n")
+    """block_id: contiguous blocks of n // blocks points, the last takes the rest; blocks of fewer than two points are dropped.
+
+    t counts a series' points from 0. Only the lengths are grouped by series, so a long one needs no task of its own.
+    """
+    lengths = series.groupBy("series_id").agg(F.count("*").alias("_n"))
+    m = F.least(F.lit(max(blocks, 1)), F.col("_n"))
+    width = F.floor(F.col("_n") / m)
+    s = series.join(lengths, "series_id").withColumn("block_id", F.least(F.floor(F.col("t") / width), m - 1).cast("int"))
+    size = F.when(F.col("block_id") == m - 1, F.col("_n") - width * (m - 1)).otherwise(width)
+    return s.where(size >= 2).select(*series.columns, "block_id")
 
 
 def split_even(series: DataFrame, blocks: int) -> DataFrame:
@@ -66,8 +71,8 @@ def drop_collinear(series: DataFrame, least: float = 1e-14) -> DataFrame:
     return series.withColumn("_d", second).where(F.col("_d").isNull() | (F.col("_d") >= least)).drop("_d")
 
 
-def fit_length(series: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Cut to lengths(series_id, n), or padded with the last value."""
-    last = series.groupBy("series_id").agg(F.max("t").alias("end"), F.max_by("value", "t").alias("value")).join(lengths, "series_id")
-    more = last.where("end + 1 < n").select("series_id", F.explode(F.sequence(F.col("end") + 1, F.col("n") - 1)).alias("t"), "value")
-    return series.join(lengths, "series_id").where("t < n").select("series_id", "t", "value").unionByName(more)
+def fit_length(series: DataFrame, lengths: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """Cut to lengths(by..., n), or padded with the last value."""
+    last = series.groupBy(*by).agg(F.max("t").alias("end"), F.max_by("value", "t").alias("value")).join(lengths, list(by))
+    more = last.where("end + 1 < n").select(*by, F.explode(F.sequence(F.col("end") + 1, F.col("n") - 1)).alias("t"), "value")
+    return series.join(lengths, list(by)).where("t < n").select(*by, "t", "value").unionByName(more)

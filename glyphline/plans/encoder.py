@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,30 +15,70 @@ from ..storage import materialize, prepare as ship
 
 @dataclass
 class SymbolicEncoder:
-    """Parameters of joint symbolic encoding. ``strategy``: greedy, two_stage (with ``blocks``), grid or kmeans (with ``k``)."""
+    """Parameters of joint symbolic encoding. ``strategy``: greedy, two_stage (with ``blocks``), grid or kmeans (with ``k``).
+
+    Without ``alpha``, or with ``auto_digitize``, alpha balances both errors; ``eta`` is then 0.01 for one series and 2e-6
+    for several, unless given. ``partition`` cuts each series into so many blocks, which are compressed apart and share the
+    alphabet; without it ``partition_rate`` cuts into round(exp(1 / rate)) * n_jobs. ``center`` is seed or centroid; k-means
+    has centroids.
+    """
 
     tol: float = 0.5
-    alpha: float = 0.5
+    alpha: float | None = 0.5
     sorting: str = "2-norm"
     strategy: str = "greedy"
     blocks: int = 4
     k: int = 8
     scl: float = 1.0
-    center: str = "centroid"
+    center: str = "seed"
     max_len: float = float("inf")
     fill: str = "ffill"
     alphabet: int | list[str] | None = 0
     engine: str = "arrow"
     seed: int = 0
+    partition: int | None = None
+    partition_rate: float | None = None
+    n_jobs: int = 1
+    auto_digitize: bool = False
+    eta: float | None = None
+
+    @property
+    def cuts(self) -> int | None:
+        """Blocks of each series, at most one a point; None: series are not cut."""
+        if self.partition is not None:
+            return max(int(self.partition), 1)
+        return None if self.partition_rate is None else max(round(math.exp(1 / self.partition_rate)) * self.n_jobs, 1)
+
+    @property
+    def by(self) -> tuple[str, ...]:
+        return ("series_id",) if self.cuts is None else ("series_id", "block_id")
+
+    def split(self, series: DataFrame) -> DataFrame:
+        """``series``, with block_id if series are cut; t counts a series' points from 0."""
+        return series if self.cuts is None else prepare.split_interval(series, self.cuts)
 
     def pieces(self, series: DataFrame) -> DataFrame:
-        return compress.compress(prepare.fill_missing(series, self.fill), self.tol, self.max_len, engine=self.engine)
+        return compress.compress(prepare.fill_missing(self.split(series), self.fill, self.by), self.tol, self.max_len, self.by, self.engine)
+
+    def info(self, series: DataFrame) -> DataFrame:
+        """What ``inverse`` needs beside symbols: by..., start (of the filled values), target_length."""
+        return symbols.block_info(prepare.fill_missing(self.split(series), self.fill, self.by), self.by)
+
+    def _balanced(self, series: DataFrame, pieces: DataFrame) -> SymbolicEncoder:
+        size = series.agg(F.count("*").alias("n"), F.min("series_id").alias("low"), F.max("series_id").alias("high")).first()
+        eta = self.eta or (0.01 if size["low"] == size["high"] else 0.000002)
+        return replace(self, alpha=compress.auto_alpha(pieces, size["n"], self.tol, eta, self.scl).first()["alpha"])
 
     def fit(self, series: DataFrame) -> EncoderModel:
         """Pools the pieces of all series, scales and clusters them. Series of fewer than two points have no pieces."""
         ship(series.sparkSession)
-        p = with_index(self.pieces(series), "series_id", "piece_idx", name="id")
+        p = with_index(self.pieces(series), *self.by, "piece_idx", name="id")
         p = materialize(compress.scaled_points(p, self.scl), "points")
+        if self.strategy != "kmeans" and (self.alpha is None or self.auto_digitize):
+            return self._balanced(series, p)._digitize(p)
+        return self._digitize(p)
+
+    def _digitize(self, p: DataFrame) -> EncoderModel:
         if self.strategy == "kmeans":
             from pyspark.ml.clustering import KMeans
             from pyspark.ml.feature import VectorAssembler
@@ -54,11 +95,12 @@ class SymbolicEncoder:
         if "seed" not in labels.columns:
             labels = labels.withColumn("seed", F.row_number().over(Window.partitionBy("label").orderBy("id")) == 1)
         labelled = materialize(p.join(labels, "id"), "labelled")
-        model = materialize(symbols.with_symbols(symbols.model_of(labelled, self.center, self.scl), self.alphabet), "model")
+        center = "centroid" if self.strategy == "kmeans" else self.center
+        model = materialize(symbols.with_symbols(symbols.model_of(labelled, center, self.scl), self.alphabet), "model")
         return EncoderModel(self, labelled.join(model.select("label", "symbol"), "label"), model)
 
     def fit_transform(self, series: DataFrame) -> DataFrame:
-        return symbols.sequences(self.fit(series).labelled)
+        return self.fit(series).sequences()
 
 
 @dataclass
@@ -67,21 +109,32 @@ class EncoderModel:
     labelled: DataFrame
     model: DataFrame
 
+    def sequences(self) -> DataFrame:
+        """by..., symbols of the fitted series; by is series_id, and block_id if series are cut."""
+        return symbols.sequences(self.labelled, self.params.by)
+
     def transform(self, series: DataFrame) -> DataFrame:
-        """series_id, symbols of unseen series: nearest centers of their pieces."""
-        near = symbols.nearest(self.params.pieces(series), self.model).join(self.model.select("label", "symbol"), "label")
-        return symbols.sequences(near)
+        """by..., symbols of unseen series: nearest centers of their pieces."""
+        by = self.params.by
+        near = symbols.nearest(self.params.pieces(series), self.model, (*by, "piece_idx")).join(self.model.select("label", "symbol"), "label")
+        return symbols.sequences(near, by)
 
     def inverse(self, coded: DataFrame, series_info: DataFrame, fit_length: bool = True, fix_last: bool = True) -> DataFrame:
-        """coded(series_id, symbols) and series_info(series_id, start, target_length) -> series_id, t, value.
+        """coded(by..., symbols) and series_info(by..., start, target_length) -> series_id, t, value.
 
-        ``fit_length`` cuts or pads to target_length, after ``fix_last`` has stretched the last piece towards it; without
+        Blocks follow one another, each as long as it came out. ``fit_length`` cuts or pads to target_length, after ``fix_last`` has stretched the last piece towards it; without
         both the lengths are those of the symbols alone.
         """
-        c = coded.select("series_id", F.posexplode("symbols").alias("piece_idx", "symbol")).join(self.model.select("symbol", F.col("center_len").alias("len"), F.col("center_inc").alias("inc")), "symbol")
-        steps = symbols.quantize(c)
-        again = symbols.ramps(symbols.fit_last(steps, series_info) if fix_last else steps, series_info)
-        return prepare.fit_length(again, series_info.select("series_id", F.col("target_length").alias("n"))) if fit_length else again
+        by = self.params.by
+        c = coded.select(*by, F.posexplode("symbols").alias("piece_idx", "symbol")).join(self.model.select("symbol", F.col("center_len").alias("len"), F.col("center_inc").alias("inc")), "symbol")
+        steps = symbols.quantize(c, by)
+        again = symbols.ramps(symbols.fit_last(steps, series_info, by) if fix_last else steps, series_info, by)
+        again = prepare.fit_length(again, series_info.select(*by, F.col("target_length").alias("n")), by) if fit_length else again
+        if len(by) == 1:
+            return again
+        before = Window.partitionBy("series_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+        begins = again.groupBy(*by).agg((F.max("t") + 1).alias("n")).select(*by, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+        return again.join(begins, list(by)).select("series_id", (F.col("begin") + F.col("t")).alias("t"), "value")
 
 
 @dataclass

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import with_index
+
 
 def points(spark: SparkSession, n: int, kind: str = "uniform", seed: int = 0) -> DataFrame:
     """id, x, y: uniform in the unit square; blobs around (.2|.8, .2|.8); a jittered grid; wide blobs around (+-2, +-2)."""
@@ -46,8 +51,25 @@ def write_runs(runs: DataFrame, path: str, mode: str = "append") -> None:
     runs.write.mode(mode).csv(path, header=True)
 
 
-def read_baselines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, mode="PERMISSIVE")
+def read_baselines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of ``schema``; without such a path there are none, and lines that are no JSON are left out."""
+    try:
+        return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def write_baselines(rows: DataFrame, path: str) -> None:
+    """Written whole beside ``path``, then put in its place: a reader never sees a part of them."""
+    spark, new = rows.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows.write.json(new)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(at(path), True)
+    if not files.rename(at(new), at(path)):
+        raise OSError(f"{new} cannot be renamed to {path}")
 
 
 def read_arff(spark: SparkSession, *paths: str) -> DataFrame:
@@ -55,13 +77,15 @@ def read_arff(spark: SparkSession, *paths: str) -> DataFrame:
 
     A data line is 'ch0 v,v,..\\nch1 v,v,..',target: channels apart by an escaped line break.
     """
+    if not paths:
+        raise ValueError("at least one path is needed")
     lines = None
     for i, path in enumerate(paths):
         part = spark.read.text(path).withColumn("file", F.lit(i)).withColumn("line", F.monotonically_increasing_id())
         lines = part if lines is None else lines.unionByName(part)
     rows = lines.where("trim(value) <> '' and value rlike \"^\\\\s*['\\\"]\"")
     body = F.regexp_extract("value", "^\\s*['\"](.*)['\"]\\s*,", 1)
-    rows = rows.select((F.dense_rank().over(Window.orderBy("file", "line")) - 1).cast("long").alias("sample_id"), body.alias("body"), F.trim(F.regexp_extract("value", "['\"]\\s*,\\s*([^,'\"]*)$", 1)).alias("target"))
+    rows = with_index(rows, "file", "line", name="sample_id").select("sample_id", body.alias("body"), F.trim(F.regexp_extract("value", "['\"]\\s*,\\s*([^,'\"]*)$", 1)).alias("target"))
     dims = rows.select("sample_id", "target", F.posexplode(F.split("body", r"\\n")).alias("dim_id", "channel"))
     return dims.select("sample_id", "dim_id", "target", F.posexplode(F.split("channel", ",")).alias("t", "v")).select("sample_id", "dim_id", F.col("t").cast("long").alias("t"), F.coalesce(F.expr("try_cast(trim(v) AS double)"), F.lit(0.0)).alias("value"), "target")
 

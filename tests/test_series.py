@@ -336,3 +336,68 @@ def test_reports(spark):
     counts = spark.createDataFrame([(1, 10), (4, 14)], "blocks int, pieces long")
     r = measures.boundary_report(forced, counts, 10).orderBy("blocks").collect()[1]
     assert (r.observed, r.forced_percent, r.observed_percent, r.forced_per_boundary) == (4, 60, 40, 2)
+
+
+@pytest.mark.parametrize("blocks, first", [(1, 15), (2, 8), (4, 4), (6, 2), (8, 2)])
+def test_blocks_of_one_series(spark, blocks, first):
+    """Pieces of the first block are as many as published; blocks put together again are as long as the series."""
+    x = np.linspace(0, 8 * np.pi, 400)
+    vs = np.sin(x) + 0.15 * np.cos(3 * x)
+    s = series(spark, vs)
+    fit = SymbolicEncoder(tol=0.05, alpha=0.25, partition=blocks).fit(s)
+    coded = {r.block_id: r.symbols for r in fit.sequences().collect()}
+    assert sorted(coded) == list(range(blocks)) and len(coded[0]) == first
+    again = {r.t: r.value for r in fit.inverse(fit.sequences(), fit.params.info(s)).collect()}
+    assert sorted(again) == list(range(400))
+    width = 400 // blocks
+    assert all(again[b * width] == pytest.approx(vs[b * width]) for b in range(blocks))
+    longer = [r.t for r in fit.inverse(fit.sequences(), fit.params.info(s), fit_length=False, fix_last=False).collect()]
+    assert sorted(longer) == list(range(len(longer)))
+    assert {r.block_id: r.symbols for r in fit.transform(s).collect()}.keys() == coded.keys()
+
+
+def test_partition_and_alpha(spark):
+    assert SymbolicEncoder(partition_rate=0.5, n_jobs=2).cuts == 14 and SymbolicEncoder().cuts is None and SymbolicEncoder(partition=3, partition_rate=0.5).cuts == 3
+    short = series(spark, [1, 2, 3, None, 5], [4], [7, 8])
+    cut = {(r.series_id, r.block_id): r["count"] for r in prepare.split_interval(short, 2).groupBy("series_id", "block_id").count().collect()}
+    assert cut == {(0, 0): 2, (0, 1): 3}  # blocks of one point are no series
+    assert prepare.split_interval(short.where("false"), 2).count() == 0
+    rng = random.Random(4)
+    vs = [[rng.gauss(0, 1) for _ in range(40)] for _ in range(3)]
+    for some, eta in ((vs[:1], 0.01), (vs, 0.000002)):
+        fit = SymbolicEncoder(tol=0.5, alpha=None).fit(series(spark, *some))
+        n = 40.0 * len(some)
+        k = fit.labelled.select("x", "y").distinct().count()
+        assert fit.params.alpha == pytest.approx((60 * n * max(n - k, 1) * 0.25 / max(k * eta**2 * (3 * n**4 + 2 - 5 * k * k), compress.EPS)) ** 0.25)
+    assert SymbolicEncoder(tol=0.5, alpha=0.1, auto_digitize=True).fit(series(spark, vs[0])).params.alpha != 0.1
+
+
+def test_baselines_are_replaced_whole(spark, tmp_path):
+    path, schema = f"{tmp_path}/base", "name string, seconds double"
+    assert generate.read_baselines(spark, path, schema).count() == 0
+    for seconds in (1.0, 2.0):
+        generate.write_baselines(spark.createDataFrame([("a", seconds)], schema), path)
+        assert [tuple(r) for r in generate.read_baselines(spark, path, schema).collect()] == [("a", seconds)]
+    (tmp_path / "base" / "more.json").write_text("no json\n")
+    assert generate.read_baselines(spark, path, schema).count() == 1
+    assert os.listdir(tmp_path) == ["base"]
+
+
+def test_runs_generators_and_lengths(spark, tmp_path):
+    runs = spark.createDataFrame([("a", 1.5), ("b", None)], "name string, seconds double")
+    for _ in range(2):
+        generate.write_runs(runs, f"{tmp_path}/runs")
+    got = generate.read_runs(spark, f"{tmp_path}/runs", "name string, seconds double")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1.5), ("b", None)] * 2, key=str)
+    generate.write_runs(runs, f"{tmp_path}/runs", "overwrite")
+    assert generate.read_runs(spark, f"{tmp_path}/runs", "name string, seconds double").count() == 2
+    for kind in ("uniform", "blobs", "wide", "grid"):
+        p = generate.points(spark, 100, kind, 3).collect()
+        assert sorted(r.id for r in p) == list(range(100)) and all(abs(r.x) < 4 and abs(r.y) < 4 for r in p)
+    for kind in ("gaussian", "random_walk", "seasonal", "example"):
+        s = generate.series(spark, 20, kind, 1, 2)
+        assert s.count() == 40 and s.where("value IS NULL").count() == 0
+    joint = generate.joint_series(spark.createDataFrame([(1, 2, 0, 5.0)], "sample_id long, dim_id int, t long, value double"), 3).first()
+    assert tuple(joint) == (5, 0, 5.0)
+    with pytest.raises(ValueError):
+        generate.read_arff(spark)
