@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, secrets, toxicity, url_filter, warc
+from . import byte_bpe, centroids, exact_dedup, fingerprints, hard_negatives, lm_scoring, mixing, near_dedup, packing, secrets, toxicity, url_filter, warc
 from ._shared import prepare
 
 
@@ -102,6 +102,71 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT id, label, unnest(range(1, len(q) + 1)) AS i, unnest(q) AS x FROM v),
+s AS (SELECT a.id AS anchor_id, a.label AS al, b.id, b.label, sum(a.x * b.x)::BIGINT AS score FROM c a JOIN c b ON a.i = b.i WHERE a.id % 50 = 0 GROUP BY ALL),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = al AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND label <> al AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
+def multi_vocabulary(spark: SparkSession) -> byte_bpe.Vocabulary:
+    import public_tokenizers
+
+    return byte_bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = multi_vocabulary(spark)
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    said = tokens.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(F.array_join("ids", ","), 256))
+    return byte_bpe.decode(said, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=16, rounds=3, scale=64, dim=64)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_sql(k: int, rounds: int) -> str:
+    """Each round as tables of its own: t (id, number of the nearest centroid) and c (centroids)."""
+    ctes = [
+        """v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "x AS MATERIALIZED (SELECT row, unnest(range(1, 65)) AS i, unnest(q) AS x FROM v)",
+        f"""c0 AS MATERIALIZED (
+  SELECT n, unnest(range(1, 65)) AS i, unnest(q) AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS n, q FROM v) WHERE n < {k})""",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"d{r} AS (SELECT row, n, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{r} c USING (i) GROUP BY row, n)")
+        ctes.append(f"t{r} AS MATERIALIZED (SELECT row, n, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, n) = 1)")
+        if r < rounds:
+            ctes.append(f"s{r} AS (SELECT n, i, sum(x)::BIGINT AS s, count(*) AS w FROM t{r} JOIN x USING (row) GROUP BY n, i)")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c.n, i, CASE WHEN w IS NULL THEN x ELSE (s - ((s % w) + w) % w) // w END AS x FROM c{r} c LEFT JOIN s{r} USING (n, i))")
+    return f"""WITH {", ".join(ctes)},
+h AS (SELECT n, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY n),
+w AS (SELECT n, sum(d)::BIGINT AS cluster_inertia FROM t{rounds} GROUP BY n)
+SELECT vec_id, n::INTEGER AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM t{rounds}) AS inertia, centroid_sha256
+FROM t{rounds} JOIN v USING (row) JOIN h USING (n) JOIN w USING (n)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_warc": op2_warc,
@@ -113,6 +178,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_centroids": op13_sql(16, 3)}
