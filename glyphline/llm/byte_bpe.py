@@ -13,8 +13,9 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
-from itertools import accumulate, chain, islice
+from itertools import accumulate, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,17 +110,22 @@ class Codec:
         ranges = [f"{re.escape(others[a])}-{re.escape(others[b])}" for a, b in zip([0, *(i + 1 for i in ends)], ends, strict=False)]
         self.others = re.compile(f"[{''.join(ranges)}]") if others else None
         self.about = re.compile(f"[{re.escape(others[0])}-{re.escape(others[-1])}]") if others else None  # a faster look
-        self.ranks, self.shown = ranks, byte_characters()
+        self.ranks, self.shown = np.array([*ranks, 0], "<i4"), byte_characters()
         own = {c: b for b, c in enumerate(self.shown)}
-        self.token = {rank: bytes(own[c] for c in self.pieces.id_to_piece(i)) for i, rank in enumerate(ranks)}
+        tokens = [bytes(own[c] for c in self.pieces.id_to_piece(i)) for i in range(len(ranks))]
         # a match that is a token is that token, even where no merges lead to it
-        self.whole = {token: (rank,) for rank, token in self.token.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of_matches(self, matches: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each match."""
+        self.whole = {token: rank.tobytes() for token, rank in zip(tokens, self.ranks, strict=False)}
+        self.known: dict[str, bytes] = {}
+        # the bytes of all tokens in a row; where a rank's begin and how many they are, -1 for what is no token
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        size = np.array(list(map(len, tokens)), np.int64)
+        self.start, self.size = np.zeros(max(ranks) + 1, np.int64), np.full(max(ranks) + 1, -1, np.int64)
+        self.start[ranks], self.size[ranks] = np.cumsum(size) - size, size
+
+    def of_matches(self, matches: list[str]) -> list[bytes]:
+        """The ids of each match, as 32-bit integers in bytes."""
         known = self.known
-        found = [known.get(m) for m in matches]
+        found = list(map(known.get, matches))
         if None not in found:
             return found
         if len(known) > REMEMBERED:
@@ -133,7 +139,7 @@ class Codec:
                 else:
                     new[m] = data.decode("latin-1").translate(self.shown)
         for m, ids in zip(new, self.pieces.encode(list(new.values()), num_threads=1) if new else [], strict=True):
-            made[m] = tuple(self.ranks[i] for i in ids)
+            made[m] = self.ranks[ids].tobytes()
         found = [known.get(m) or made[m] for m in matches]
         known.update((m, ids) for m, ids in made.items() if len(m) <= LONGEST)
         return found
@@ -149,11 +155,20 @@ class Codec:
         while some := [text[m.start() : m.end()] for m in islice(found, AT_ONCE)]:
             yield some
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for some in self.matches(text) for ids in self.of_matches(some)))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([ids for some in self.matches(text) for ids in self.of_matches(some)]), "<i4")
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.token[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids in a row, gathered from the pieces' own; an id that is no token is an error."""
+        out = []
+        for a in range(0, len(ids), AT_ONCE):
+            part = ids[a : a + AT_ONCE]
+            if part.min() < 0 or part.max() >= len(self.size) or (size := self.size[part]).min() < 0:
+                raise ValueError("an id is no token")
+            end = np.cumsum(size)
+            at = np.arange(end[-1]) + np.repeat(self.start[part] - (end - size), size)
+            out.append(self.bytes[at].tobytes())
+        return b"".join(out)
 
 
 class Vocabulary:
@@ -193,11 +208,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
             *others, last = batch.schema.names
             column, done, made, size = batch.column(last), 0, [], 0
             for i in range(len(column)):
-                made.append(pa.array(codec.encode(column[i].as_py() or ""), pa.int32()))
-                size += len(made[-1]) * 4
+                made.append(codec.encode(column[i].as_py() or ""))
+                size += made[-1].nbytes
                 if size > BATCH_BYTES or i == len(column) - 1:
                     ends = pa.array([0, *accumulate(map(len, made))], pa.int32())
-                    lists = pa.ListArray.from_arrays(ends, pa.concat_arrays(made))
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made)))
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(done, len(made)) for c in others), lists], batch.schema.names)
                     done, made, size = i + 1, [], 0
 
@@ -214,8 +229,10 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str
         for batch in batches:
             *others, last = batch.schema.names
             column, done, made, size = batch.column(last), 0, [], 0
+            if column.flatten().null_count:
+                raise ValueError("an id is null")
             for i in range(len(column)):
-                made.append(codec.decode(column[i].as_py() or []))
+                made.append(codec.decode(column[i].values.to_numpy() if column[i].is_valid else np.zeros(0, int)))
                 size += len(made[-1])
                 if size > BATCH_BYTES or i == len(column) - 1:
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(done, len(made)) for c in others), pa.array(made, pa.binary())], batch.schema.names)
