@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import even_block, with_index
 from ..storage import materialize
+from . import seeds
 
 #: Sort keys: a member's key exceeds its seed's by at most alpha.
 KEYS = {"2-norm": "sqrt(x * x + y * y)", "1-norm": "abs(x) + abs(y)", "lexi": "x"}
@@ -84,9 +85,25 @@ def _in_groups(points: DataFrame, group: str, alpha: float, lexi: bool, distance
 def greedy(points: DataFrame, alpha: float, sorting: str = "2-norm", distance_first: bool = False) -> DataFrame:
     """id, x, y, label, seed. The order is (key, id), for lexi (x, y, id); labels count seeds in that order.
 
+    Seeds are found by rounds over tiles of squares (``seeds.find``), then each point is labelled from the seeds around
+    its square: no task has more than a tile's share. ``distance_first`` (see ``greedy_labels``) is the rule of ``runs``.
+    """
+    sorting = {"norm": "2-norm"}.get(sorting, sorting)
+    if distance_first:
+        return runs(points, alpha, sorting, distance_first)
+    p = materialize(with_key(points, sorting), "points")
+    order = ["key", "y", "id"] if sorting == "lexi" else ["key", "id"]
+    found = with_index(seeds.find(p, alpha, sorting), *order, name="label")
+    return seeds.labels(p, found, alpha, sorting)
+
+
+def runs(points: DataFrame, alpha: float, sorting: str = "2-norm", distance_first: bool = False) -> DataFrame:
+    """What ``greedy`` gives, with a group for each run of occupied key cells.
+
     Where consecutive keys are more than alpha apart nothing reaches across, so the runs of occupied key
     cells of width alpha are clustered apart from each other and their labels shifted. With ``distance_first``
     (see ``greedy_labels``) cells are wider by the square root of 2, as points may be near at that 1-norm gap.
+    That rule looks at the next free point of the whole order, so it has no form by squares.
     """
     width = alpha * 2**0.5 if distance_first else alpha
     p = with_key(points, sorting).withColumn("cell", F.floor(F.col("key") / width))
@@ -109,8 +126,8 @@ def two_stage(points: DataFrame, alpha: float, blocks: int, sorting: str = "2-no
     rows = p.count()
     local = materialize(_in_groups(p.withColumn("block", even_block("idx", rows, blocks)), "block", alpha, sorting == "lexi"), "two-stage")
     name = F.shiftleft(F.col("block").cast("long"), 40) + F.col("local")
-    seeds = greedy(local.where("seed").select(name.alias("id"), "x", "y"), alpha, sorting)
-    joined = local.withColumn("s", name).join(seeds.select(F.col("id").alias("s"), "label", F.col("seed").alias("top")), "s")
+    tops = greedy(local.where("seed").select(name.alias("id"), "x", "y"), alpha, sorting)
+    joined = local.withColumn("s", name).join(tops.select(F.col("id").alias("s"), "label", F.col("seed").alias("top")), "s")
     return joined.select("id", "x", "y", "label", (F.col("seed") & F.col("top")).alias("seed"))
 
 
