@@ -2,18 +2,25 @@
 
 A chord from ``start`` to ``end`` is kept while the squared residuals of the points under it are at most
 ``tol * (length - 1)``; the first that fails ends the piece one point earlier.  A chord of two points
-always holds.  Engine "arrow" runs the rule with running sums over groups of rows, in time linear in a series; "expr" folds each
-series with array functions in the JVM, which copies the pieces so far at each new one: it is for short arrays.
+always holds.  Engine "arrow" runs the rule with running sums, for many series of a task at once; one series is in one task's memory
+(``chords.compress_ranges`` cuts longer ones into ranges). "expr" folds each series with array functions in the JVM, which
+copies the pieces so far at each new one: it is for short arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EPS = 2.220446049250313e-16
+from .chords import EPS, all_pieces
+
+#: Points of whole series that are worked on together.
+AT_ONCE = 200_000
 PIECES = "array<struct<len:double,inc:double,err:double>>"
 
 
@@ -52,53 +59,51 @@ def compress(series: DataFrame, tol: float, max_len: float = float("inf"), by: t
     if engine == "expr":
         arrays = series.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("p"))
         return compress_arrays(arrays.select(*by, F.col("p.value").alias("v")), tol, max_len)
-    kinds = {c: series.schema[c].dataType.simpleString() for c in by}
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("t")
-        p = chords(np.asarray(group.column("value"), float), tol, max_len)
-        keys = {c: [group.column(c)[0].as_py()] * len(p) for c in by}
-        cols = dict(zip(("len", "inc", "err"), p.T, strict=True))
-        return pa.table({**{c: pa.array(keys[c], group.schema.field(c).type) for c in by}, "piece_idx": pa.array(range(len(p)), pa.int32()), **{k: pa.array(v) for k, v in cols.items()}})
-
-    head = ", ".join(f"{c} {k}" for c, k in kinds.items())
-    return series.select(*by, "t", "value").groupBy(*by).applyInArrow(run, f"{head}, piece_idx int, len double, inc double, err double")
+    head = ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in by)
+
+    def pieces(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        number, index, *sizes = all_pieces(rows.column("value").to_numpy().astype(float), first, tol, max_len)
+        keys = rows.select(list(by)).take(pa.array(first[number])).combine_chunks()
+        columns = [*(keys.column(c).combine_chunks() for c in by), pa.array(index, pa.int32()), *map(pa.array, sizes)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in columns], [*by, "piece_idx", "len", "inc", "err"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, wanted = [], 0, AT_ONCE
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= wanted:
+                table = pa.Table.from_batches(held)
+                first = _firsts(table, by)
+                if len(first) > 1:  # the last series may go on
+                    yield pieces(table.slice(0, first[-1]), first[:-1])
+                held = table.slice(first[-1]).to_batches()
+                rows = table.num_rows - int(first[-1])
+                wanted = max(AT_ONCE, 2 * rows)
+        if rows:
+            table = pa.Table.from_batches(held)
+            yield pieces(table, _firsts(table, by))
+
+    # a fixed number: small series are much work for few bytes, which would else be put together into one task
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = series.select(*by, "t", "value").repartition(parts, *by).sortWithinPartitions(*by, "t")
+    return dealt.mapInArrow(run, f"{head}, piece_idx int, len double, inc double, err double")
+
+
+def _firsts(rows: pa.Table, by: tuple[str, ...]) -> np.ndarray:
+    """Where a new series begins in sorted rows; null is a key like others."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        a, b = rows.column(c).slice(1), rows.column(c).slice(0, rows.num_rows - 1)
+        null = pc.or_(pc.is_null(a), pc.is_null(b))
+        new[1:] |= pc.if_else(null, pc.xor(pc.is_null(a), pc.is_null(b)), pc.fill_null(pc.not_equal(a, b), True)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
 
 
 def chords(v: np.ndarray, tol: float, max_len: float = float("inf")) -> np.ndarray:
-    """[piece, (len, inc, err)]; residuals by running sums, summed up directly where they are close to the limit and for each piece."""
-    out = []
-    if len(v) < 2:
-        return np.zeros((0, 3))
-    s, inc, a, b = 0, 0.0, 0.0, 0.0
-    for e in range(1, len(v)):
-        m, d = e - s, v[e] - v[s]
-        a += m * d
-        b += d * d
-        limit = tol * (m - 1) + EPS
-        slope = d / m
-        r = slope * slope * m * (m + 1) * (2 * m + 1) / 6 - 2 * slope * a + b
-        if abs(r - limit) <= 1e-9 * max(1.0, b):
-            r = 0.0
-            for i in range(m + 1):  # one by one, as the other engine adds: sums at the limit must agree
-                g = v[s] + slope * i - v[s + i]
-                r += g * g
-        if m == 1 or (r <= limit and m - 1 < max_len):
-            inc = d
-        else:
-            out.append((m - 1, inc, residual(v, s, m - 1, inc)))
-            s, inc = e - 1, v[e] - v[e - 1]
-            a, b = inc, inc * inc
-    out.append((len(v) - 1 - s, inc, residual(v, s, len(v) - 1 - s, inc)))
-    return np.array(out, float)
-
-
-def residual(v: np.ndarray, s: int, m: int, inc: float) -> float:
-    """A piece's own error, summed up one by one."""
-    if m == 1:
-        return 0.0
-    g = v[s] + inc / m * np.arange(m + 1) - v[s : s + m + 1]
-    return float(np.cumsum(g * g)[-1])
+    """[piece, (len, inc, err)] of one series."""
+    return np.stack(all_pieces(np.asarray(v, float), np.zeros(1, np.int64), tol, max_len)[2:], axis=1) if len(v) else np.zeros((0, 3))
 
 
 def scaled_points(pieces: DataFrame, scl: float = 1.0) -> DataFrame:
