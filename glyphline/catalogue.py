@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scans
 from .functions.ordering import with_index
-from .operators import adaptive, aggregate, compress, measures, prepare, symbols
+from .operators import adaptive, aggregate, chords, compress, measures, prepare, symbols
 from .plans.encoder import EncoderModel, SymbolicEncoder, compress_tensor, decompress_tensor
 from .storage import materialize
 from .storage import prepare as ship
@@ -111,6 +112,73 @@ def compress_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compress.compress(s, 50.0, by=("block_id",), engine="arrow"), "inc", "err")
 
 
+#: One series of all lines: its ranges are so many points, with so many behind them.
+LONG_TOL, LONG_RANGE, LONG_OVERLAP = 50.0, 1 << 14, 1 << 10
+
+
+def lines_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All order lines as one series, in the order of orders, lines and values."""
+    ship(spark)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("value"))
+    return with_index(lines, "l_orderkey", "l_linenumber", "value", name="t").select(F.lit(0).cast("long").alias("series_id"), "t", "value")
+
+
+def long_pieces_sql(doublings: int = 24) -> str:
+    """Chords grow from all points together; the path of the first point is found by doubling the steps of all points, up to 2**doublings."""
+    err = "list_sum(list_transform(range(0, g.e - g.s + 1), lambda i: pow(v[g.s + 1] + (v[g.e + 1] - v[g.s + 1]) / (g.e - g.s) * i - v[g.s + 1 + i], 2)))"
+    steps = []
+    for k in range(doublings):
+        steps.append(f"j{k + 1} AS MATERIALIZED (SELECT a.s, b.e FROM j{k} a JOIN j{k} b ON b.s = a.e)")
+        steps.append(f"p{k + 1} AS MATERIALIZED (SELECT s FROM p{k} UNION SELECT e FROM p{k} JOIN j{k} USING (s))")
+    return f"""WITH RECURSIVE li AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS t, l_quantity::DOUBLE AS value FROM lineitem),
+grow(s, e, base, a, b) AS (
+  SELECT x.t, y.t, x.value, y.value - x.value, (y.value - x.value) * (y.value - x.value) FROM li x JOIN li y ON y.t = x.t + 1
+  UNION ALL
+  SELECT s, e, base, a, b FROM (
+    SELECT s, e + 1 AS e, base, value - base AS d, (e + 1 - s)::DOUBLE AS m, a + (e + 1 - s) * (value - base) AS a, b + (value - base) * (value - base) AS b
+    FROM grow JOIN li ON li.t = e + 1)
+  WHERE d / m * d / m * m * (m + 1) * (2 * m + 1) / 6 - 2 * d / m * a + b <= {LONG_TOL} * (m - 1) + 2.220446049250313e-16 + 1e-9),
+j0 AS MATERIALIZED (SELECT s, max(e) AS e FROM grow GROUP BY s), p0 AS (SELECT 0::BIGINT AS s WHERE EXISTS (FROM j0)),
+{", ".join(steps)},
+path AS (SELECT s, e FROM p{doublings} JOIN j0 USING (s)),
+pieces AS (
+  SELECT 0::BIGINT AS series_id, (row_number() OVER (ORDER BY s) - 1)::INTEGER AS piece_idx, s, e, (e - s)::DOUBLE AS len, y.value - x.value AS inc, x.value AS base
+  FROM path JOIN li x ON x.t = s JOIN li y ON y.t = e)"""
+
+
+@query(long_pieces_sql() + """, errors AS (SELECT piece_idx, sum(pow(base + inc / len * (t - s) - value, 2)) AS err FROM pieces JOIN li ON t BETWEEN s AND e GROUP BY piece_idx)
+SELECT series_id, piece_idx, len, round(inc, 6) AS inc, round(err, 6) AS err FROM pieces JOIN errors USING (piece_idx)""")
+def compress_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long series, not split: the exact pieces from ranges of it."""
+    return rounded(chords.compress_ranges(lines_series(spark, sf_dir), LONG_TOL, rows=LONG_RANGE, overlap=LONG_OVERLAP), "inc", "err")
+
+
+@query(long_pieces_sql() + """ SELECT 0::BIGINT AS series_id, s + i AS t, round(base + inc / len * i, 6) AS value FROM (SELECT *, unnest(range(1, e - s + 1)) AS i FROM pieces)
+UNION ALL SELECT 0::BIGINT, t, round(value, 6) FROM li WHERE t = 0""")
+def reconstruct_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of those pieces, laid end to end by scans over ranges of pieces."""
+    s = lines_series(spark, sf_dir)
+    pieces = chords.compress_ranges(s, LONG_TOL, rows=LONG_RANGE, overlap=LONG_OVERLAP).withColumn("steps", F.col("len").cast("long"))
+    return rounded(symbols.ramps(pieces, symbols.block_info(s), range_rows=LONG_RANGE), "value")
+
+
+for _method, _other in {
+    "ffill": "last_value(v IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "bfill": "first_value(v IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+    "median": "(SELECT median(v) FROM li)",
+}.items():
+    QUERIES[f"fill_long_{_method}"] = lambda spark, sf_dir, m=_method: rounded(prepare.fill_missing(lines_series(spark, sf_dir).withColumn("value", F.when(F.col("value") <= 20, F.col("value"))), m, range_rows=LONG_RANGE), "value")
+    ORACLE_SQL[f"fill_long_{_method}"] = f"""WITH li AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS t, CASE WHEN l_quantity <= 20 THEN l_quantity::DOUBLE END AS v FROM lineitem)
+SELECT 0::BIGINT AS series_id, t, round(coalesce(v, {_other}, 0.0), 6) AS value FROM li"""
+
+
+@query("""SELECT 0::BIGINT AS series_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS t, l_quantity::DOUBLE AS value,
+round(coalesce(sum(l_quantity::DOUBLE) OVER (ORDER BY l_orderkey, l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS before FROM lineitem""")
+def running_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums of one long series."""
+    return rounded(scans.scanned(lines_series(spark, sf_dir), sums={"before": "value"}, rows=LONG_RANGE), "before")
+
+
 GAPS = EVENTS + ", g AS (SELECT series_id, t, CASE WHEN value <= 150 THEN value END AS v FROM ev)"
 BY = "OVER (PARTITION BY series_id"
 for _method, _other in {

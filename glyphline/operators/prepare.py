@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scans
+
 FILLS = ("ffill", "bfill", "mean", "median", "zero")
 
 
@@ -14,17 +16,22 @@ def number_rows(df: DataFrame, series: str, order: list[str], value: str) -> Dat
     return df.select(F.col(series).cast("long").alias("series_id"), t.cast("long").alias("t"), F.col(value).cast("double").alias("value"))
 
 
-def fill_missing(series: DataFrame, method: str = "ffill", by: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """Null and NaN replaced: the value before or after (else 0), the series' (or block's) mean or median (else 0), or 0."""
+def fill_missing(series: DataFrame, method: str = "ffill", by: tuple[str, ...] = ("series_id",), range_rows: int | None = None) -> DataFrame:
+    """Null and NaN replaced: the value before or after (else 0), the series' (or block's) mean or median (else 0), or 0.
+
+    ``range_rows``: series are scanned by ranges of so many positions, for ones that are too long for a task; else by a window.
+    """
     if method not in FILLS:
         raise ValueError(f"method must be one of {FILLS}")
+    if range_rows is not None:
+        return _fill_ranges(series, method, by, range_rows)
     v = F.when(~F.isnan("value"), F.col("value"))
     s = series.withColumn("value", v)
     by = Window.partitionBy(*by)
     if method == "ffill":
         other = F.last("value", True).over(by.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
     elif method == "bfill":
-        other = F.first("value", True).over(by.orderBy("t").rowsBetween(0, Window.unboundedFollowing))
+        other = F.last("value", True).over(by.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0))  # backwards, in one turn
     elif method == "zero":
         other = F.lit(0.0)
     else:
@@ -32,6 +39,22 @@ def fill_missing(series: DataFrame, method: str = "ffill", by: tuple[str, ...] =
     return s.withColumn("value", F.coalesce("value", other, F.lit(0.0)))
 
 
+def _fill_ranges(series: DataFrame, method: str, by: tuple[str, ...], rows: int) -> DataFrame:
+    s = series.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    if method in ("ffill", "bfill"):
+        side = {"before" if method == "ffill" else "after": {"_other": "value"}}
+        s = scans.scanned(s, **side, by=by, rows=rows)
+    elif method == "zero":
+        s = s.withColumn("_other", F.lit(0.0))
+    elif method == "mean":
+        s = s.join(s.groupBy(*by).agg(F.avg("value").alias("_other")), list(by))
+    else:
+        key = F.struct(*by)
+        m = scans.medians(s.select(key.alias("key"), "value"), by="key")
+        s = s.withColumn("key", key).join(m.withColumnRenamed("median", "_other"), "key", "left").drop("key")
+    return s.withColumn("value", F.coalesce("value", "_other", F.lit(0.0))).select(*series.columns)
+
+
 def z_normalize(series: DataFrame, by: str = "series_id") -> DataFrame:
     """(value - mean) / population deviation over ``by`` (series_id: rows, t: columns); a deviation of 0 counts as 1."""
     stats = series.groupBy(by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scans
+
 _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -76,10 +78,17 @@ def fit_last(quantized: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ("se
     return q.withColumn("steps", F.when(last, want).otherwise(F.col("steps"))).drop("target_length")
 
 
-def ramps(quantized: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """by..., t, value: each piece a line of its steps (at least one) from where the last one ended; blocks has the start."""
-    w = Window.partitionBy(*by).orderBy("piece_idx").rowsBetween(Window.unboundedPreceding, -1)
-    q = quantized.withColumn("steps", F.greatest("steps", F.lit(1))).withColumn("t0", F.coalesce(F.sum("steps").over(w), F.lit(0))).withColumn("rise", F.coalesce(F.sum("inc").over(w), F.lit(0.0)))
+def ramps(quantized: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ("series_id",), range_rows: int | None = None) -> DataFrame:
+    """by..., t, value: each piece a line of its steps (at least one) from where the last one ended; blocks has the start.
+
+    ``range_rows``: pieces are summed up by ranges of so many, for series that are too long for a task; else by a window.
+    """
+    q = quantized.withColumn("steps", F.greatest("steps", F.lit(1)))
+    if range_rows is None:
+        w = Window.partitionBy(*by).orderBy("piece_idx").rowsBetween(Window.unboundedPreceding, -1)
+        q = q.withColumn("t0", F.coalesce(F.sum("steps").over(w), F.lit(0))).withColumn("rise", F.coalesce(F.sum("inc").over(w), F.lit(0.0)))
+    else:
+        q = scans.scanned(q, sums={"t0": "steps", "rise": "inc"}, by=by, order="piece_idx", rows=range_rows)
     q = q.join(blocks.select(*by, "start"), list(by))
     line = q.select(*by, F.col("t0").alias("t0"), F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("k"), "steps", "inc", (F.col("start") + F.col("rise")).alias("base"))
     points = line.select(*by, (F.col("t0") + F.col("k")).alias("t"), (F.col("base") + F.col("inc") / F.col("steps") * F.col("k")).alias("value"))

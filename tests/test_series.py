@@ -6,11 +6,17 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from glyphline import catalogue
+from glyphline.functions import scans
 from glyphline.operators import adaptive, aggregate, compress, measures, prepare, symbols
+from glyphline.operators import chords as chord_ranges
+from glyphline.operators import seeds as square_seeds
 from glyphline.plans.encoder import SymbolicEncoder, compress_tensor, decompress_tensor, encode_one
 from glyphline.sources import generate
+from glyphline.storage import prepare as prepare_session
 from glyphline.streaming.compress import compress_stream
 
 
@@ -401,3 +407,108 @@ def test_runs_generators_and_lengths(spark, tmp_path):
     assert tuple(joint) == (5, 0, 5.0)
     with pytest.raises(ValueError):
         generate.read_arff(spark)
+
+
+def plain_chords(v, tol, max_len=float("inf")):
+    """The rule point by point."""
+    out, s, inc = [], 0, 0.0
+    for e in range(1, len(v)):
+        m = e - s
+        err = sum((v[s] + (v[e] - v[s]) / m * i - v[s + i]) ** 2 for i in range(m + 1))
+        if m == 1 or (err <= tol * (m - 1) + compress.EPS and m - 1 < max_len):
+            inc = v[e] - v[s]
+        else:
+            out.append((m - 1, inc))
+            s, inc = e - 1, v[e] - v[e - 1]
+    return out + ([(len(v) - 1 - s, inc)] if len(v) > 1 else [])
+
+
+def kinds_of_series(n=260):
+    rng = np.random.default_rng(11)
+    return {0: rng.normal(size=n), 1: np.cumsum(rng.normal(size=n)), 2: np.sin(np.arange(n) / 20), 3: np.zeros(n), 4: np.repeat(rng.normal(size=5), n // 5), 5: np.array([1.0]), 6: np.array([1.0, 2.0]), 7: np.r_[rng.normal(size=80), np.linspace(0, 1, 100), rng.normal(size=80)]}
+
+
+def series_of(spark, series):
+    prepare_session(spark)
+    return spark.createDataFrame([(i, t, float(x)) for i, v in series.items() for t, x in enumerate(v)], "series_id long, t long, value double").repartition(3)
+
+
+@pytest.mark.parametrize(("tol", "max_len"), [(0.5, float("inf")), (0.01, 40), (3.0, 5)])
+def test_chords_follow_the_rule(spark, tol, max_len):
+    series = kinds_of_series()
+    got = {}
+    for r in compress.compress(series_of(spark, series), tol, max_len).orderBy("series_id", "piece_idx").collect():
+        got.setdefault(r.series_id, []).append((r.len, r.inc))
+    for i, v in series.items():
+        assert got.get(i, []) == plain_chords(v.tolist(), tol, max_len), i
+
+
+def test_compress_takes_keys_of_any_kind(spark):
+    rows = [("a", None, 0, 1.0), ("a", None, 1, 2.0), ("a", 1, 0, 5.0), (None, None, 0, 1.0), (None, None, 1, 0.0), (None, None, 2, 4.0)]
+    df = spark.createDataFrame(rows, "name string, block int, t long, value double")
+    got = compress.compress(df, 0.1, by=("name", "block")).collect()
+    assert sorted(map(str, ((r.name, r.block, r.piece_idx, r.len, r.inc) for r in got))) == sorted(map(str, [("a", None, 0, 1.0, 1.0), (None, None, 0, 1.0, -1.0), (None, None, 1, 1.0, 4.0)]))
+    assert compress.compress(df.limit(0), 0.1, by=("name", "block")).count() == 0
+
+
+@pytest.mark.parametrize(("tol", "rows", "overlap", "fan"), [(0.5, 32, 12, 3), (0.01, 64, 64, 64), (0.5, 1000, 50, 2)])
+def test_ranges_give_the_pieces_of_whole_series(spark, monkeypatch, tol, rows, overlap, fan):
+    monkeypatch.setattr(chord_ranges, "FAN", fan)
+    series = kinds_of_series() if rows > 32 else {k: v for k, v in kinds_of_series().items() if k in (0, 5, 6, 7)}
+    df = series_of(spark, series)
+    order = ["series_id", "piece_idx"]
+    want = compress.compress(df, tol).orderBy(*order).collect()
+    got = chord_ranges.compress_ranges(df, tol, rows=rows, overlap=overlap).orderBy(*order).collect()
+    assert [tuple(r)[:4] for r in got] == [tuple(r)[:4] for r in want]
+    assert np.allclose([r.err for r in got], [r.err for r in want], atol=1e-9)
+    assert chord_ranges.compress_ranges(df.limit(0), tol, rows=rows, overlap=overlap).count() == 0
+
+
+def greedy_by_hand(points, alpha, sorting):
+    keys = {"2-norm": lambda p: math.sqrt(p[1] * p[1] + p[2] * p[2]), "1-norm": lambda p: abs(p[1]) + abs(p[2]), "lexi": lambda p: p[1]}
+    rows = sorted(((keys[sorting](p), p[2] if sorting == "lexi" else 0, p[0], p[1], p[2]) for p in points))
+    seeds, out = [], {}
+    for key, _, i, x, y in rows:
+        for n, (k, a, b) in enumerate(seeds):
+            if key - k <= alpha and (x - a) * (x - a) + (y - b) * (y - b) <= alpha * alpha:
+                out[i] = n
+                break
+        else:
+            out[i] = len(seeds)
+            seeds.append((key, x, y))
+    return out
+
+
+@pytest.mark.parametrize("sorting", ["2-norm", "1-norm", "lexi"])
+@pytest.mark.parametrize(("prefix", "tile"), [(4, 40), (8192, 400_000)])
+def test_greedy_by_squares_is_the_sequential_rule(spark, monkeypatch, sorting, prefix, tile):
+    monkeypatch.setattr(square_seeds, "PREFIX", prefix)
+    monkeypatch.setattr(square_seeds, "TILE_POINTS", tile)
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.normal(size=(150, 2)), rng.uniform(-0.1, 0.1, (150, 2)), np.round(rng.uniform(-2, 2, (100, 2)) * 2) / 2, np.tile([[0.3, 0.4]], (60, 1))])
+    points = [(int(i), float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    prepare_session(spark)
+    df = spark.createDataFrame(points, "id long, x double, y double").repartition(3)
+    got = aggregate.greedy(df, 0.5, sorting)
+    rows = got.collect()
+    assert {r.id: r.label for r in rows} == greedy_by_hand(points, 0.5, sorting)
+    assert sorted(r.label for r in rows if r.seed) == list(range(max(r.label for r in rows) + 1))
+    if prefix == 4:
+        assert aggregate.greedy(df.limit(0), 0.5, sorting).count() == 0
+
+
+def test_scans_by_ranges_are_windows(spark):
+    prepare_session(spark)
+    rng = np.random.default_rng(3)
+    rows = [(s, int(t), None if rng.random() < 0.7 else (float("nan") if rng.random() < 0.1 else float(rng.integers(0, 9)))) for s in (0, 1, None) for t in np.sort(rng.choice(np.arange(-50, 400), 120, replace=False))] + [(5, 7, None), (6, 0, 2.0)]
+    df = spark.createDataFrame(rows, "series_id long, t long, value double").repartition(4)
+    plain = df.where("series_id is not null")
+    for method in prepare.FILLS:
+        want = sorted(map(tuple, prepare.fill_missing(plain, method).collect()))
+        assert sorted(map(tuple, prepare.fill_missing(plain, method, range_rows=16).collect())) == want, method
+    w = Window.partitionBy("series_id").orderBy("t")
+    value = df.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    want = value.select("series_id", "t", "value", F.coalesce(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"), F.last("value", True).over(w).alias("b"), F.first("value", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("a"))
+    got = scans.scanned(value, {"s": "value"}, {"b": "value"}, {"a": "value"}, rows=16)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert scans.scanned(value.limit(0), {"s": "value"}).count() == 0
