@@ -297,7 +297,16 @@ def sse_ratio_ptga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.withColumn("ratio", F.col("sse_two_stage") / F.col("sse_greedy")), "sse_two_stage", "sse_greedy", "ratio")
 
 
-@query()
+@query(POINTS + """,
+sq AS MATERIALIZED (SELECT *, floor(x / 0.05)::BIGINT AS cx, floor(y / 0.05)::BIGINT AS cy FROM pts),
+links AS MATERIALIZED (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM (SELECT id, x, y, cx + i AS cx, cy + j AS cy FROM sq, range(-1, 2) t(i), range(-1, 2) u(j)) a JOIN sq b USING (cx, cy)
+  WHERE a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05 * 0.05),
+comp(id, root) USING KEY (id) AS (
+  SELECT id, id FROM pts
+  UNION
+  SELECT l.b, min(c.root) FROM comp c JOIN links l ON l.a = c.id JOIN recurring.comp o ON o.id = l.b WHERE c.root < o.root GROUP BY l.b)
+SELECT id, x, y, (dense_rank() OVER (ORDER BY root) - 1)::INTEGER AS label FROM comp JOIN pts USING (id)""")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.grid_components(points(spark, sf_dir), 0.05)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import even_block, with_index
 from ..storage import materialize
-from . import seeds
+from . import near_pairs, seeds
 
 #: Sort keys: a member's key exceeds its seed's by at most alpha.
 KEYS = {"2-norm": "sqrt(x * x + y * y)", "1-norm": "abs(x) + abs(y)", "lexi": "x"}
@@ -178,21 +178,17 @@ def grid_components(points: DataFrame, alpha: float) -> DataFrame:
     """id, x, y, label: connected components of the graph that links points at most alpha apart.
 
     Points in one square of side alpha / 2 are linked anyway; squares are linked where two of their
-    distinct points are near. Labels count components by their smallest id.
+    distinct points are near (``near_pairs``). Labels count components by their smallest id.
     """
-    side = alpha / 2
-    p = points.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-    squares = p.groupBy("cx", "cy").agg(F.min("id").alias("node"))
-    d = p.select("x", "y", "cx", "cy").distinct().join(squares, ["cx", "cy"])
-    span = F.sequence(F.lit(-2), F.lit(2))
-    moved = d.select("node", "x", "y", F.explode(F.transform(span, lambda i: F.col("cx") + i)).alias("cx"), "cy").select("node", "x", "y", "cx", F.explode(F.transform(span, lambda i: F.col("cy") + i)).alias("cy"))
-    a, b = moved.alias("a"), d.alias("b")
-    near = "a.node < b.node and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= " + repr(alpha * alpha)
-    edges = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & F.expr(near)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    side = alpha / 2 * (1 + 1e-6)  # what is near is at most two squares away, rounding or not
+    p = materialize(points.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")), "points")
+    squares = materialize(p.groupBy("cx", "cy").agg(F.min("id").alias("node")), "squares")
+    near = near_pairs.near_squares(p.select("x", "y", "cx", "cy").distinct(), alpha, side)
+    node = lambda s: squares.select(F.col("cx").alias(f"{s}_cx"), F.col("cy").alias(f"{s}_cy"), F.col("node").alias(s))
+    edges = near.join(node("a"), ["a_cx", "a_cy"]).join(node("b"), ["b_cx", "b_cy"]).select("a", "b")
     comp = components(edges, squares.select("node"))
-    named = p.join(squares, ["cx", "cy"]).join(comp, "node")
-    first = comp.groupBy("comp").agg(F.min("node").alias("first")).withColumn("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
-    return named.join(first.select("comp", "label"), "comp").select("id", "x", "y", "label")
+    first = with_index(comp.groupBy("comp").agg(F.min("node").alias("first")), "first", name="label").select("comp", F.col("label").cast("int").alias("label"))
+    return p.join(squares, ["cx", "cy"]).join(comp, "node").join(first, "comp").select("id", "x", "y", "label")
 
 
 def summary(labelled: DataFrame) -> DataFrame:
