@@ -361,6 +361,17 @@ def transform_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.nearest(compress.compress(orders, 1e9), model)
 
 
+@query(pieces_sql(TOL) + """, fine AS (SELECT row_number() OVER (ORDER BY len, inc) - 1 AS label, len AS center_len, inc AS center_inc FROM (SELECT DISTINCT len, inc FROM pieces)),
+o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS piece_idx, (o_orderkey % 7)::DOUBLE AS len, o_totalprice::DOUBLE / 1000 - 150 AS inc FROM orders)
+SELECT piece_idx, arg_min(label, struct_pack(d := (len - center_len) * (len - center_len) + (inc - center_inc) * (inc - center_inc), l := label))::INTEGER AS label FROM o, fine GROUP BY 1""")
+def nearest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pieces, each to the nearest of all different pieces of the events."""
+    model = with_index(compress.compress(events(spark, sf_dir), TOL).select("len", "inc").distinct(), "len", "inc", name="label").select("label", F.col("len").alias("center_len"), F.col("inc").alias("center_inc"))
+    orders = with_index(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price")), "o_orderkey", name="piece_idx")
+    pieces = orders.select("piece_idx", (F.col("o_orderkey") % 7).cast("double").alias("len"), (F.col("price") / 1000 - 150).alias("inc"))
+    return symbols.nearest(pieces, model, ("piece_idx",))
+
+
 QUANTIZED = MODEL + """, coded AS (SELECT f.series_id, f.piece_idx, m.center_len AS len, m.center_inc AS inc FROM fit f JOIN model m USING (label)),
 qz(series_id, i, c, len, inc, steps) AS (
   SELECT DISTINCT series_id, -1, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::BIGINT FROM coded

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scans
+from ..functions.ordering import with_index
+from ..storage import materialize
+from .center_index import CenterTree
+
+#: Centers that are met one by one, that a tree holds, and of a model at most.
+FEW, SLICE, MOST = 256, 1 << 20, 1 << 24
 
 _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -51,14 +61,41 @@ def symbol_counts(labelled: DataFrame) -> DataFrame:
 def nearest(pieces: DataFrame, model: DataFrame, id_cols: tuple[str, ...] = ("series_id", "piece_idx")) -> DataFrame:
     """id_cols..., label: the center at the least unscaled distance, ties to the lowest label.
 
-    The model travels as one array (one entry a cluster), so pieces stay where they are.
+    Pieces stay where they are. Up to ``FEW`` centers travel as one array; more of them as k-d trees (``center_index``) of ``SLICE``
+    centers each, 24 bytes a center, which a piece meets in turn. A model goes through the driver as a fit does: more than ``MOST`` centers are an error.
     """
+    n = model.count()
+    if n > MOST:
+        raise ValueError(f"a model has at most {MOST} centers")
+    if n > FEW:
+        return _nearest_by_trees(pieces, model, id_cols)
     centers = model.agg(F.array_sort(F.collect_list(F.struct("label", "center_len", "center_inc"))).alias("m"))
     d2 = lambda c: F.pow(F.col("len") - c["center_len"], 2) + F.pow(F.col("inc") - c["center_inc"], 2)
     best = F.array_min(F.transform("m", lambda c: F.struct(d2(c).alias("d"), c["label"].alias("label"))))
     return pieces.crossJoin(F.broadcast(centers)).select(*id_cols, best["label"].alias("label"))  # one row
 
 
+def _nearest_by_trees(pieces: DataFrame, model: DataFrame, id_cols: tuple[str, ...]) -> DataFrame:
+    spark = pieces.sparkSession
+    out = pieces.select(*id_cols, F.col("len").cast("double").alias("_x"), F.col("inc").cast("double").alias("_y"), F.lit(float("inf")).alias("_d"), F.lit(2**31 - 1).cast("long").alias("_label"))
+    numbered = materialize(with_index(model.select("label", "center_len", "center_inc"), "label", name="_n"), "centers")
+    for a in range(0, numbered.count(), SLICE):
+        part = numbered.where((F.col("_n") >= a) & (F.col("_n") < a + SLICE)).toPandas()  # SLICE rows
+        sent = spark.sparkContext.broadcast((part[["center_len", "center_inc"]].to_numpy(float), part["label"].to_numpy("int64")))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tree = None
+            for batch in batches:
+                tree = tree or CenterTree(*sent.value)
+                at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y")], axis=1)
+                found = tree.nearest(at, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_label")))
+                new = dict(zip(("_d", "_label"), map(pa.array, found), strict=True))
+                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+        out = out.mapInArrow(run, out.schema)
+    return out.select(*id_cols, F.col("_label").cast("int").alias("label"))
+
+
 def quantize(coded: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """coded(by..., piece_idx, len, inc) with integer ``steps``: rounded half to even, the error carried on; a 0 becomes 1 and is carried, too."""
     arrays = coded.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("piece_idx", "len", "inc"))).alias("p"))

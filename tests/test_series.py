@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphline import catalogue
 from glyphline.functions import scans
-from glyphline.operators import adaptive, aggregate, compress, measures, prepare, symbols
+from glyphline.operators import adaptive, aggregate, center_index, compress, measures, near_pairs, prepare, symbols
 from glyphline.operators import chords as chord_ranges
 from glyphline.operators import seeds as square_seeds
 from glyphline.plans.encoder import SymbolicEncoder, compress_tensor, decompress_tensor, encode_one
@@ -512,3 +512,51 @@ def test_scans_by_ranges_are_windows(spark):
     got = scans.scanned(value, {"s": "value"}, {"b": "value"}, {"a": "value"}, rows=16)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert scans.scanned(value.limit(0), {"s": "value"}).count() == 0
+
+
+def test_center_trees_find_the_nearest(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(center_index, "LEAF", 4)
+    for c in (rng.normal(size=(300, 2)), np.round(rng.uniform(-3, 3, (300, 2))), np.tile([[1.0, 2.0]], (50, 1)), rng.normal(size=(1, 2)), np.c_[np.zeros(90), np.arange(90) // 3]):
+        labels = rng.permutation(len(c))
+        p = np.concatenate([rng.normal(size=(200, 2)) * 2, np.round(rng.uniform(-4, 4, (200, 2)) * 2) / 2, c[:20]])
+        d = (p[:, :1] - c[None, :, 0]) ** 2 + (p[:, 1:] - c[None, :, 1]) ** 2
+        want = [min(zip(row, labels, strict=True)) for row in d]
+        tree = center_index.CenterTree(c, labels)
+        got = tree.nearest(p)
+        assert [x for x, _ in want] == got[0].tolist() and [x for _, x in want] == got[1].tolist()
+        half = [center_index.CenterTree(c[i::2], labels[i::2]) for i in (0, 1) if len(c[i::2])]
+        part = half[0].nearest(p)
+        for other in half[1:]:
+            part = other.nearest(p, *part)
+        assert part[1].tolist() == got[1].tolist()
+
+
+def test_nearest_is_the_same_with_few_and_with_many_centers(spark, monkeypatch):
+    prepare_session(spark)
+    rng = np.random.default_rng(9)
+    model = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.uniform(0, 9, (70, 2))))], "label long, center_len double, center_inc double")
+    pieces = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.uniform(0, 9, (200, 2)) * 2) / 2)], "series_id long, piece_idx int, len double, inc double").repartition(3)
+    few = sorted((r.piece_idx, r.label) for r in symbols.nearest(pieces, model).collect())
+    monkeypatch.setattr(symbols, "FEW", 3)
+    monkeypatch.setattr(symbols, "SLICE", 30)
+    assert sorted((r.piece_idx, r.label) for r in symbols.nearest(pieces, model).collect()) == few
+    assert symbols.nearest(pieces.limit(0), model).count() == 0
+    monkeypatch.setattr(symbols, "MOST", 10)
+    with pytest.raises(ValueError):
+        symbols.nearest(pieces, model)
+
+
+@pytest.mark.parametrize(("leaf", "kind"), [(4, "cloud"), (4096, "cloud"), (4, "dense"), (2, "lattice")])
+def test_near_squares_are_those_of_brute_force(spark, monkeypatch, leaf, kind):
+    prepare_session(spark)
+    monkeypatch.setattr(near_pairs, "LEAF", leaf)
+    rng = np.random.default_rng(4)
+    xy = {"cloud": rng.normal(size=(300, 2)), "dense": np.r_[rng.uniform(0, 0.05, (150, 2)), rng.uniform(0.2, 0.26, (150, 2)) * [1, 0.3]], "lattice": np.round(rng.uniform(-1, 1, (200, 2)), 1)}[kind]
+    alpha, side = 0.2, 0.1 * (1 + 1e-6)
+    x, y = (xy := np.unique(xy, axis=0)).T
+    square = np.floor(xy / side).astype(int).tolist()
+    near = np.argwhere((x[:, None] - x) * (x[:, None] - x) + (y[:, None] - y) * (y[:, None] - y) <= alpha * alpha)
+    want = {(*square[i], *square[j]) for i, j in near if square[i] < square[j]}
+    df = spark.createDataFrame([(float(a), float(b), *c) for a, b, c in zip(x, y, square, strict=True)], "x double, y double, cx long, cy long").repartition(3)
+    assert {tuple(r) for r in near_pairs.near_squares(df, alpha, side).collect()} == want
