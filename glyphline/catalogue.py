@@ -452,7 +452,22 @@ def fit_auto_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit.model.select("label", "center_len", "center_inc", F.lit(fit.params.alpha).alias("alpha")), "center_inc", "alpha")
 
 
-@query()
+def dtw_sql(values: str) -> str:
+    """A row of the table of costs at each step, with the steps of the way to each cell; ``values`` is what remains of the list v."""
+    return f"""WITH RECURSIVE {SERIES}, f AS (SELECT series_id, {values} AS v FROM s),
+pairs AS (SELECT a.series_id AS a, b.series_id AS b, a.v AS x, b.v AS y FROM f a JOIN f b ON a.series_id = b.series_id + 1),
+dp(a, b, i, r) AS (
+  SELECT a, b, 0, struct_pack(c := list_prepend(0::DOUBLE, list_transform(y, lambda z: 'inf'::DOUBLE)), l := list_prepend(0::DOUBLE, list_transform(y, lambda z: 0::DOUBLE))) FROM pairs
+  UNION ALL
+  SELECT a, b, i + 1, list_reduce(list_prepend(struct_pack(c := ['inf'::DOUBLE], l := [0::DOUBLE]), list_transform(range(1, len(y) + 1), lambda j:
+      struct_pack(c := [pow(x[i + 1] - y[j], 2), r.c[j + 1], r.c[j]], l := [r.l[j + 1], r.l[j]]))),
+    lambda p, q: struct_pack(c := list_append(p.c, q.c[1] + least(q.c[2], p.c[-1], q.c[3])),
+      l := list_append(p.l, 1 + CASE WHEN q.c[2] <= p.c[-1] AND q.c[2] <= q.c[3] THEN q.l[1] WHEN p.c[-1] <= q.c[3] THEN p.l[-1] ELSE q.l[2] END)))
+  FROM dp JOIN pairs USING (a, b) WHERE i < len(x))
+SELECT a, b, round(r.c[-1], 6) AS cost, r.l[-1]::INTEGER AS steps FROM dp JOIN pairs USING (a, b) WHERE i = len(x)"""
+
+
+@query("SELECT a, b, cost FROM (" + dtw_sql("v") + ")")
 def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each series against the one before it."""
     s = events(spark, sf_dir)
@@ -575,7 +590,7 @@ def symbol_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.symbol_segments(fitted(spark, sf_dir).withColumn("symbol", F.col("label").cast("string")), lengths)
 
 
-@query()
+@query(dtw_sql("CASE WHEN len(v) <= 2 THEN v ELSE list_transform(list_filter(range(1, len(v) + 1), lambda k: k = 1 OR k = len(v) OR abs((v[k + 1] - v[k]) - (v[k] - v[k - 1])) >= 1e-14), lambda k: v[k]) END"))
 def dtw_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each series against the one before it: steps of the cheapest alignment without collinear points."""
     s = events(spark, sf_dir)

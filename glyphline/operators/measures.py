@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,19 +12,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _diagonals(x: np.ndarray, y: np.ndarray, dist: Callable | None, start: int, before: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Costs of the cells (i, k - i) for k from ``start`` on, at i + 1 in an array as long as x and one more; what is outside is infinite.
+
+    ``before`` are the two anti-diagonals before; all cells of one depend on those alone, so each is a few array steps.
+    """
+    n, m = len(x), len(y)
+    two, one = before
+    for k in range(start, n + m - 1):
+        lo, hi = max(0, k - m + 1), min(k, n - 1)
+        a, b = x[lo : hi + 1], y[k - hi : k - lo + 1][::-1]
+        d = (a - b) ** 2 if dist is None else np.array([dist(p, q) for p, q in zip(a, b, strict=True)], float)
+        least = np.minimum(np.minimum(one[lo : hi + 1], one[lo + 1 : hi + 2]), two[lo : hi + 1])
+        new = np.full(n + 1, np.inf)
+        new[lo + 1 : hi + 2] = d + (least if k else 0.0)
+        yield new
+        two, one = one, new
+
+
 def dtw_cost(x: np.ndarray, y: np.ndarray, dist: Callable | None = None) -> float:
-    """Cost of the cheapest monotone alignment; squared differences unless ``dist`` says otherwise."""
-    d = (x[:, None] - y[None, :]) ** 2 if dist is None else np.array([[dist(a, b) for b in y] for a in x], float)
-    row = np.cumsum(d[0])
-    for i in range(1, len(x)):
-        up = np.minimum(row, np.r_[np.inf, row[:-1]])
-        new = np.empty_like(row)
-        left = np.inf
-        for j in range(len(row)):
-            left = d[i, j] + min(up[j], left)
-            new[j] = left
-        row = new
-    return float(row[-1])
+    """Cost of the cheapest monotone alignment; squared differences unless ``dist`` says otherwise. Memory is linear in the lengths."""
+    none = np.full(len(x) + 1, np.inf)
+    for last in _diagonals(x, y, dist, 0, [none, none]):
+        pass
+    return float(last[-1])
 
 
 def dtw_pairs(series: DataFrame, pairs: DataFrame, dist: Callable | None = None) -> DataFrame:
@@ -41,24 +54,33 @@ def dtw_pairs(series: DataFrame, pairs: DataFrame, dist: Callable | None = None)
 def dtw_path(x: np.ndarray, y: np.ndarray, dist: Callable | None = None, filter_redundant: bool = False) -> tuple[float, list[tuple[int, int]]]:
     """Cost and the 0-based positions that the cheapest alignment pairs; of equal ways the one from above, from the left, then diagonal.
 
+    Memory is the lengths times the root of their sum, and the path.
     ``filter_redundant`` leaves out collinear interior points; positions are still those of the input.
     """
     keep = [np.arange(len(v)) for v in (x, y)]
     if filter_redundant:
         keep = [k[np.r_[True, np.abs(np.diff(v, 2)) >= 1e-14, True]] if len(v) > 2 else k for k, v in zip(keep, (x, y), strict=True)]
     x, y = x[keep[0]], y[keep[1]]
-    d = (x[:, None] - y[None, :]) ** 2 if dist is None else np.array([[dist(a, b) for b in y] for a in x], float)
-    cost = np.full((len(x) + 1, len(y) + 1), np.inf)
-    cost[0, 0] = 0
-    for i in range(len(x)):
-        for j in range(len(y)):
-            cost[i + 1, j + 1] = d[i, j] + min(cost[i, j + 1], cost[i + 1, j], cost[i, j])
-    path, i, j = [], len(x), len(y)
-    while i and j:
-        path.append((int(keep[0][i - 1]), int(keep[1][j - 1])))
-        ways = [(i - 1, j), (i, j - 1), (i - 1, j - 1)]
-        i, j = min(ways, key=lambda w: cost[w])
-    return float(cost[-1, -1]), path[::-1]
+    # every so many anti-diagonals two are kept; the way back makes those between them once more
+    every = max(2, math.isqrt(len(x) + len(y)))
+    none = np.full(len(x) + 1, np.inf)
+    two, one, kept = none, none, []
+    for k, new in enumerate(_diagonals(x, y, dist, 0, [none, none])):
+        if k % every == 0:
+            kept.append([two, one])
+        two, one = one, new
+    cost, path, i, j = float(one[-1]), [], len(x) - 1, len(y) - 1
+    for block in reversed(range(len(kept))):
+        start = block * every
+        known = [*kept[block], *islice(_diagonals(x, y, dist, start, kept[block]), i + j - start + 1)]
+        while i + j >= start:
+            path.append((int(keep[0][i]), int(keep[1][j])))
+            if not i and not j:
+                break
+            a, b = known[i + j - start + 1], known[i + j - start]
+            ways = [(a[i], i - 1, j), (a[i + 1], i, j - 1), (b[i], i - 1, j - 1)]  # of equal ones the first
+            _, i, j = min(ways, key=lambda w: w[0])
+    return cost, path[::-1]
 
 
 def dtw_paths(series: DataFrame, pairs: DataFrame, dist: Callable | None = None, filter_redundant: bool = False) -> DataFrame:

@@ -560,3 +560,22 @@ def test_near_squares_are_those_of_brute_force(spark, monkeypatch, leaf, kind):
     want = {(*square[i], *square[j]) for i, j in near if square[i] < square[j]}
     df = spark.createDataFrame([(float(a), float(b), *c) for a, b, c in zip(x, y, square, strict=True)], "x double, y double, cx long, cy long").repartition(3)
     assert {tuple(r) for r in near_pairs.near_squares(df, alpha, side).collect()} == want
+
+
+def test_warping_in_little_memory_is_the_full_table():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (1, 5), (5, 1), (2, 3), (40, 23), (17, 60), (64, 64)):
+        for values in (rng.normal(size=n + m), np.round(rng.uniform(0, 2, n + m)), np.zeros(n + m)):
+            x, y = values[:n], values[n:]
+            for dist in (None, lambda a, b: abs(a - b)):
+                d = (x[:, None] - y) ** 2 if dist is None else np.abs(x[:, None] - y)
+                cost = np.full((n + 1, m + 1), np.inf)
+                cost[0, 0] = 0
+                for i, j in itertools.product(range(n), range(m)):
+                    cost[i + 1, j + 1] = d[i, j] + min(cost[i, j + 1], cost[i + 1, j], cost[i, j])
+                path, i, j = [], n, m
+                while i and j:
+                    path.append((i - 1, j - 1))
+                    i, j = min([(i - 1, j), (i, j - 1), (i - 1, j - 1)], key=lambda w: cost[w])
+                assert measures.dtw_path(x, y, dist) == (cost[-1, -1], path[::-1])
+                assert measures.dtw_cost(x, y, dist) == cost[-1, -1]
