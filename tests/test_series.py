@@ -579,3 +579,16 @@ def test_warping_in_little_memory_is_the_full_table():
                     i, j = min([(i - 1, j), (i, j - 1), (i - 1, j - 1)], key=lambda w: cost[w])
                 assert measures.dtw_path(x, y, dist) == (cost[-1, -1], path[::-1])
                 assert measures.dtw_cost(x, y, dist) == cost[-1, -1]
+
+
+def test_optimal_clusters_are_those_of_all_last_cuts():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 7, 40, 90):
+        v = np.unique(np.round(rng.normal(size=n), 3))
+        sse = lambda a: float(((a - a.mean()) ** 2).sum()) if len(a) else 0.0
+        best = [0.0] + [sse(v[:j]) for j in range(1, len(v) + 1)]
+        for k, label in enumerate(adaptive.best_splits(v, 6), 1):
+            if k > 1:
+                best = [math.inf if j < k else min(best[i] + sse(v[i:j]) for i in range(k - 1, j)) for j in range(len(v) + 1)]
+            assert len(set(label.tolist())) == k and (np.diff(label) >= 0).all()
+            assert math.isclose(sum(sse(v[label == c]) for c in range(k)), best[len(v)], abs_tol=1e-9)
