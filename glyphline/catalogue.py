@@ -599,7 +599,19 @@ def dtw_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.dtw_paths(s, pairs, filter_redundant=True).select("a", "b", F.round("cost", 6).alias("cost"), F.size("path").alias("steps"))
 
 
-@query()
+#: The series split into 1, 2, 4 and 8 blocks, each block a series of its own.
+SPLITS = EVENTS + """, nb AS (
+  SELECT m, series_id AS sid, least(t // (n // least(m, n)), least(m, n) - 1) AS block, t, value
+  FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev), (SELECT unnest([1, 2, 4, 8]) AS m)),
+s AS (SELECT (sid * 16 + block) * 16 + m AS series_id, list(value ORDER BY t) AS v FROM nb GROUP BY sid, block, m HAVING count(*) >= 2)"""
+
+
+@query(pieces_sql(TOL, series=SPLITS) + """, c AS (SELECT (series_id % 16)::INTEGER AS blocks, count(*) AS pieces FROM pieces GROUP BY 1),
+w AS (SELECT series_id // 256 AS sid, sum(len) OVER (PARTITION BY series_id ORDER BY piece_idx) AS hi, len FROM pieces WHERE series_id % 16 = 1),
+cuts AS (SELECT sid, blocks, unnest(range(1, blocks)) * (n // blocks) AS cut FROM (SELECT series_id AS sid, count(*) AS n FROM ev GROUP BY 1), c WHERE n >= blocks),
+f AS (SELECT c.blocks, pieces, (SELECT count(*) FROM cuts JOIN w USING (sid) WHERE cuts.blocks = c.blocks AND hi - len < cut AND cut < hi) AS forced, (SELECT pieces FROM c WHERE blocks = 1) AS base FROM c)
+SELECT blocks, pieces, forced, pieces - base AS observed, round(forced * 100.0 / base, 6) AS forced_percent, round((pieces - base) * 100.0 / base, 6) AS observed_percent,
+  CASE WHEN blocks > 1 THEN round(forced / (blocks - 1), 6) ELSE 0 END AS forced_per_boundary FROM f""")
 def boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = events(spark, sf_dir)
     whole = materialize(compress.compress(s, TOL), "whole")
