@@ -592,3 +592,11 @@ def test_optimal_clusters_are_those_of_all_last_cuts():
                 best = [math.inf if j < k else min(best[i] + sse(v[i:j]) for i in range(k - 1, j)) for j in range(len(v) + 1)]
             assert len(set(label.tolist())) == k and (np.diff(label) >= 0).all()
             assert math.isclose(sum(sse(v[label == c]) for c in range(k)), best[len(v)], abs_tol=1e-9)
+
+
+def test_names_of_the_package():
+    import glyphline
+
+    assert all(callable(getattr(glyphline, name)) for name in glyphline.__all__)
+    with pytest.raises(AttributeError):
+        glyphline.no_such_name
