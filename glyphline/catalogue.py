@@ -407,6 +407,18 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_again(spark, sf_dir), "value")
 
 
+SHORT = QUANTIZED.replace("m.center_len AS len, m.center_inc AS inc FROM", "m.center_len * 0.3 AS len, m.center_inc AS inc, max(f.piece_idx) OVER (PARTITION BY f.series_id) AS last FROM").replace("d.len + c, 0) = 0 THEN", "d.len + c, 0) = 0 AND d.piece_idx < d.last THEN")
+
+
+@query(SHORT + """, po AS (SELECT *, coalesce(sum(steps) OVER w, 0) AS t0, coalesce(sum(inc) OVER w, 0) AS rise FROM (SELECT * FROM qz WHERE i >= 0 AND steps >= 1) WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+info AS (SELECT series_id, min_by(value, t) AS start FROM ev GROUP BY 1)
+ SELECT series_id, (t0 + k)::BIGINT AS t, round(start + rise + inc / steps * k, 6) AS value FROM (SELECT *, unnest(range(1, steps::BIGINT + 1)) AS k FROM po JOIN info USING (series_id)) UNION ALL SELECT series_id, 0, round(start, 6) FROM info""")
+def inverse_unclamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older inverse, of pieces at 0.3 of their lengths: last pieces that round to no step have no points."""
+    coded = _coded(fitted(spark, sf_dir)).withColumn("len", F.col("len") * 0.3)
+    return rounded(symbols.ramps(symbols.quantize(coded, clamp=False), symbols.block_info(events(spark, sf_dir)), clamp=False), "value")
+
+
 @query(AGAIN + ", e AS (SELECT series_id, sum(pow(ev.value - again.value, 2)) AS sse, count(*) AS n FROM ev JOIN again USING (series_id, t) GROUP BY 1) SELECT round(sum(sse) / sum(n), 6) AS mse_micro, round(avg(sse / n), 6) AS mse_macro FROM e")
 def mse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(symbols.error(events(spark, sf_dir), _again(spark, sf_dir)), "mse_micro", "mse_macro")

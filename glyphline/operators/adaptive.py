@@ -39,29 +39,127 @@ def run_center(values: np.ndarray, norm: int, weighted: bool) -> tuple[float, fl
     return c, float(np.abs(s - i * c).sum() if norm == 1 else ((s - i * c) ** 2).sum())
 
 
+class _Mean:
+    """Squared distances of a run's increments from their mean, by sums of what they are off the first one."""
+
+    def __init__(self, inc: np.ndarray):
+        self.inc = inc.tolist()
+
+    def begin(self, i: int) -> None:
+        self.first, self.n, self.sum, self.square = self.inc[i], 1, 0.0, 0.0
+
+    def error(self, i: int) -> tuple[float, float]:
+        """The run's error with one more increment, and how far rounding may have moved it."""
+        v = self.inc[i] - self.first
+        self.n, self.sum, self.square = self.n + 1, self.sum + v, self.square + v * v
+        return self.square - self.sum * self.sum / self.n, 4 * EPS * (self.n + 4) * self.square
+
+
+class _Median:
+    """The largest distance from the median. Increments come sorted, or by absolute value: each is a new least or largest one."""
+
+    def __init__(self, inc: np.ndarray):
+        self.inc = inc.tolist()
+
+    def begin(self, i: int) -> None:
+        self.low, self.high = [], [self.inc[i]]  # down from the first, and up
+
+    def _at(self, k: int) -> float:
+        n = len(self.low)
+        return self.low[n - 1 - k] if k < n else self.high[k - n]
+
+    def error(self, i: int) -> tuple[float, float]:
+        v = self.inc[i]
+        (self.high if v >= self.high[-1] else self.low).append(v)
+        n = len(self.low) + len(self.high)
+        c = self._at(n // 2) if n % 2 else (self._at(n // 2 - 1) + self._at(n // 2)) / 2
+        return max(self._at(n - 1) - c, c - self._at(0)), 0.0
+
+
+class _SumLine:
+    """Squared distances of a run's running sums s from the best line i * c.
+
+    A new increment may stand anywhere in time and moves all sums behind it, so sums of i * s and s * s are kept in a binary tree
+    over time: a node has those of its own increments alone, and two nodes make one.
+    """
+
+    def __init__(self, inc: np.ndarray):
+        self.inc, self.leaves = inc.tolist(), 1 << max(len(inc) - 1, 1).bit_length()
+        self.nodes: list[tuple | None] = [None] * (2 * self.leaves)
+        self.run: list[int] = []
+
+    def begin(self, i: int) -> None:
+        for j in self.run:
+            at = j + self.leaves
+            while at and self.nodes[at] is not None:
+                self.nodes[at] = None
+                at >>= 1
+        self.first, self.size, self.run = self.inc[i], 0.0, []
+        self._put(i)
+
+    def _put(self, i: int) -> None:
+        v = self.inc[i] - self.first  # a line less a line is a line: the error is the same
+        self.run.append(i)
+        self.size += abs(v)
+        at, nodes = i + self.leaves, self.nodes
+        nodes[at] = here = (1, v, v, v, v * v)  # number, sum, and the sums of s, of i * s and of s * s
+        while at > 1:
+            other = nodes[at ^ 1]
+            if other is not None:
+                (n, t, b, a, c), (m, u, e, d, f) = (other, here) if at & 1 else (here, other)
+                here = (n + m, t + u, b + e + t * m, a + d + t * (m * (m + 1) // 2) + n * e + n * t * m, c + f + 2 * t * e + t * t * m)
+            at >>= 1
+            nodes[at] = here
+
+    def error(self, i: int) -> tuple[float, float]:
+        self._put(i)
+        n, _, _, a, c = self.nodes[1]
+        return c - a * a / (n * (n + 1) * (2 * n + 1) / 6), 1e-13 * n * self.size * self.size
+
+
+class _Anew:
+    """Weighted medians of running sums: a new increment moves all behind it, so each is told from the whole run."""
+
+    def __init__(self, inc: np.ndarray):
+        pass
+
+    def begin(self, i: int) -> None:
+        pass
+
+    def error(self, i: int) -> tuple[float, float]:
+        return 0.0, float("inf")
+
+
 def grow_runs(inc: np.ndarray, tol: float, norm: int = 2, weighted: bool = True, symmetric: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centers: along sorted increments a run grows while its error stays below size * tol.
 
     ``symmetric`` starts from the smallest absolute value; after the first run that met a change of sign,
-    the rest is taken by sign, then by absolute value.
+    the rest is taken by sign, then by absolute value. An increment costs a step (unweighted) or log n steps (weighted, 2-norm); only
+    where rounding could decide, and in the weighted 1-norm, the run's error is told anew.
     """
     order = np.argsort(np.abs(inc) if symmetric else inc, kind="stable")
     label, centers = np.empty(len(inc), np.int64), []
-    crossed, dealt, start = False, not symmetric, 0
+    grown = {(False, 2): _Mean, (False, 1): _Median, (True, 2): _SumLine, (True, 1): _Anew}[weighted, norm](inc)
+    sign, at, crossed, dealt, start = np.sign(inc).tolist(), order.tolist(), False, not symmetric, 0
     while start < len(inc):
-        end, center = start + 1, inc[order[start]]
+        end = start + 1
+        grown.begin(at[start])
         while end < len(inc):
-            crossed |= np.sign(inc[order[end]]) != np.sign(inc[order[0]]) if not dealt else False
-            c, err = run_center(inc[np.sort(order[start : end + 1])], norm, weighted)
-            if not err < (end + 1 - start) * tol:
+            if not dealt and sign[at[end]] != sign[at[0]]:
+                crossed = True
+            err, doubt = grown.error(at[end])
+            most = (end + 1 - start) * tol
+            if not abs(err - most) > doubt:
+                err = run_center(inc[np.sort(order[start : end + 1])], norm, weighted)[1]
+            if not err < most:
                 break
-            end, center = end + 1, c
+            end += 1
         label[order[start:end]] = len(centers)
-        centers.append(center)
+        centers.append(run_center(inc[np.sort(order[start:end])], norm, weighted)[0] if end > start + 1 else inc[order[start]])
         if crossed and not dealt:
             rest = order[end:]
             order[end:] = rest[np.lexsort((np.abs(inc[rest]), np.sign(inc[rest])))]
-            dealt = True
+            at, dealt = order.tolist(), True
         start = end
     return label, np.array(centers)
 

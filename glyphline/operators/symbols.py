@@ -96,11 +96,15 @@ def _nearest_by_trees(pieces: DataFrame, model: DataFrame, id_cols: tuple[str, .
     return out.select(*id_cols, F.col("_label").cast("int").alias("label"))
 
 
-def quantize(coded: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """coded(by..., piece_idx, len, inc) with integer ``steps``: rounded half to even, the error carried on; a 0 becomes 1 and is carried, too."""
+def quantize(coded: DataFrame, by: tuple[str, ...] = ("series_id",), clamp: bool = True) -> DataFrame:
+    """coded(by..., piece_idx, len, inc) with integer ``steps``: rounded half to even, the error carried on; a 0 becomes 1 and is carried, too.
+
+    Without ``clamp`` the last piece of a series keeps its 0, as the older inverse has it.
+    """
     arrays = coded.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("piece_idx", "len", "inc"))).alias("p"))
     n = "rint(x.len + a.c)"
-    step = f"""(a, x) -> named_struct('c', x.len + a.c - IF({n} = 0, 1D, {n}), 'q', concat(a.q, array(IF({n} = 0, 1D, {n}))))"""
+    whole = f"IF({n} = 0{'' if clamp else ' AND size(a.q) < size(p) - 1'}, 1D, {n})"
+    step = f"(a, x) -> named_struct('c', x.len + a.c - {whole}, 'q', concat(a.q, array({whole})))"
     q = f"aggregate(p, named_struct('c', 0D, 'q', CAST(array() AS array<double>)), {step}, a -> a.q)"
     z = arrays.withColumn("q", F.expr(q)).select(*by, F.explode(F.arrays_zip("p", "q")).alias("z"))
     return z.select(*by, F.col("z.p.piece_idx").alias("piece_idx"), F.col("z.p.len").alias("len"), F.col("z.p.inc").alias("inc"), F.col("z.q").cast("long").alias("steps"))
@@ -115,12 +119,14 @@ def fit_last(quantized: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ("se
     return q.withColumn("steps", F.when(last, want).otherwise(F.col("steps"))).drop("target_length")
 
 
-def ramps(quantized: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ("series_id",), range_rows: int | None = None) -> DataFrame:
+def ramps(quantized: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ("series_id",), range_rows: int | None = None, clamp: bool = True) -> DataFrame:
     """by..., t, value: each piece a line of its steps (at least one) from where the last one ended; blocks has the start.
 
+    Without ``clamp`` a piece of less than one step has no points, and its increment is not made.
+
     ``range_rows``: pieces are summed up by ranges of so many, for series that are too long for a task; else by a window.
     """
-    q = quantized.withColumn("steps", F.greatest("steps", F.lit(1)))
+    q = quantized.withColumn("steps", F.greatest("steps", F.lit(1))) if clamp else quantized.where("steps >= 1")
     if range_rows is None:
         w = Window.partitionBy(*by).orderBy("piece_idx").rowsBetween(Window.unboundedPreceding, -1)
         q = q.withColumn("t0", F.coalesce(F.sum("steps").over(w), F.lit(0))).withColumn("rise", F.coalesce(F.sum("inc").over(w), F.lit(0.0)))

@@ -119,16 +119,18 @@ class EncoderModel:
         near = symbols.nearest(self.params.pieces(series), self.model, (*by, "piece_idx")).join(self.model.select("label", "symbol"), "label")
         return symbols.sequences(near, by)
 
-    def inverse(self, coded: DataFrame, series_info: DataFrame, fit_length: bool = True, fix_last: bool = True) -> DataFrame:
+    def inverse(self, coded: DataFrame, series_info: DataFrame, fit_length: bool = True, fix_last: bool = True, clamp: bool = True) -> DataFrame:
         """coded(by..., symbols) and series_info(by..., start, target_length) -> series_id, t, value.
 
         Blocks follow one another, each as long as it came out. ``fit_length`` cuts or pads to target_length, after ``fix_last`` has stretched the last piece towards it; without
-        both the lengths are those of the symbols alone.
+        both the lengths are those of the symbols alone. Without ``clamp``, too, this is the older inverse: a last piece that rounds to 0 steps has no points.
         """
+        if fix_last and not clamp:
+            raise ValueError("fix_last gives the last piece a step at least: it needs clamp")
         by = self.params.by
         c = coded.select(*by, F.posexplode("symbols").alias("piece_idx", "symbol")).join(self.model.select("symbol", F.col("center_len").alias("len"), F.col("center_inc").alias("inc")), "symbol")
-        steps = symbols.quantize(c, by)
-        again = symbols.ramps(symbols.fit_last(steps, series_info, by) if fix_last else steps, series_info, by)
+        steps = symbols.quantize(c, by, clamp)
+        again = symbols.ramps(symbols.fit_last(steps, series_info, by) if fix_last else steps, series_info, by, clamp=clamp)
         again = prepare.fit_length(again, series_info.select(*by, F.col("target_length").alias("n")), by) if fit_length else again
         if len(by) == 1:
             return again

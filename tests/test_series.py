@@ -15,7 +15,7 @@ from glyphline.operators import adaptive, aggregate, center_index, compress, mea
 from glyphline.operators import chords as chord_ranges
 from glyphline.operators import seeds as square_seeds
 from glyphline.plans.encoder import SymbolicEncoder, compress_tensor, decompress_tensor, encode_one
-from glyphline.sources import generate
+from glyphline.sources import arff, generate
 from glyphline.storage import prepare as prepare_session
 from glyphline.streaming.compress import compress_stream
 
@@ -222,6 +222,51 @@ def test_growing_runs(norm, weighted, symmetric):
         assert adaptive.grow_runs(inc, tol, norm, weighted, symmetric)[0].tolist() == written_out(inc.tolist(), tol, norm, weighted, symmetric)
 
 
+@pytest.mark.parametrize("norm,weighted", [(1, False), (2, False), (2, True)])
+def test_long_growing_runs_are_those_told_anew(monkeypatch, norm, weighted):
+    rng = np.random.default_rng(11)
+    kinds = [np.cumsum(rng.normal(size=400)), rng.normal(size=400), np.repeat([2.0, -2.0, 0.0, 1e6], 100), rng.integers(-3, 4, 400) / 8, np.zeros(50), 1e9 + rng.normal(size=200), np.array([3.0])]
+    for inc, tol, symmetric in itertools.product(kinds, (0.0, 0.05, 3.0, 1e5), (False, True)):
+        got = adaptive.grow_runs(inc, tol, norm, weighted, symmetric)
+        with monkeypatch.context() as m:
+            for name in ("_Mean", "_Median", "_SumLine"):
+                m.setattr(adaptive, name, adaptive._Anew)
+            want = adaptive.grow_runs(inc, tol, norm, weighted, symmetric)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist(), (inc[:5], tol, symmetric)
+
+
+def test_growing_runs_of_many_increments():
+    inc = np.random.default_rng(5).normal(size=60_000)
+    for norm, weighted, tol in ((2, False, 0.5), (1, False, 1e-4), (2, True, 1e5)):
+        label, centers = adaptive.grow_runs(inc, tol, norm, weighted)
+        assert len(centers) == label.max() + 1 and np.bincount(label).max() > 5000
+
+
+def test_older_inverse_is_its_rule(spark):
+    def by_hand(pieces, start):
+        steps, carry = [], 0.0
+        for i, (length, _) in enumerate(pieces):
+            n = round(length + carry)
+            n = 1 if n == 0 and i < len(pieces) - 1 else n
+            steps.append(n)
+            carry += length - n
+        out = [start]
+        for n, (_, inc) in zip(steps, pieces, strict=True):
+            out += [out[-1] + inc / n * k for k in range(1, n + 1)]
+        return out
+
+    rng = random.Random(3)
+    all_ = {0: [(0.2, 1.0)], 1: [(3.4, 1.0), (0.3, -2.0)], 2: [(0.2, 5.0), (0.2, 7.0), (0.1, 1.0)]} | {s: [(rng.choice([0.1, 0.4, 0.6, 1.3, 2.7]), rng.normalvariate(0, 1)) for _ in range(rng.randint(1, 9))] for s in range(3, 40)}
+    coded = spark.createDataFrame([(s, i, *p) for s, ps in all_.items() for i, p in enumerate(ps)], "series_id long, piece_idx int, len double, inc double")
+    starts = spark.createDataFrame([(s, s / 2) for s in all_], "series_id long, start double")
+    got = {}
+    for r in symbols.ramps(symbols.quantize(coded, clamp=False), starts, clamp=False).orderBy("series_id", "t").collect():
+        assert r.t == len(got.setdefault(r.series_id, []))
+        got[r.series_id].append(r.value)
+    want = {s: by_hand(ps, s / 2) for s, ps in all_.items()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want) and any(len(v) == 1 for v in want.values())
+
+
 def test_incremental_is_by_series(spark):
     rows = [(s, i, 2.0 + i, v * (s + 1)) for s in range(2) for i, v in enumerate([1.0, -1.0, 1.1, -0.9, 5.0])]
     got = adaptive.incremental(spark.createDataFrame(rows, "series_id long, piece_idx int, len double, inc double"), 0.1, weighted=False).orderBy("series_id", "piece_idx").collect()
@@ -331,6 +376,48 @@ def test_stream_gives_the_pieces_of_the_batch(spark, tmp_path):
     assert got == [x for x in want if x[:2] not in last] and len(got) > 10
 
 
+def test_stream_waits_for_late_points_and_ends_what_is_idle(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    s = series(spark, *(np.cumsum(rng.normal(size=60)) for _ in range(3)))
+    timed = s.withColumn("ts", F.timestamp_seconds(F.col("t") * 10 + 1000))
+    # batches overlap: a third of each comes one batch late
+    late = timed.withColumn("batch", F.floor(F.col("t") / 15) + F.when(F.pmod(F.hash("series_id", "t"), F.lit(3)) == 0, 1).otherwise(0))
+    for b in range(5):
+        late.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = spark.createDataFrame([(9, 0, 0.0)], "series_id long, t long, value double").withColumn("ts", F.timestamp_seconds(F.lit(90_000)))
+    end.select(*timed.columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "400 seconds")
+    q = compress_stream(stream, 1.0, time_col="ts", idle=60).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = sorted((r.series_id, r.piece_idx, r.len, round(r.inc, 9), round(r.err, 6)) for r in spark.table("closed").collect())
+    assert got == sorted((r.series_id, r.piece_idx, r.len, round(r.inc, 9), round(r.err, 6)) for r in compress.compress(s, 1.0).collect())
+
+
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_arff_source(spark, tmp_path, split):
+    head = "% made by hand\n@RELATION 'two words'\n@attribute 'when seen' string\n@attribute size NUMERIC\n@attribute n integer\n@attribute kind {a, 'b c'}\n@DATA\n"
+    rows = ["'it\\'s, here',1.5,2,a", "% not a row", "", "?,?,?,?", '"x, ""q",-2e3,7,\'b c\'', "plain , 0, 1 , a"]
+    (tmp_path / "a_TRAIN.arff").write_text(head + "\n".join(rows[:4]) + "\n")
+    (tmp_path / "a_TEST.arff").write_bytes((head + "\n".join(rows[4:])).replace("\n", "\r\n").encode())
+    got = arff.load(spark, str(tmp_path / "a_TRAIN.arff"), str(tmp_path / "a_TEST.arff"), split_bytes=split)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][2:] == [("when seen", "string"), ("size", "double"), ("n", "bigint"), ("kind", "string")]
+    assert [tuple(r)[2:] for r in got.orderBy("file", "at").collect()] == [("it's, here", 1.5, 2, "a"), (None, None, None, None), ("x, q", -2000.0, 7, "b c"), ("plain", 0.0, 1, "a")]
+
+
+@pytest.mark.parametrize("split", [11, 1 << 20])
+def test_arff_source_of_series(spark, tmp_path, split):
+    head = "@relation r\n@attribute rel relational\n  @attribute att0 numeric\n  @attribute att1 numeric\n  @attribute att2 numeric\n@end rel\n@attribute class {up,down}\n@data\n"
+    (tmp_path / "s_TRAIN.arff").write_text(head + "'1,2,?\\n4,5,6',up\n'7,8,9\\n1,1,1',?\n")
+    (tmp_path / "s_TEST.arff").write_text(head + '"0,0,0.5\\n-1,2e2,3",down\n')
+    got = arff.samples(spark, str(tmp_path / "s_TRAIN.arff"), str(tmp_path / "s_TEST.arff"), split_bytes=split).orderBy("sample_id", "dim_id", "t").collect()
+    assert [r.value for r in got] == [1, 2, 0, 4, 5, 6, 7, 8, 9, 1, 1, 1, 0, 0, 0.5, -1, 200, 3]
+    assert [(r.sample_id, r.dim_id, r.t) for r in got] == [(s, d, t) for s in range(3) for d in range(2) for t in range(3)]
+    assert [r["class"] for r in got[::6]] == ["up", None, "down"]
+    (tmp_path / "bad.arff").write_text(head + "'1,2,x',up\n")
+    with pytest.raises(Exception, match="byte"):
+        arff.load(spark, str(tmp_path / "bad.arff")).collect()
+
+
 def test_reports(spark):
     runs = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 2.0), ("b_1", 1, 1.0), ("b_1", 1, 3.0)], "dataset string, workers int, seconds double")
     wide = measures.wide_table(runs, "dataset", "workers", "seconds", [1, 2])
