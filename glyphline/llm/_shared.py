@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import storage
 from ..storage import shared_dir
@@ -44,5 +45,10 @@ def discard(df: DataFrame, folder: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def named(column: str) -> Column:
+    """The column of that very name: a dot in it is no path."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, named
 
 #: A directory of up to so many bytes is broadcast to the rows; more is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -107,6 +107,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns, whatever their names; of rows equal in id and text, one."""
     kept = exact_dedup(docs, id_col, text_col, **index).where("kept").select(F.col(id_col).alias("keep"), "text_sha256").distinct()
     sha = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), sha.alias("sha"))
+    rows = docs.select(F.struct(*(named(c).alias(c) for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), sha.alias("sha"))
     left = rows.alias("d").join(kept.alias("k"), F.col("d.id").eqNullSafe(F.col("k.keep")) & (F.col("d.sha") == F.col("k.text_sha256")), "left_semi")
     return left.dropDuplicates(["id", "sha"]).select("row.*")

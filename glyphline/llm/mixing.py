@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, named
 
 #: Rates of up to so many bytes are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     if size <= BROADCAST_BYTES:  # else a hot source is split by the adaptive join
         rates = F.broadcast(rates)
     kept = [c for c in docs.columns if c not in names]
-    rows = docs.select(F.struct(*(F.col(c) for c in kept)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("from"), F.xxhash64(text_col).alias("text_hash"), uniform(seed, id_col).alias("u"))
+    rows = docs.select(F.struct(*(named(c).alias(c) for c in kept)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("from"), F.xxhash64(text_col).alias("text_hash"), uniform(seed, id_col).alias("u"))
     d = rows.alias("d").join(rates.select("source", "first", "cdf").alias("r"), F.col("d.from").eqNullSafe(F.col("r.source")))
     d = d.select("row", "id", "text_hash", (F.col("first") + inverted(F.col("cdf"), F.col("u"))).cast("int").alias("copies")).where("copies > 0")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

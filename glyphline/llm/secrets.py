@@ -1,9 +1,9 @@
 """Secret scans with multipart credential linking (DataFrame functions only).
 
 Assignments, access identifiers and long hex strings are found in every text.  Weak candidates mean little
-alone: bare secrets, other identifiers (of clients, accounts, temporary keys) and endpoints.  They are joined by
-overlapping intervals within a scope and reported only where the complementary parts are there: a secret
-beside an identifier, an identifier beside a secret, an endpoint beside both.
+alone: bare secrets, other identifiers (of clients, accounts, temporary keys, e-mail addresses) and endpoints (URLs, IP
+addresses, named hosts).  They are joined by overlapping intervals within a scope and reported only where the complementary
+parts are there: a secret beside an identifier, an identifier beside a secret, an endpoint beside both.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Weak candidates.
 SECRET = r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40}|[A-Za-z0-9+/]{86}==)(?![A-Za-z0-9+/=])"
-IDENTIFIER = r"""(?i:client_?id|account_?(?:id|name)|access_?key_?id|user_?name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}|(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{16}(?![A-Za-z0-9])"""
-ENDPOINT = r"https?://[^\s\"'<>]{4,}"
+NAMED = r"""(?i:client_?id|account_?(?:id|name)|access_?key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}|(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{16}(?![A-Za-z0-9])"""
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+IDENTIFIER = f"{NAMED}|{MAIL}"
+ENDPOINT = r"""https?://[^\s"'<>]{4,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9]|\.[0-9])|(?i:host_?(?:name)?|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}"""
 KINDS = ("assign", "access", "hex", "secret", "identifier", "endpoint")
 #: Running positions are summed in blocks of so many matches.
 BLOCK = 256
@@ -61,7 +63,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """id, row (a number of its own) and the spans of each kind, without linking."""
     t = F.col("text")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = texts.withColumn("named", t.rlike(IDENTIFIER)).withColumn("known", F.col("named") | t.contains("AKIA"))
+    named = texts.withColumn("named", t.rlike(NAMED) | (t.contains("@") & t.rlike(MAIL))).withColumn("known", F.col("named") | t.contains("AKIA"))
     return named.select(
         "id", F.monotonically_increasing_id().alias("row"),
         spans(t, ASSIGN, t.rlike("(?i:passw|secret|token|api_?key)"), 2, 6).alias("assign"),
@@ -69,7 +71,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         spans(t, HEX, t.rlike(HEX)).alias("hex"),
         spans(t, SECRET, F.col("known")).alias("secret"),
         spans(t, IDENTIFIER, F.col("named")).alias("identifier"),
-        spans(t, ENDPOINT, F.col("known") & t.contains("://")).alias("endpoint"),
+        spans(t, ENDPOINT, F.col("known") & t.rlike(ENDPOINT)).alias("endpoint"),
     )
 
 
@@ -92,13 +94,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found is an array of (start, end, kind): base spans and those that linking adds (secret, identifier,
     endpoint), by start, then kind in the order of KINDS. Two spans are near when at most ``scope`` code points lie between them.
-    A secret needs an access id or identifier near, an identifier an assignment or secret, an endpoint one of each.
+    A secret needs an access id or identifier near, an identifier an assignment, secret or hex string, an endpoint one of each.
     Null texts are empty. Repeated rows are rows of their own. Other columns are ignored. An empty table gives no rows.
     """
     found = materialize(scan(docs, id_col, text_col), "secrets")
     some = found.where("size(access) + size(identifier) > 0")
     who = _parts(some, "access", scope, around=True).unionByName(_parts(some, "identifier", scope, around=True))
-    what = _parts(some, "assign", scope, around=True).unionByName(_parts(some, "secret", scope, around=True))
+    what = _parts(some, "assign", scope, around=True).unionByName(_parts(some, "secret", scope, around=True)).unionByName(_parts(some, "hex", scope, around=True))
     secret = _near(_parts(some, "secret", scope), who, scope)
     identifier = _near(_parts(some, "identifier", scope), what, scope)
     endpoint = _near(_near(_parts(some, "endpoint", scope), who, scope), what, scope)

@@ -187,32 +187,90 @@ def parse(raw: bytes) -> dict:
         raise Damaged(f"the record is not as its header says: {e!r}") from e
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """The fields of a header behind its first line, by small name; the first of those that repeat."""
+    out: dict[str, str] = {}
+    for line in head.decode().split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """A chunked body's bytes; none if it isn't one: archives often keep the bare bytes below such a header."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return None
+        if n == 0:
+            return b"".join(out)
+        chunk = body[end + 2 : end + 2 + n]
+        if len(chunk) < n or body[end + 2 + n : end + 4 + n] != b"\r\n":
+            return None
+        out.append(chunk)
+        at = end + 4 + n
+    return None
+
+
+def _sha1(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
 def _parse(raw: bytes) -> dict:
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    fields = _fields(head)
     block = rest[: int(fields["content-length"])]
     if len(block) != int(fields["content-length"]):
         raise ValueError("the block is shorter than its length")
-    http, _, body = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length"))
-    urn = lambda x: None if x is None else x.removeprefix("<urn:page:").removesuffix(">")
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    if fields["warc-type"] == "response" and (len(body) != size or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
-        raise ValueError(f"length or digest of {fields.get('warc-record-id')}")
-    return {"record_id": urn(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_bytes": size, "payload_digest": digest, "refers_to": urn(fields.get("warc-refers-to")), "payload": body if fields["warc-type"] == "response" else None}
-
-
-def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads: bool = True, most_tasks: int = 20_000, errors: str = "raise") -> DataFrame:
+    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "")
+    digest = digest.removeprefix("sha1:") if digest.startswith("sha1:") else None  # others are not told
+    body, size = block, None
+    if fields.get("content-type", "application/http" if block.startswith(b"HTTP/") else "").lower().startswith("application/http"):
+        http, _, body = block.partition(b"\r\n\r\n")
+        said = _fields(b"\r\n" + http.partition(b"\r\n")[2])
+        chunked = said.get("transfer-encoding", "").lower() == "chunked"
+        size = int(said["content-length"]) if "content-length" in said and not chunked else None
+        if kind == "response":
+            plain = _unchunked(body) if chunked else None
+            # the digest is of the payload or, with many writers, of the chunks
+            right = digest is None or digest in (_sha1(body), plain is not None and _sha1(plain))
+            whole = size is None or len(body) == size
+            if "warc-truncated" not in fields and not (right and whole):
+                raise ValueError(f"length or digest of {fields.get('warc-record-id')}")
+            body = body if plain is None else plain
+    elif digest is not None and kind != "revisit" and "warc-truncated" not in fields and digest != _sha1(block):
+        raise ValueError(f"digest of {fields.get('warc-record-id')}")
+    if kind != "revisit":
+        size, digest = len(body), _sha1(body)
+    bare = lambda x: None if x is None else x.removeprefix("<").removesuffix(">").removeprefix("urn:page:")
+    return {"record_id": bare(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": bare(fields.get("warc-refers-to")), "payload": None if kind == "revisit" else body}
+
+
+def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads: bool = True, most_tasks: int = 20_000, errors: str = "raise", written: DataFrame | None = None) -> DataFrame:
     """Records of all archives in ``folder``: record_id, target_uri, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits).
 
-    payload_bytes and payload_digest are of the full payload. No record is passed over: one that is cut off, doesn't decode, or
+    Records of every type are rows. A response's payload is its HTTP body, without the chunks of a chunked one and as long as it is where HTTP tells
+    no length; that of other records (warcinfo, request, metadata, conversion, ...) their block, or what follows the HTTP header in it. payload_bytes and
+    payload_digest are of the full payload; of a revisit, what its headers say or null. A record that says it is truncated isn't held against its
+    lengths and digests. ``written`` is what ``write`` returned: a file that is missing or of another length, as one that was cut between two records, is an error, too.
+    No record is passed over: one that is cut off, doesn't decode, or
     isn't as its header says, and bytes that belong to no record (zero bytes as padding may) are an error that names file and offset;
     with ``errors="rows"`` they are rows with an ``error`` and nulls, and reading goes on at the next record. An empty folder gives no rows,
     a file of no bytes none.
     """
     schema = "record_id string, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary, error string"
     names = [x.split()[0] for x in schema.split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").where("length > 0")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
+    said = None
+    if written is not None:
+        of = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(written.select("file", "bytes"), "file", "right")
+        said = of.where("NOT length <=> bytes").select(F.concat_ws("", F.lit(f"{folder}/"), "file", F.lit(", byte "), F.coalesce("length", F.lit(0)).cast("string"), F.lit(": the file should have "), F.col("bytes").cast("string"), F.lit(" bytes")).alias("error"))
+        if errors == "raise" and (bad := said.first()):
+            raise Damaged(bad["error"])
+    files = files.where("length > 0")
     splits = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, "length"))
     # rows are tiny, what they stand for is not: a number of partitions keeps them from being coalesced
@@ -246,11 +304,13 @@ def read(spark: SparkSession, folder: str, split_bytes: int = 16 << 20, payloads
                         yield pa.RecordBatch.from_pylist(rows, arrow)
 
     out = splits.mapInArrow(run, schema)
+    if said is not None and errors == "rows":
+        out = out.unionByName(said, allowMissingColumns=True)
     return out if errors == "rows" else out.drop("error")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = True, split_bytes: int = 16 << 20, **how) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and reads them back."""
+    """Writes ``pages`` to archives in the shared folder and reads them back, after holding the files' lengths against those written."""
     folder = folder or shared_path(pages.sparkSession, "warc")
-    write(pages, folder, **how)
-    return read(pages.sparkSession, folder, split_bytes, payloads)
+    written = write(pages, folder, **how)
+    return read(pages.sparkSession, folder, split_bytes, payloads, written=written)

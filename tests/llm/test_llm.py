@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -100,7 +101,7 @@ def test_exact_dedup(spark, capacity):
 
 
 def test_exact_dedup_of_one_id_and_its_own_columns(spark):
-    df = docs_of(spark, [(None, "same text")] * 400 + [(i, f"own {i}") for i in range(50)]).selectExpr("*", "1 _sha", "2 id", "3 row", "4 sha")
+    df = docs_of(spark, [(None, "same text")] * 400 + [(i, f"own {i}") for i in range(50)]).selectExpr("*", "1 _sha", "2 id", "3 row", "4 sha", "5 `a.b`")
     entries = exact_dedup.build_index(df.repartition(4), capacity=2000)
     many = entries.where("pages > 1").groupBy("bucket", "page").count().collect()
     assert len(many) > 5 and max(r["count"] for r in many) < 150
@@ -150,7 +151,7 @@ def test_mixing_counts_are_poisson_of_any_rate(spark):
 
 def test_mixing_keeps_columns_of_any_name(spark):
     rows = docs_of(spark, [(None, "lost"), (None, None), (3, "x" * 50), (3, ""), (4, "x" * 50)])
-    df = rows.selectExpr("*", "1 cdf", "2 copy", "3 copies", "4 _u", "5 _source", "6 row", "7 first", "8 rate")
+    df = rows.selectExpr("*", "1 cdf", "2 copy", "3 copies", "4 _u", "5 _source", "6 row", "7 first", "8 rate", "9 `a.b`", "10 `c``d`")
     got = mixing.mix_sources(df)
     assert got.columns == [c for c in df.columns if c not in ("copy", "copies")] + ["copy", "copies", "shuffle_key"]
     assert all((r.cdf, r._u, r._source, r.row, r.first, r.rate) == (1, 4, 5, 6, 7, 8) for r in got.collect())
@@ -438,6 +439,60 @@ def test_warc_tells_of_damage(spark, tmp_path):
                 warc.read(spark, f"file://{folder}").collect()
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    prepare(spark)
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+    def member(kind, block, *more, mime="application/http;msgtype=response"):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", *more, f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+
+    ok, chunks = b"HTTP/1.1 200 OK\r\n", b"4\r\nWiki\r\n6;x=1\r\npedia \r\n0\r\n\r\n"
+    records = [
+        (member("warcinfo", b"software: x\r\n", mime="application/warc-fields"), "warcinfo", b"software: x\r\n"),
+        (member("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", mime="application/http;msgtype=request"), "request", b""),
+        (member("response", ok + b"\r\nno length"), "response", b"no length"),
+        (member("response", ok + b"Transfer-Encoding: chunked\r\n\r\n" + chunks, f"WARC-Payload-Digest: sha1:{sha(b'Wikipedia ')}"), "response", b"Wikipedia "),
+        (member("response", ok + b"Transfer-Encoding: chunked\r\n\r\n" + chunks, f"WARC-Payload-Digest: sha1:{sha(chunks)}"), "response", b"Wikipedia "),
+        (member("response", ok + b"Transfer-Encoding: chunked\r\n\r\nbare bytes", f"WARC-Payload-Digest: sha1:{sha(b'bare bytes')}"), "response", b"bare bytes"),
+        (member("response", ok + b"Content-Length: 99\r\n\r\ncut", "WARC-Truncated: length"), "response", b"cut"),
+        (member("response", ok + b"Content-Length: 3\r\n\r\nabc", "WARC-Payload-Digest: md5:00"), "response", b"abc"),
+        (member("response", b"20240101 x.example A 10.0.0.1", mime="text/dns"), "response", b"20240101 x.example A 10.0.0.1"),
+        (member("metadata", b"a: b\r\n", mime="application/warc-fields"), "metadata", b"a: b\r\n"),
+        (member("conversion", "é text".encode(), f"WARC-Payload-Digest: sha1:{sha('é text'.encode())}", mime="text/plain"), "conversion", "é text".encode()),
+        (member("resource", b"", mime="image/png"), "resource", b""),
+        (member("revisit", ok + b"\r\n", "WARC-Refers-To: <urn:uuid:y>"), "revisit", None),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(x[0] for x in records))
+    for split in (150, 1 << 20):
+        got = warc.read(spark, f"file://{tmp_path}", split).collect()
+        assert sorted((r.record_type, r.payload is None, bytes(r.payload or b"")) for r in got) == sorted((k, p is None, p or b"") for _, k, p in records)
+        assert all((r.payload_bytes, r.payload_digest) == ((None, None) if r.payload is None else (len(r.payload), sha(r.payload))) for r in got)
+    assert {r.refers_to for r in got} == {None, "urn:uuid:y"} and all(r.record_id.startswith("urn:uuid:") for r in got)
+    for wrong in (member("response", ok + b"Content-Length: 5\r\n\r\nabc"), member("conversion", b"x", f"WARC-Payload-Digest: sha1:{sha(b'y')}", mime="text/plain")):
+        (tmp_path / "a.warc.gz").write_bytes(records[0][0] + wrong)
+        assert [r.error is None for r in warc.read(spark, f"file://{tmp_path}", errors="rows").orderBy(F.desc("record_type")).collect()] == [True, False]
+
+
+def test_warc_files_that_lost_whole_records(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"text {i}") for i in range(40)], "page_id long, url string, html string").repartition(2)
+    prepare(spark)
+    written = warc.write(pages, f"file://{tmp_path}")
+    read = lambda how: warc.read(spark, f"file://{tmp_path}", errors=how, written=written)
+    assert read("raise").count() == 40
+    path = sorted(p for p in os.listdir(tmp_path) if p.endswith(".warc.gz"))[0]
+    data = (tmp_path / path).read_bytes()
+    (tmp_path / path).write_bytes(data[: data.rindex(warc.MAGIC)])
+    got = read("rows").collect()
+    assert len(got) == 40 and [path in r.error for r in got if r.error] == [True]
+    with pytest.raises(warc.Damaged, match=path):
+        read("raise")
+    os.remove(tmp_path / path)
+    with pytest.raises(warc.Damaged, match=path):
+        read("raise")
+
+
 def test_warc_of_null_and_repeated_ids(spark):
     prepare(spark)
     rows = [(None, "u", "a"), (1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (None, "u", "only"), (None, None, "only"), (5, None, None)]
@@ -478,7 +533,7 @@ def test_linked_spans_are_brute_force(spark):
     b64 = lambda n: "".join(rng.choice("abcdefghijXYZ0123456789+/") for _ in range(n))
     make = [
         lambda: "AKIA" + "".join(rng.choice("ABCDEFGH0123") for _ in range(16)), lambda: "ASIA" + "".join(rng.choice("ABCDEFGH0123") for _ in range(16)), lambda: f"client_id = '{b64(6).replace('/', 'x').replace('+', 'y')}'",
-        lambda: b64(40), lambda: b64(86) + "==", lambda: f"https://h{rng.randint(0, 99)}.example/x", lambda: f'password: "{rng.randint(100000, 999999)}"', lambda: "%030x" % rng.getrandbits(120), lambda: "aws_secret_access_key=" + b64(40),
+        lambda: b64(40), lambda: b64(86) + "==", lambda: f"https://h{rng.randint(0, 99)}.example/x", lambda: f"me.{rng.randint(0, 9)}@mail{rng.randint(0, 9)}.example.org", lambda: f"10.0.{rng.randint(0, 255)}.7:80", lambda: f"host = db{rng.randint(0, 9)}.local", lambda: f'password: "{rng.randint(100000, 999999)}"', lambda: "%030x" % rng.getrandbits(120), lambda: "aws_secret_access_key=" + b64(40),
     ]
     texts = ["".join(rng.choice(make)() + rng.choice([" ", "\n", ", é "]) + "w " * rng.choice([0, 3, 60, 130, 400]) for _ in range(rng.randint(0, 8))) for _ in range(150)]
     texts += ["AKIA" + "A" * 16 + " " + " ".join(f"token={i:06d}" for i in range(3000)), " ".join(b64(40) for _ in range(300)) + " AKIA" + "B" * 16]
@@ -489,12 +544,27 @@ def test_linked_spans_are_brute_force(spark):
         at = [[(m.start(), m.end()) for m in re.finditer(p, t) if k or len(m[2]) >= 6] for k, p in enumerate(patterns)]
         near = lambda s, kinds: any(max(b[0] - s[1], s[0] - b[1]) <= 256 for k in kinds for b in at[k])  # noqa: B023, E731
         want = [(s[0], k, s[1]) for k in range(3) for s in at[k]]
-        want += [(s[0], 3, s[1]) for s in at[3] if near(s, (1, 4))] + [(s[0], 4, s[1]) for s in at[4] if near(s, (0, 3))] + [(s[0], 5, s[1]) for s in at[5] if near(s, (1, 4)) and near(s, (0, 3))]
+        want += [(s[0], 3, s[1]) for s in at[3] if near(s, (1, 4))] + [(s[0], 4, s[1]) for s in at[4] if near(s, (0, 2, 3))] + [(s[0], 5, s[1]) for s in at[5] if near(s, (1, 4)) and near(s, (0, 2, 3))]
         assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want)), i
         added.update(k for _, k, _ in want)
     assert all(added[k] > 10 for k in range(6)) and added[3] < sum(len(re.findall(secrets.SECRET, t)) for t in texts)
 
 
+def test_links_fire_on_the_documents(spark):
+    prepare(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    patterns = [secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.SECRET, secrets.IDENTIFIER, secrets.ENDPOINT]
+    added, got = 0, {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        at = [[(m.start(), m.end()) for m in re.finditer(p, r.text or "") if k or len(m[2]) >= 6] for k, p in enumerate(patterns)]
+        near = lambda s, kinds: any(max(b[0] - s[1], s[0] - b[1]) <= 256 for k in kinds for b in at[k])  # noqa: B023, E731
+        who, what = (1, 4), (0, 2, 3)
+        want = [(s[0], k, s[1]) for k in range(6) for s in at[k] if k < 3 or ((k == 4 or near(s, who)) and (k == 3 or near(s, what)))]
+        assert got[r.doc_id] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want)), r.doc_id
+        added += sum(k > 2 for _, k, _ in want)
+    assert added > 0
+
+
 def test_fingerprints(spark):
     rows = [*some_texts(), (None, "no id"), (3, "same id twice")]
     df = docs_of(spark, rows)
