@@ -6,6 +6,7 @@ kernels. Floating-point results are rounded to 6 digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from .functions import scans
 from .functions.ordering import with_index
 from .operators import adaptive, aggregate, chords, compress, measures, prepare, symbols
 from .plans.encoder import EncoderModel, SymbolicEncoder, compress_tensor, decompress_tensor
-from .storage import materialize
+from .sources import arff, generate
+from .storage import materialize, shared_dir
 from .storage import prepare as ship
 
 TOL, ALPHA = 400.0, 0.25
@@ -532,6 +534,36 @@ def greedy_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.greedy_1d(points(spark, sf_dir).select("id", F.col("y").alias("x")), 0.05)
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice::DOUBLE AS o_totalprice FROM orders")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as CSV runs and read back."""
+    path = _new_folder(spark, "csv")
+    generate.write_runs(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice")), path)
+    return generate.read_runs(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal::DOUBLE AS c_acctbal FROM customer")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as JSON baselines, replaced by themselves, and read back."""
+    path, schema = _new_folder(spark, "json"), "c_custkey long, c_name string, c_nationkey long, c_acctbal double"
+    generate.write_baselines(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "c_name", "c_nationkey", "CAST(c_acctbal AS DOUBLE) AS c_acctbal"), path)
+    generate.write_baselines(generate.read_baselines(spark, path, schema), path)
+    return generate.read_baselines(spark, path, schema)
+
+
+@query("SELECT event_id, user_id, event_type, props, CASE WHEN value <= 150 THEN value END AS value FROM events")
+def arff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with gaps written as ARFF files and read back in byte ranges."""
+    ship(spark)
+    path = _new_folder(spark, "arff")
+    arff.write(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id", "event_type", "props", "CASE WHEN value <= 150 THEN value END AS value"), path, "events")
+    return arff.load_folder(spark, path, split_bytes=1 << 20).drop("file", "at")
+
+
 @query(pieces_sql(TOL) + """, o AS (SELECT series_id, list({'i': piece_idx, 'len': len, 'inc': inc} ORDER BY inc, piece_idx) AS a FROM pieces GROUP BY 1),
 w(series_id, j, label, n, total, squares) AS (
   SELECT series_id, 1, 0, 1, a[1].inc, a[1].inc * a[1].inc FROM o

@@ -22,9 +22,11 @@ from ..storage import prepare
 ATTRIBUTE = re.compile(r"""@attribute\s+('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\S+)\s+(.*)""", re.IGNORECASE)
 #: A value of a line: quoted, or up to the next comma.
 VALUE = re.compile(r"""\s*('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.|"")*"|[^,]*?)\s*(,|$)""")
+WRITTEN = {"double": "numeric", "float": "numeric", "bigint": "integer", "int": "integer", "smallint": "integer", "tinyint": "integer", "string": "string"}
 KINDS = {"numeric": "double", "real": "double", "integer": "long"}
 ARROW = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 BATCH = 1 << 16
+ESCAPED = {"n": "\n", "r": "\r", "t": "\t"}
 
 
 def _open(path: str) -> pa.NativeFile:
@@ -51,7 +53,7 @@ def _lines(f: pa.NativeFile, at: int, block: int = 1 << 20) -> Iterator[tuple[in
 def _bare(value: str) -> str:
     """A value without its quotes and escapes."""
     if len(value) > 1 and value[0] in "'\"" and value[-1] == value[0]:
-        return re.sub(r"\\(.)|\"\"", lambda m: m[1] or "", value[1:-1]) if "\\" in value or '""' in value else value[1:-1]
+        return re.sub(r"\\(.)|\"\"", lambda m: ESCAPED.get(m[1], m[1] or '"'), value[1:-1]) if "\\" in value or '""' in value else value[1:-1]
     return value
 
 
@@ -196,3 +198,46 @@ def samples(spark: SparkSession, *paths: str, split_bytes: int = 16 << 20) -> Da
     numbered = with_index(first, "file", "at", name="sample_id")
     rest = [f"`{c.replace('`', '``')}`" for c in rows.columns if c not in ("file", "at", "dim_id", "t", "value")]
     return rows.join(numbered, ["file", "at"]).select("sample_id", "dim_id", "t", F.coalesce("value", F.lit(0.0)).alias("value"), *rest)
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def write(rows: DataFrame, folder: str, relation: str = "rows") -> None:
+    """Numbers and strings as ARFF files in a new ``folder``: each part is a file of its own, with the header. Nulls are missing values.
+
+    ``load`` reads them back. Columns of other kinds, and numbers that are not finite, are an error.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    if wrong := [c for c, k in kinds.items() if k not in WRITTEN]:
+        raise ValueError(f"columns that are no numbers or strings: {wrong}")
+    head = [f"@relation {_quoted(relation)}", *(f"@attribute {_quoted(c)} {WRITTEN[k]}" for c, k in kinds.items()), "@data"]
+
+    def value(name: str, kind: str):
+        c = F.col(f"`{name.replace('`', '``')}`")
+        if kind == "string":
+            for plain, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+                c = F.replace(c, F.lit(plain), F.lit(escaped))
+            return F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("?"))
+        if kind in ("double", "float"):
+            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit(f"{name} is not finite"))).otherwise(c)
+        return F.coalesce(c.cast("string"), F.lit("?"))
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(head)], ["value"])
+        yield from (pa.RecordBatch.from_arrays(batch.columns, ["value"]) for batch in batches)
+
+    rows.select(F.concat_ws(",", *(value(c, k) for c, k in kinds.items())).alias("value")).mapInArrow(headed, "value string").write.text(folder)
+    if _parts(rows.sparkSession, folder).isEmpty():  # no partitions, no header
+        rows.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("append").text(folder)
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 0").select("path")
+
+
+def load_folder(spark: SparkSession, folder: str, split_bytes: int = 16 << 20) -> DataFrame:
+    """``load`` of all files that ``write`` left in ``folder``, by name."""
+    paths = _parts(spark, folder).orderBy("path").collect()  # a row for each file
+    return load(spark, *(r["path"] for r in paths), split_bytes=split_bytes)

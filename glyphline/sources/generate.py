@@ -62,7 +62,7 @@ def read_baselines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_baselines(rows: DataFrame, path: str) -> None:
-    """Written whole beside ``path``, then put in its place: a reader never sees a part of them."""
+    """Written whole beside ``path``, then put in its place: a reader never sees a part of them, but for a moment may find none."""
     spark, new = rows.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     rows.write.json(new)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

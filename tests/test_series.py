@@ -401,7 +401,23 @@ def test_arff_source(spark, tmp_path, split):
     (tmp_path / "a_TEST.arff").write_bytes((head + "\n".join(rows[4:])).replace("\n", "\r\n").encode())
     got = arff.load(spark, str(tmp_path / "a_TRAIN.arff"), str(tmp_path / "a_TEST.arff"), split_bytes=split)
     assert [(f.name, f.dataType.simpleString()) for f in got.schema][2:] == [("when seen", "string"), ("size", "double"), ("n", "bigint"), ("kind", "string")]
-    assert [tuple(r)[2:] for r in got.orderBy("file", "at").collect()] == [("it's, here", 1.5, 2, "a"), (None, None, None, None), ("x, q", -2000.0, 7, "b c"), ("plain", 0.0, 1, "a")]
+    assert [tuple(r)[2:] for r in got.orderBy("file", "at").collect()] == [("it's, here", 1.5, 2, "a"), (None, None, None, None), ('x, "q', -2000.0, 7, "b c"), ("plain", 0.0, 1, "a")]
+
+
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_arff_comes_back_as_written(spark, tmp_path, split):
+    rows = [(1, "it's", 1.5), (2, 'a, "b" \\ c', -1e-300), (3, "two\nlines\r\n\t% {x}", None), (4, "", 0.1 + 0.2), (None, None, 1e308), (6, "?", 0.0), (7, "\\n é", 7.0), (7, "\\n é", 7.0)]
+    df = spark.createDataFrame(rows, "n long, `it's, a b` string, `x.y` double")
+    arff.write(df.repartition(3), f"{tmp_path}/out")
+    got = arff.load_folder(spark, f"{tmp_path}/out", split)
+    assert got.columns[2:] == df.columns
+    assert sorted(map(repr, got.drop("file", "at").collect())) == sorted(map(repr, df.collect()))
+    arff.write(df.limit(0), f"{tmp_path}/none")
+    assert arff.load_folder(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError, match="no numbers"):
+        arff.write(spark.range(1).selectExpr("array(id) a"), f"{tmp_path}/bad")
+    with pytest.raises(Exception, match="not finite"):
+        arff.write(spark.sql("SELECT double('nan') AS x"), f"{tmp_path}/nan")
 
 
 @pytest.mark.parametrize("split", [11, 1 << 20])
