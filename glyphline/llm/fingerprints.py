@@ -2,12 +2,14 @@
 
 The lexicon holds the terms whose document frequency lies in a band (rare and frequent terms say
 little about near copies).  A document's distinct lexicon terms, sorted, are hashed once for each of
-several random subsets of the lexicon, from half of it down to a thousandth, so that texts of any
-length have subsets that keep one or a few of their terms.
+several random subsets of the lexicon, from half of it down to a 4096th, so that texts of any
+length have subsets that keep one or a few of their terms.  An edit spares a subset the likelier the fewer
+terms it keeps, so texts are compared by the sparsest subsets that either has, and denser ones count little.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -21,8 +23,10 @@ from ._shared import shuffle_partitions
 from ._words import Words, mix, slices
 
 _INTEGERS = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
-#: Each subset keeps a term with probability 2**-power.
-POWERS = tuple(p for p in range(1, 11) for _ in range(4))
+#: Each subset keeps a term with probability 2**-power; most are sparse.
+POWERS = tuple(p for p in range(1, 13) for _ in range(2 if p < 4 else 10 if p < 10 else 6))
+#: So many of the subsets that either text has, the sparsest ones, count whole in their likeness; the others by ``DENSE`` each.
+COMPARED, DENSE = 24, 1 / 16
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.001, high: float = 0.05) -> np.ndarray:
@@ -69,9 +73,9 @@ def _draw(out: np.ndarray, owner: np.ndarray, value: np.ndarray) -> None:
     """Sets the subsets' hashes of the texts that are owners; value: their distinct terms."""
     n, some = len(out), np.unique(owner)
     for j, power in enumerate(POWERS):
-        seed = mix(np.array([j + 1], np.uint64))[0]
-        draw = mix(value ^ seed)
-        kept = draw >> np.uint64(64 - power) == 0
+        if j % 4 == 0:  # four subsets share a draw, 16 bits each
+            draw = mix(value ^ mix(np.array([j // 4 + 1], np.uint64))[0])
+        kept = (draw >> np.uint64(16 * (j % 4))) & np.uint64(0xFFFF) < np.uint64(1 << (16 - power))
         total = np.zeros(n, np.uint64)
         np.add.at(total, owner[kept], mix(draw[kept]))
         low = (mix(total) >> np.uint64(32)).astype(np.uint32)
@@ -105,9 +109,11 @@ def subset_hashes(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the subsets that either text has terms of, the share with equal hashes."""
+    """The share of subsets with equal hashes among those that either text has terms of, by weight: 1 if equal, below 1 if any differs."""
     either = (a > 0) | (b > 0)
-    return ((a == b) & either).sum(1) / np.maximum(either.sum(1), 1)
+    weight = np.where(np.cumsum(either[:, ::-1], 1)[:, ::-1] <= COMPARED, 1.0, DENSE) * either
+    total = weight.sum(1)
+    return ((a == b) * weight).sum(1) / np.where(total > 0, total, 1)
 
 
 def _hex(rows: np.ndarray) -> list[str]:
@@ -128,27 +134,21 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs dealt so that each task has runs of documents in descending id, each run followed by the first document of the next run.
+def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs(above, rank, id, text): ascending in above and rank, ids descend and rows of one id follow a hash of their text; those without an id come last."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rank = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    return docs.select(F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).alias("above"), rank.alias("rank"), F.col(id_col).alias("id"), text.alias("text"))
+
 
-    Columns: part, extra (a following document), key, id, text. Only ids are read to cut the runs.
+def _heads(ordered: DataFrame) -> list[tuple[int, int]]:
+    """The first place (above, rank) of each of some runs of about as many rows, ascending; as many runs as there are tasks, times 4.
+
+    Runs are cut by Spark's range partitioning of the places alone, so rows of one id are split by their texts. Whatever the cuts, each is a row's place, and the first is the first row's.
     """
-    spark = docs.sparkSession
-    # null ids come after all others
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = 4 * shuffle_partitions(spark)
-    share = [i / parts for i in range(1, parts)]
-    cuts = keyed.agg(F.percentile_approx("key", F.array(*map(F.lit, share)), F.lit(20 * parts)).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c > F.col("key")))
-    heads = sorted((r["part"], r["key"]) for r in keyed.select("key", part.alias("part")).groupBy("part").agg(F.max("key").alias("key")).collect())  # one row a run
-    before = [(key, heads[i - 1][0]) for i, (_, key) in enumerate(heads)]
-    first = spark.createDataFrame(before, "head long, before int")
-    with_head = keyed.withColumn("part", part).join(F.broadcast(first), F.col("key") == F.col("head"), "left")
-    own = F.struct(F.col("part"), F.lit(False).alias("extra"))
-    other = F.struct(F.col("before").alias("part"), F.lit(True).alias("extra"))
-    dealt = with_head.withColumn("to", F.explode(F.when(F.col("head").isNotNull(), F.array(own, other)).otherwise(F.array(own))))
-    return dealt.select("to.part", "to.extra", "key", "id", "text")
+    runs = ordered.select("above", "rank").repartitionByRange(4 * shuffle_partitions(ordered.sparkSession), "above", "rank")
+    first = runs.groupBy(F.spark_partition_id().alias("run")).agg(F.min(F.struct("above", "rank")).alias("head")).select("head.*")
+    return sorted((r["above"], r["rank"]) for r in first.collect())
 
 
 def fingerprint_edits(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +156,8 @@ def fingerprint_edits(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id"
 
     The edited text has its last n_chars // 2 code points replaced by the first as many (or all) of
     the next document in descending id; the first follows the last. Null texts are empty; rows with one id
-    follow each other by a hash of their text, those without an id come last. Ids are integers, since their order tells which
+    follow each other by a hash of their text, those without an id come last. Rows of one id and one text are
+    put together before they are shuffled, and told apart again in the result. Ids are integers, since their order tells which
     document is next; others are a TypeError. Other columns are ignored. An empty table gives no rows.
     """
     if docs.schema[id_col].dataType.simpleString() not in _INTEGERS:
@@ -165,32 +166,55 @@ def fingerprint_edits(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast(terms)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        """Each row to its run, a run's first also behind the run before; equal rows of a batch as one."""
+        z, at = zstandard.ZstdCompressor(level=1), heads.value
         for b in batches:
-            packed = pa.array([z.compress(x.as_py().encode()) for x in b.column("text")], pa.binary())
-            rank = pa.array([hashlib.sha256(x.as_py().encode()).hexdigest()[:16] for x in b.column("text")])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "extra", "key", "id")), rank, packed], ["part", "extra", "key", "id", "rank", "packed"])
+            same: dict[tuple, list] = {}
+            for above, rank, id_, text in zip(*(b.column(c) for c in ("above", "rank", "id", "text")), strict=True):
+                key = above.as_py(), rank.as_py(), id_.as_py()
+                if key in same:
+                    same[key][1] += 1
+                else:
+                    same[key] = [z.compress(text.as_py().encode()), 1]
+            out = []
+            for (above, rank, id_), (packed, times) in same.items():
+                run_ = bisect.bisect_right(at, (above, rank)) - 1
+                out.append((run_, False, above, rank, id_, times, packed))
+                if at[run_] == (above, rank):
+                    out.append(((run_ - 1) % len(at), True, above, rank, id_, 1, packed))
+            if not out:
+                continue
+            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), id_kind, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "extra", "above", "rank", "id", "times", "packed"])
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """rows: (id, text, next text)"""
-        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n in rows]
+        """rows: (id, text, next text, times)"""
+        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n, _ in rows]
         own, cut, after = (subset_hashes(pa.array(x, pa.large_string()), shared.value) for x in ([r[1] for r in rows], edited, [r[2] for r in rows]))
-        yield pa.RecordBatch.from_arrays(
+        told = pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], id_kind), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]), pa.array(_hex(own)), pa.array(_hex(cut)), pa.array(likeness(own, cut)), pa.array(likeness(own, after))],
             ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
+        once = [i for i, r in enumerate(rows) if r[3] == 1]
+        yield told.take(pa.array(once, pa.int64()))
+        for i, r in enumerate(rows):
+            for left in range(r[3], 0, -(1 << 12)) if r[3] > 1 else ():
+                yield told.take(pa.array([i] * min(left, 1 << 12), pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         last, done, rows, size = None, None, [], 0
         for b in batches:
-            for part, extra, id_, packed in zip(*(b.column(c).to_pylist() for c in ("part", "extra", "id", "packed")), strict=True):
+            for part, extra, id_, times, packed in zip(*(b.column(c).to_pylist() for c in ("part", "extra", "id", "times", "packed")), strict=True):
                 if done == part:
-                    continue  # another row with the id of the following document
+                    continue  # another row at the place of the following document
                 text = z.decompress(packed).decode()
                 if last is not None:
-                    rows.append((last[0], last[1], text))
+                    rows.append((last[0], last[1], text, 1))
                     size += len(last[1])
+                if times > 1:  # all but the last are followed by their like
+                    rows.append((id_, text, text, times - 1))
+                    size += len(text)
                 last, done = ((id_, text), None) if not extra else (None, part)
                 if size > 1 << 20:
                     yield from flush(rows)
@@ -198,10 +222,11 @@ def fingerprint_edits(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id"
         if rows:
             yield from flush(rows)
 
-    dealt = _neighbours(docs, id_col, text_col)
-    kind = dealt.schema["id"].dataType.simpleString()
+    ordered = _ordered(docs, id_col, text_col)
+    kind = ordered.schema["id"].dataType.simpleString()
     id_kind = _INTEGERS[kind]
-    packed = dealt.mapInArrow(squeeze, f"part int, extra boolean, key long, id {kind}, rank string, packed binary")
-    sorted_ = packed.repartition("part").sortWithinPartitions("part", "extra", F.desc("key"), "rank")
+    heads = spark.sparkContext.broadcast(_heads(ordered))  # a pair of numbers a run
+    packed = ordered.mapInArrow(squeeze, f"part int, extra boolean, above long, rank long, id {kind}, times long, packed binary")
+    sorted_ = packed.repartition("part").sortWithinPartitions("part", "extra", "above", "rank")
     out = sorted_.mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("id", id_col)

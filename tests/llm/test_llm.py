@@ -625,10 +625,26 @@ def test_fingerprints(spark):
     plain = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(df, terms).collect()}
     assert plain[0] == next(r.fingerprint for r in got if r.doc_id == 0) == plain[rows[-3][0]]
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert all(r.near_edited == 1 for r in got if r.fingerprint == r.edited_fingerprint)
     apart = [r for r in got if r.doc_id is not None and 0 < r.doc_id < 60 and r.doc_id != 3]  # beyond, neighbours are near copies of each other
     assert np.mean([r.near_edited for r in apart]) > 2 * np.mean([r.near_next for r in apart])
 
 
+def test_fingerprints_of_one_id_and_of_equal_rows(spark):
+    """A hot id, missing ids and many equal rows: whole results, the id split over runs by its texts."""
+    rows = [(7, f"text {i % 900} of one id, word{i % 900}") for i in range(3000)] + [(None, "no id")] * 2500 + [(None, None)] * 40 + [(9, ""), (8, "x " * 30)]
+    df = docs_of(spark, rows).repartition(5)
+    got = fingerprints.fingerprint_edits(df, fingerprints.lexicon(df, low=0.0, high=1.0)).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), hashlib.sha256(r[1].encode()).hexdigest()))
+    want = []
+    for k, (i, t) in enumerate(order):
+        n = order[(k + 1) % len(order)][1]
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    heads = fingerprints._heads(fingerprints._ordered(df, "doc_id", "text"))
+    assert heads == sorted(heads) and sum(a == ~7 for a, _ in heads) > 3
+
+
 def subsets_by_hand(text, band):
     """The rule of the fingerprint in plain Python, with the same word hashes."""
     mask = (1 << 64) - 1
@@ -644,7 +660,7 @@ def subsets_by_hand(text, band):
     def draw(terms):
         out = []
         for j, power in enumerate(fingerprints.POWERS):
-            kept = [d for d in (mix(t ^ mix(j + 1)) for t in terms) if d >> (64 - power) == 0]
+            kept = [d for d in (mix(t ^ mix(j // 4 + 1)) for t in terms) if d >> 16 * (j % 4) & 0xFFFF < 1 << (16 - power)]
             out.append(max(mix(sum(map(mix, kept)) & mask) >> 32, 1) if kept else 0)
         return out
 
@@ -661,7 +677,13 @@ def test_fingerprint_values_are_brute_force(spark):
     band, text = {int(x) for x in terms}, dict(rows)
     order = sorted(text, reverse=True)
     got = {r.doc_id: r for r in fingerprints.fingerprint_edits(df, terms).collect()}
-    like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True) if x or y) / max(sum(bool(x or y) for x, y in zip(a, b, strict=True)), 1)
+
+
+    def like(a, b):
+        have = [x == y for x, y in zip(a, b, strict=True) if x or y]  # from dense subsets to sparse ones
+        dense, sparse = have[: -fingerprints.COMPARED], have[-fingerprints.COMPARED :]
+        return (sum(sparse) + sum(dense) / 16) / max(len(sparse) + len(dense) / 16, 1)
+
     for k, i in enumerate(order):
         t, after = text[i] or "", text[order[(k + 1) % len(order)]] or ""
         own, cut, then = (subsets_by_hand(x, band) for x in (t, t[: len(t) - len(t) // 2] + after[: len(t) // 2], after))
