@@ -895,3 +895,73 @@ def test_pipeline_keeps_columns(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == df.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_stages_are_brute_force(spark, tmp_path):
+    """Every stage on all that the one before kept, with null, empty, equal and near equal texts, a null id and a very long text."""
+    import corpus_pipeline
+
+    prepare(spark)
+    df, labels, _ = labelled(spark, 120)
+    base = [f"v{i}" for i in range(60)]
+    long = " ".join(f"z{i % 977}" for i in range(40000))
+    more = [(500, " ".join(base)), (501, " ".join(base)), (502, " ".join([*base[:-1], "end"])), (503, " ".join([*base, "more"])), (504, " ".join(base[:30])), (505, "Two words"), (506, "two WORDS"), (507, None), (508, ""), (None, "no id here at all"), (509, long), (510, long + " and more")]
+    df = df.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(i, t, None, "a" if i and i % 2 else None) for i, t in more], "doc_id long, text string, lang string, source string"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+    clean = stages["toxicity"](spark, df, str(tmp_path))
+    scores = toxicity.score(df, toxicity.fit(df, labels)).collect()
+    kept = [(r.doc_id, r.text) for r in clean.collect()]
+    assert sorted(map(str, (i for i, _ in kept))) == sorted(str(r.doc_id) for r in scores if r.score < 0.5) and len(kept) < df.count()
+
+    single = stages["exact_dedup"](spark, clean, str(tmp_path))
+    last = {}
+    for i, t in kept:
+        last[t or ""] = max(last.get(t or "", -1), -1 if i is None else i)
+    got = [(r.doc_id, r.text) for r in single.collect()]
+    assert sorted(-1 if i is None else i for i, _ in got) == sorted(last.values())
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    apart = stages["near_dedup"](spark, single, str(tmp_path))
+    sets = {i: shingles(t) for i, t in got if i is not None}
+    group = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in ((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0):
+            if group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                changed = True
+    rest = [(r.doc_id, r.text) for r in apart.collect()]
+    assert {i for i, _ in rest} == {i for i in group if group[i] == i} | {None} and len(rest) < len(got) and len(rest) == len({i for i, _ in rest})
+
+    mixed = stages["mixing"](spark, apart, str(tmp_path))
+    copies = collections.Counter(r.doc_id for r in mixed.collect())
+    want = mixing.mix_sources(apart, names=("c", "n", "k")).groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows")).collect()
+    assert copies == {r.doc_id: r.n for r in want} and all(r.n == r.rows for r in want) and set(copies) <= {i for i, _ in rest}
+
+    pieces = stages["packing"](spark, mixed, str(tmp_path)).collect()
+    size = collections.Counter()
+    for r in pieces:
+        size[r.doc_id] += r.length
+    tokens = {r.doc_id: r.doc_tokens for r in pieces}
+    assert size == {i: copies[i] * tokens[i] for i in copies}
+    used = collections.defaultdict(list)
+    for r in pieces:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in sorted(x)) == max(o + n for o, n in x) <= 2048 for x in used.values())
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    df, labels, _ = labelled(spark, 5)
+    df.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
