@@ -3,6 +3,7 @@
 toxicity drops the documents it rejects, exact_dedup and near_dedup leave one document of each
 group, mixing repeats documents so that sources reach their target weights, packing gives the pieces
 of token windows. Each stage is written as Parquet and read again as the next one's documents.
+Null texts count as empty: of several, one stays. Rows without an id are documents like others. Without documents there are no pieces.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
 
-#: SQL has neither the classifier nor the tokenizer; tests hold the stages against brute force.
+#: SQL has neither the classifier nor the tokenizer; tests hold exact and near duplicates and packing against brute force, toxicity and mixing against their operators.
 ORACLE_SQL = None
 
 
