@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
 
-#: SQL has neither the classifier nor the tokenizer; tests hold exact and near duplicates and packing against brute force, toxicity and mixing against their operators.
+#: SQL has neither the classifier nor the tokenizer; tests hold exact and near duplicates against brute force, toxicity and mixing against their operators, packing against its own counts.
 ORACLE_SQL = None
 
 
