@@ -843,6 +843,21 @@ def test_score_is_brute_force(spark, monkeypatch):
     assert far[0].held_out and far[0].score < -20 and np.isfinite(far[0].score)  # spelled
 
 
+def test_lm_scoring_learns_from_all_training_texts(spark, monkeypatch):
+    """The mixers see each word of each training text, however many there are, and none of a held-out one."""
+    seen, result = {}, lm_scoring.Learner.result
+
+    def counted(flat, start):
+        gates, inputs = start.shape
+        seen[gates] = flat[gates * inputs :][:gates].sum()
+        return result(flat, start)
+
+    monkeypatch.setattr(lm_scoring.Learner, "result", staticmethod(counted))
+    rows = [(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(2600)]
+    assert lm_scoring.score(docs_of(spark, rows).repartition(2), F.col("doc_id") < 2500, range_bytes=20000, chunk_bytes=20000).count() == 2600
+    assert seen[lm_scoring.NEW_GATES] == 2500 * 3
+
+
 def test_keys_and_paths_come_back():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 50, 500).astype(np.uint64) | (rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(19)))
