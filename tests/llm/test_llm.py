@@ -875,6 +875,23 @@ def test_keys_and_paths_come_back():
     assert (own == np.tile(n, 2)).all() and sum(len(a) for a, _ in levels) == 2 * len(who)
 
 
+def test_counts_of_shared_nodes_are_told_once():
+    """Paths of a chunk's keys are whole again from the counts of the first key in each node, and these are fewer."""
+    rng = np.random.default_rng(2)
+    keys = np.unique((rng.integers(0, 40, 4000) << lm_scoring.CODE) | rng.integers(0, 1 << 12, 4000)).astype(np.uint64)
+    total = rng.integers(0, 4, len(keys))
+    who, level, beside = lm_scoring.siblings(keys, total, lm_scoring.CODE, 1)
+    mine = np.sort(rng.choice(len(keys), 1500, replace=False))
+    of = {int(a): i for i, a in enumerate(mine)}
+    want = sorted((of[int(a)], int(b), int(c)) for a, b, c in zip(who, level, beside, strict=True) if int(a) in of)
+    apart = lm_scoring._apart(keys[mine])
+    told = [(i, l, n) for i, l, n in want if apart[i] <= l]
+    _, levels = lm_scoring._unpack_paths([lm_scoring._pack_paths(total[mine], *np.array(told).T)])
+    got = [(int(a), l, int(b)) for l, (x, n) in enumerate(lm_scoring._spread(levels, keys[mine])) for a, b in zip(x, n, strict=True)]
+    assert sorted(got) == want and len(told) * 2 < len(want)
+    assert len(lm_scoring._apart(keys[:0])) == 0 and lm_scoring._spread([(mine[:0], mine[:0])], keys[:0])[0][0].size == 0
+
+
 def test_spelling_is_a_distribution():
     """All words of up to two letters and all longer ones share the probability 1."""
     rng = np.random.default_rng(0)
