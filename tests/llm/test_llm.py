@@ -892,6 +892,35 @@ def test_counts_of_shared_nodes_are_told_once():
     assert len(lm_scoring._apart(keys[:0])) == 0 and lm_scoring._spread([(mine[:0], mine[:0])], keys[:0])[0][0].size == 0
 
 
+def test_chunks_are_no_larger_than_they_should_be(spark):
+    """What a task holds follows the size of a chunk: texts that come in one batch are cut, too, and rows of chunks travel one by one."""
+    rows = [(i, f"{i} " + "some words here " * 6000) for i in range(60)]
+    docs = docs_of(spark, rows).coalesce(1).select(F.col("doc_id").alias("id"), F.lit(True).alias("train"), "text")
+    got = lm_scoring.chunks(docs, 1, 1 << 20).where("r < 0").select("ids", "bytes").collect()
+    assert sorted(i for r in got for i in r.ids) == list(range(60))
+    assert max(np.frombuffer(r.bytes, "<i8").sum() for r in got) < 3 << 19
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with lm_scoring.single_rows(spark):
+        assert spark.conf.get(key) == "1"
+    assert spark.conf.get(key) == before
+
+
+def test_spelled_bits_are_counted_together():
+    """Counts by distinct contexts are those of all words, bit by bit."""
+    rng = np.random.default_rng(4)
+    w = Words(pa.array([" ".join("".join(chr(97 + c) for c in rng.integers(0, 3, rng.integers(1, 9))) for _ in range(300)) + " é zwölf " + "x" * 40]))
+    chosen = np.arange(0, len(w.starts), 2)
+    table, want = np.zeros(2 << lm_scoring.BITS, np.int32), np.zeros(2 << lm_scoring.BITS, np.int32)
+    for keys in lm_scoring.spelled_keys(w, chosen, 100):
+        lm_scoring.count_spelled(table, keys)
+    for _, byte, h in lm_scoring.Speller(w).places(chosen):
+        for bit in range(8):
+            node, one = (byte.astype(np.uint64) | np.uint64(256)) >> np.uint64(8 - bit), (byte >> (7 - bit)) & 1
+            np.add.at(want, (lm_scoring._slots(h, node) * 2 + one).ravel(), 1)
+    assert want.sum() > 0 and (table == want).all()
+
+
 def test_spelling_is_a_distribution():
     """All words of up to two letters and all longer ones share the probability 1."""
     rng = np.random.default_rng(0)
