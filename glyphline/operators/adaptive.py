@@ -55,6 +55,22 @@ class _Mean:
         return self.square - self.sum * self.sum / self.n, 4 * EPS * (self.n + 4) * self.square
 
 
+class _Sums:
+    """The same by the increments' sum and that of their squares, as SQL adds them up: what these say at the limit, rounding included, holds."""
+
+    def __init__(self, inc: np.ndarray):
+        self.inc = inc.tolist()
+
+    def begin(self, i: int) -> None:
+        v = self.inc[i]
+        self.n, self.sum, self.square = 1, v, v * v
+
+    def error(self, i: int) -> tuple[float, float]:
+        v = self.inc[i]
+        self.n, self.sum, self.square = self.n + 1, self.sum + v, self.square + v * v
+        return self.square - self.sum**2 / self.n, 0.0
+
+
 class _Median:
     """The largest distance from the median. Increments come sorted, or by absolute value: each is a new least or largest one."""
 
@@ -130,16 +146,20 @@ class _Anew:
         return 0.0, float("inf")
 
 
-def grow_runs(inc: np.ndarray, tol: float, norm: int = 2, weighted: bool = True, symmetric: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def grow_runs(inc: np.ndarray, tol: float, norm: int = 2, weighted: bool = True, symmetric: bool = False, sums: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centers: along sorted increments a run grows while its error stays below size * tol.
 
     ``symmetric`` starts from the smallest absolute value; after the first run that met a change of sign,
     the rest is taken by sign, then by absolute value. An increment costs a step (unweighted) or log n steps (weighted, 2-norm); only
-    where rounding could decide, and in the weighted 1-norm, the run's error is told anew.
+    where rounding could decide, and in the weighted 1-norm, the run's error is told anew. With ``sums`` (unweighted, 2-norm) plain sums
+    decide there, too, as in SQL.
     """
+    if sums and (weighted or norm != 2):
+        raise ValueError("plain sums are for the unweighted 2-norm")
     order = np.argsort(np.abs(inc) if symmetric else inc, kind="stable")
     label, centers = np.empty(len(inc), np.int64), []
-    grown = {(False, 2): _Mean, (False, 1): _Median, (True, 2): _SumLine, (True, 1): _Anew}[weighted, norm](inc)
+    grown = {(False, 2): _Mean, (False, 1): _Median, (True, 2): _SumLine, (True, 1): _Anew}[weighted, norm]
+    grown = (_Sums if sums else grown)(inc)
     sign, at, crossed, dealt, start = np.sign(inc).tolist(), order.tolist(), False, not symmetric, 0
     while start < len(inc):
         end = start + 1
@@ -149,7 +169,7 @@ def grow_runs(inc: np.ndarray, tol: float, norm: int = 2, weighted: bool = True,
                 crossed = True
             err, doubt = grown.error(at[end])
             most = (end + 1 - start) * tol
-            if not abs(err - most) > doubt:
+            if not sums and not abs(err - most) > doubt:
                 err = run_center(inc[np.sort(order[start : end + 1])], norm, weighted)[1]
             if not err < most:
                 break
@@ -248,13 +268,13 @@ def _means(label: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.bincount(label, values) / np.maximum(np.bincount(label), 1)
 
 
-def incremental(pieces: DataFrame, tol: float, norm: int = 2, weighted: bool = True, symmetric: bool = False) -> DataFrame:
+def incremental(pieces: DataFrame, tol: float, norm: int = 2, weighted: bool = True, symmetric: bool = False, sums: bool = False) -> DataFrame:
     """pieces(series_id, piece_idx, len, inc) -> those, label, center_len (mean), center_inc (of ``grow_runs``)."""
     if norm not in (1, 2) or not tol >= 0:
         raise ValueError("norm must be 1 or 2, tol at least 0")
 
     def fit(length, inc):
-        label, centers = grow_runs(inc, tol, norm, weighted, symmetric)
+        label, centers = grow_runs(inc, tol, norm, weighted, symmetric, sums)
         return label, _means(label, length)[label], centers[label]
 
     return _each_series(pieces, fit)

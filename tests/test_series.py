@@ -276,6 +276,17 @@ def test_incremental_is_by_series(spark):
         adaptive.incremental(spark.range(0), 1.0, norm=3)
 
 
+def test_runs_at_the_limit_are_those_of_the_sql(spark, tmp_path):
+    # increments that are 20 apart: as plain sums have it, the error of some two of them is at the limit and of others below
+    v = [257.46, 0.64, 169.92, 15.62, 285.18, 62.36, 287.25, 115.07, 353.57, 143.35, 383.57, 94.34, 284.41, 52.25, 241.53, 80.97, 370.53, 139.12]
+    con = duckdb.connect()
+    con.execute("create table events as select i as event_id, timestamp '2024-01-01' + to_seconds(i) as ts, 7::bigint as user_id, v as value from (select unnest(range(18)) as i, unnest(?::double[]) as v)", [v])
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    df = catalogue.QUERIES["abba_incremental"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({catalogue.ORACLE_SQL['abba_incremental']})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
 def test_optimal_splits_are_optimal():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 8):
