@@ -33,14 +33,14 @@ def direct(v: np.ndarray, s: np.ndarray, m: int | np.ndarray, slope: np.ndarray)
     return out
 
 
-def successors(v: np.ndarray, last: np.ndarray, tol: float, max_len: float = float("inf")) -> np.ndarray:
+def successors(v: np.ndarray, last: np.ndarray, tol: float, max_len: float = float("inf"), eps: float = EPS) -> np.ndarray:
     """Where the chord from each point ends, at most at ``last`` of it; -1 if after more than MOST steps."""
     out, s = last.copy(), np.flatnonzero(last - np.arange(len(v)) >= 2)
     a = v[s + 1] - v[s]
     b = a * a
     for m in range(2, MOST + 1):
         d = v[s + m] - v[s]
-        a, b, slope, limit = a + m * d, b + d * d, d / m, tol * (m - 1) + EPS
+        a, b, slope, limit = a + m * d, b + d * d, d / m, tol * (m - 1) + eps
         r = slope * slope * m * (m + 1) * (2 * m + 1) / 6 - 2 * slope * a + b
         close = np.abs(r - limit) <= 1e-9 * np.maximum(1.0, b)
         if close.any():
@@ -53,7 +53,7 @@ def successors(v: np.ndarray, last: np.ndarray, tol: float, max_len: float = flo
     return out
 
 
-def reach(v: np.ndarray, s: int, last: int, tol: float, max_len: float, a: float = 0.0, b: float = 0.0, done: int = 0, base: float | None = None) -> tuple[int, bool]:
+def reach(v: np.ndarray, s: int, last: int, tol: float, max_len: float, a: float = 0.0, b: float = 0.0, done: int = 0, base: float | None = None, eps: float = EPS) -> tuple[int, bool]:
     """The end of the chord from s, and whether it failed behind that; looked for in spans that double.
 
     With ``done`` steps known (sums a, b, first value ``base``) v holds what follows them, s is -done, and sums decide alone.
@@ -63,7 +63,7 @@ def reach(v: np.ndarray, s: int, last: int, tol: float, max_len: float, a: float
         k = np.arange(m, min(m + width, last - s + 1))
         d = v[s + k] - base
         sa, sb = (np.cumsum(np.r_[x, y])[1:] for x, y in ((a, k * d), (b, d * d)))
-        slope, limit = d / k, tol * (k - 1) + EPS
+        slope, limit = d / k, tol * (k - 1) + eps
         r = slope * slope * k * (k + 1) * (2 * k + 1) / 6 - 2 * slope * sa + sb
         close = np.abs(r - limit) <= 1e-9 * np.maximum(1.0, sb)
         fits = (k == 1) | (r <= limit) & (k - 1 < max_len)
@@ -82,15 +82,15 @@ def reach(v: np.ndarray, s: int, last: int, tol: float, max_len: float, a: float
 class Paths:
     """Paths of successors in consecutive values; ``last`` is the last point of each point's series here, ``open_end`` whether that goes on."""
 
-    def __init__(self, v: np.ndarray, last: np.ndarray, tol: float, max_len: float, open_end: bool = False):
-        self.v, self.last, self.tol, self.max_len, self.open_end = v, last, tol, max_len, open_end
-        self.next = successors(v, last, tol, max_len).tolist()
+    def __init__(self, v: np.ndarray, last: np.ndarray, tol: float, max_len: float, open_end: bool = False, eps: float = EPS):
+        self.v, self.last, self.tol, self.max_len, self.open_end, self.eps = v, last, tol, max_len, open_end, eps
+        self.next = successors(v, last, tol, max_len, eps).tolist()
 
     def step(self, s: int) -> int:
         """The successor of s; -2 if the chord runs to the end of an open range."""
         e = self.next[s]
         if e == -1:
-            e, failed = reach(self.v, s, int(self.last[s]), self.tol, self.max_len)
+            e, failed = reach(self.v, s, int(self.last[s]), self.tol, self.max_len, eps=self.eps)
             self.next[s] = e = -2 if self.open_end and not failed else e
         elif self.open_end and e == self.last[s]:
             # the end may be that of the chord by chance: it is known only if a point behind it is
@@ -134,12 +134,12 @@ def _ranges(series: DataFrame, rows: int, overlap: int) -> DataFrame:
     return series.select("series_id", "t", "value", F.explode(to).alias("range")).join(n, "series_id")
 
 
-def _paths(group: pa.Table, rows: int, tol: float, max_len: float) -> tuple[Paths, int, int, int]:
+def _paths(group: pa.Table, rows: int, tol: float, max_len: float, eps: float) -> tuple[Paths, int, int, int]:
     """A range's paths, its first position, its number, and the position behind it or the series' last one."""
     group = group.sort_by("t")
     v, at, n = group.column("value").to_numpy(), group.column("t")[0].as_py(), group.column("n")[0].as_py()
     last, r = at + len(v) - 1, group.column("range")[0].as_py()
-    return Paths(v, np.full(len(v), len(v) - 1), tol, max_len, last < n - 1), at, r, min((r + 1) * rows, n - 1)
+    return Paths(v, np.full(len(v), len(v) - 1), tol, max_len, last < n - 1, eps), at, r, min((r + 1) * rows, n - 1)
 
 
 def _walk(p: Paths, at: int, entry: int, end: int) -> tuple[list[int], int, bool]:
@@ -212,11 +212,12 @@ def entries(maps: DataFrame, origins: DataFrame, levels: int) -> DataFrame:
     return known
 
 
-def compress_ranges(series: DataFrame, tol: float, max_len: float = float("inf"), rows: int = RANGE, overlap: int = OVERLAP) -> DataFrame:
+def compress_ranges(series: DataFrame, tol: float, max_len: float = float("inf"), rows: int = RANGE, overlap: int = OVERLAP, eps: float = EPS) -> DataFrame:
     """series(series_id, t, value), t from 0 without gaps -> series_id, piece_idx, len, inc, err, as ``compress`` gives; no task sees a whole series.
 
     A group is a range of ``rows`` points and ``overlap`` behind it. A chord that runs past both is looked for over all ranges
-    behind it (two passes each; there it is told by running sums alone), so ``overlap`` should be above most lengths.
+    behind it (two passes each; there it is told by running sums alone), so ``overlap`` should be above most lengths. ``eps`` is what
+    an error may be above its limit: errors that are equal to it in exact numbers hold with one above their rounding.
     """
     if not 2 <= overlap <= rows:
         raise ValueError("overlap must be from 2 to rows")
@@ -227,7 +228,7 @@ def compress_ranges(series: DataFrame, tol: float, max_len: float = float("inf")
         levels += 1
 
     def leave(group: pa.Table) -> pa.Table:
-        p, at, r, end = _paths(group, rows, tol, max_len)
+        p, at, r, end = _paths(group, rows, tol, max_len, eps)
         first = r * rows
         ways: dict[int, tuple[int, bool]] = {}
         enter = range(first, min(first + (overlap if r else 1), end))
@@ -252,7 +253,7 @@ def compress_ranges(series: DataFrame, tol: float, max_len: float = float("inf")
     def write(group: pa.Table, enter: pa.Table) -> pa.Table:
         found = []
         if group.num_rows and enter.num_rows:
-            p, at, r, end = _paths(group, rows, tol, max_len)
+            p, at, r, end = _paths(group, rows, tol, max_len, eps)
             sid = group.column("series_id")[0].as_py()
             for entry in enter.column("entry").to_pylist():
                 seen, s, stuck = _walk(p, at, entry, end)
@@ -276,11 +277,11 @@ def compress_ranges(series: DataFrame, tol: float, max_len: float = float("inf")
         pieces = done if pieces is None else pieces.unionByName(done)
         if longer.isEmpty():
             break
-        ends = materialize(_long(series, longer, rows, tol, max_len), "long")
+        ends = materialize(_long(series, longer, rows, tol, max_len, eps), "long")
         pieces = pieces.unionByName(ends.select(*done.columns))
         # the path goes on behind the chord, walked to its range's end, and from there through the maps
         origins = ends.where("not final").select("series_id", F.floor(F.col("end") / rows).alias("range"), F.col("end").alias("entry"))
-        more = materialize(dealt.groupBy("series_id", "range").cogroup(origins.groupBy("series_id", "range")).applyInArrow(_one(rows, tol, max_len), MAP), "maps")
+        more = materialize(dealt.groupBy("series_id", "range").cogroup(origins.groupBy("series_id", "range")).applyInArrow(_one(rows, tol, max_len, eps), MAP), "maps")
         maps = maps.join(more.select("series_id", "range", "entry"), ["series_id", "range", "entry"], "left_anti").unionByName(more)
     # positions among the pieces: those of a range, and all of the ranges before
     ranged = pieces.withColumn("range", F.floor(F.col("start") / rows))
@@ -290,13 +291,13 @@ def compress_ranges(series: DataFrame, tol: float, max_len: float = float("inf")
     return local.join(before, ["series_id", "range"]).select("series_id", (F.col("i") + F.col("before")).cast("int").alias("piece_idx"), "len", "inc", "err")
 
 
-def _one(rows: int, tol: float, max_len: float):
+def _one(rows: int, tol: float, max_len: float, eps: float):
     """The map of a range at given entries only."""
 
     def run(group: pa.Table, enter: pa.Table) -> pa.Table:
         found = []
         if group.num_rows and enter.num_rows:
-            p, at, r, end = _paths(group, rows, tol, max_len)
+            p, at, r, end = _paths(group, rows, tol, max_len, eps)
             for entry in enter.column("entry").to_pylist():
                 _, s, stuck = _walk(p, at, entry, end)
                 found.append((group.column("series_id")[0].as_py(), r, entry, s, stuck, True))
@@ -306,7 +307,7 @@ def _one(rows: int, tol: float, max_len: float):
     return run
 
 
-def _long(series: DataFrame, starts: DataFrame, rows: int, tol: float, max_len: float) -> DataFrame:
+def _long(series: DataFrame, starts: DataFrame, rows: int, tol: float, max_len: float, eps: float) -> DataFrame:
     """starts(series_id, start) -> those with end, final (the series ends there), len, inc, err of chords over many ranges, at most one of a series."""
     first = series.join(starts.select("series_id", F.col("start").alias("t"), F.col("t").alias("start")), ["series_id", "t"]).select("series_id", "start", F.col("value").alias("base"))
     behind = series.join(first, "series_id").where("t > start").withColumn("range", F.floor(F.col("t") / rows))
@@ -319,7 +320,7 @@ def _long(series: DataFrame, starts: DataFrame, rows: int, tol: float, max_len:
         group = group.sort_by("t")
         get = lambda c: group.column(c)[0].as_py()
         v, start, t0 = group.column("value").to_numpy(), get("start"), get("t")
-        end, failed = reach(v, start - t0, len(v) - 1, tol, max_len, get("a"), get("b"), t0 - start - 1, get("base"))
+        end, failed = reach(v, start - t0, len(v) - 1, tol, max_len, get("a"), get("b"), t0 - start - 1, get("base"), eps)
         return pa.table({"series_id": pa.array([get("series_id")], pa.int64()), "end": pa.array([end + t0], pa.int64()), "failed": pa.array([failed], pa.bool_())})
 
     tried = behind.join(carry, ["series_id", "range"]).groupBy("series_id", "range").applyInArrow(run, "series_id long, end long, failed boolean")

@@ -578,6 +578,25 @@ def test_ranges_give_the_pieces_of_whole_series(spark, monkeypatch, tol, rows, o
     assert chord_ranges.compress_ranges(df.limit(0), tol, rows=rows, overlap=overlap).count() == 0
 
 
+#: The chord of five steps has squared residuals of 200 in all, which is its limit.
+LIMIT = [46.0, 41.0, 36.0, 21.0, 28.0, 27.0, 2.0, 15.0]
+
+
+def write_lines(path, quantities):
+    con = duckdb.connect()
+    con.execute("create table lineitem as select i as l_orderkey, 1 as l_linenumber, v as l_quantity from (select unnest(range(len(?::double[]))) as i, unnest(?::double[]) as v)", [quantities, quantities])
+    con.execute(f"copy lineitem to '{path}/lineitem.parquet' (format parquet)")
+    return con
+
+
+def test_long_series_hold_errors_at_the_limit_as_the_sql_does(spark, tmp_path):
+    con = write_lines(tmp_path, LIMIT)
+    for name in ("reconstruct_long", "compress_long"):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(df.columns)} from ({catalogue.ORACLE_SQL[name]})").fetchall()
+        assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
 def greedy_by_hand(points, alpha, sorting):
     keys = {"2-norm": lambda p: math.sqrt(p[1] * p[1] + p[2] * p[2]), "1-norm": lambda p: abs(p[1]) + abs(p[2]), "lexi": lambda p: p[1]}
     rows = sorted(((keys[sorting](p), p[2] if sorting == "lexi" else 0, p[0], p[1], p[2]) for p in points))
