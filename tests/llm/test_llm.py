@@ -843,6 +843,37 @@ def test_score_is_brute_force(spark, monkeypatch):
     assert far[0].held_out and far[0].score < -20 and np.isfinite(far[0].score)  # spelled
 
 
+def test_lm_scoring_shuffles_chunks_once(spark, monkeypatch):
+    """Mixers learn and score from chunks that lie together with their answers: no shuffle again, and the tables they came from are gone."""
+    plans, learn, put = [], lm_scoring.learn_words, {}
+
+    def learned(joined, model, ranges):
+        plans.append(joined._jdf.queryExecution().executedPlan().toString())
+        return learn(joined, model, ranges)
+
+    def written(df, name, by=None):
+        put.setdefault(name, []).append(out := materialize(df, name, by))
+        return out
+
+    materialize = lm_scoring.materialize
+    monkeypatch.setattr(lm_scoring, "materialize", written)
+    monkeypatch.setattr(lm_scoring, "learn_words", learned)
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(i % 40))) for i in range(400)]
+    got = lm_scoring.score(docs_of(spark, rows).repartition(2), F.col("doc_id") < 300, range_bytes=1500, chunk_bytes=2000)
+    assert got.count() == 400 and "Exchange" not in plans[0]
+    assert len(put["together"]) > 1
+    left = [f for name in ("chunks", "words", "contexts", "together") for df in put[name] for f in df.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+    assert not left
+
+
+def test_keys_of_chunks_are_merged():
+    rng = np.random.default_rng(4)
+    keys = [np.unique(rng.integers(0, 1 << (lm_scoring.CODE + lm_scoring.CONTEXT), n).astype(np.uint64) >> np.uint64(shift)) for n, shift in ((50, 0), (0, 0), (3000, 38), (2000, 38), (1, 0))]
+    for many in (keys, keys * 9000, keys[1:2]):  # also more lists than have room behind a key
+        got, want = lm_scoring.merged(many), np.unique(np.concatenate(many), return_inverse=True)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_lm_scoring_learns_from_all_training_texts(spark, monkeypatch):
     """The mixers see each word of each training text, however many there are, and none of a held-out one."""
     seen, result = {}, lm_scoring.Learner.result
